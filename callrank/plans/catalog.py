@@ -823,3 +823,312 @@ def k2(spark, d):
     doms = quality.category_domains(ref, ["o_orderpriority", "o_orderstatus"])
     ranges = score.numeric_ranges(ref, ["o_totalprice"])
     return score.domain_violations(o, ["o_orderkey"], doms, ranges)
+
+
+# ---------------------------------------------------------------- SMOTE and leak-free resampling
+
+DOC_FEATURES = ["n_chars", "toxic", "len_mod"]
+
+E8_SQL = DOC_SQL + """,
+m AS (SELECT doc_id, CAST(n_chars AS DOUBLE) AS x0, CAST(toxic AS DOUBLE) AS x1, CAST(len_mod AS DOUBLE) AS x2
+      FROM doc WHERE label = 1),
+cnt AS (SELECT (SELECT count(*) FROM doc WHERE label = 0) - (SELECT count(*) FROM m) AS need,
+               (SELECT count(*) FROM m) AS nc),
+v AS (SELECT DISTINCT x0, x1, x2 FROM m),
+kk AS (SELECT least(5, count(*) - 1) AS kk FROM v),
+nn AS (SELECT a.x0, a.x1, a.x2, b.x0 AS y0, b.x1 AS y1, b.x2 AS y2,
+              row_number() OVER (PARTITION BY a.x0, a.x1, a.x2
+                                 ORDER BY (a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1)
+                                          + (a.x2 - b.x2) * (a.x2 - b.x2), b.x0, b.x1, b.x2) - 1 AS nb_rank
+       FROM v a JOIN v b ON NOT (a.x0 = b.x0 AND a.x1 = b.x1 AND a.x2 = b.x2)),
+r AS (SELECT m.*, row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS rn FROM m),
+c AS (SELECT r.*, need // nc + CASE WHEN rn <= need % nc THEN 1 ELSE 0 END AS ncopy FROM r, cnt),
+cp AS (SELECT c.*, unnest(generate_series(1, ncopy)) AS copy FROM c WHERE ncopy > 0),
+hh AS (SELECT cp.*, md5('42:' || CAST(doc_id AS VARCHAR) || ':' || CAST(copy AS VARCHAR)) AS h2 FROM cp),
+d AS (SELECT hh.*, CAST(('0x' || substr(h2, 1, 8))::BIGINT % kk AS INTEGER) AS j,
+             CAST(('0x' || substr(h2, 9, 8))::BIGINT AS DOUBLE) / 4294967296.0::DOUBLE AS u FROM hh, kk)
+SELECT d.doc_id, CAST(d.copy AS INTEGER) AS copy, d.x0 + d.u * (nn.y0 - d.x0) AS n_chars,
+       d.x1 + d.u * (nn.y1 - d.x1) AS toxic, d.x2 + d.u * (nn.y2 - d.x2) AS len_mod, 1 AS label
+FROM d JOIN nn ON d.x0 = nn.x0 AND d.x1 = nn.x1 AND d.x2 = nn.x2 AND d.j = nn.nb_rank"""
+
+
+@query("e8_smote_samples", "WITH " + E8_SQL)
+def e8(spark, d):
+    from callrank.operators import resample
+    out = resample.smote(fx.doc_frame(spark, d), DOC_FEATURES, "label", ["doc_id"], k=5, seed=42)
+    return out.where("synthetic").drop("synthetic")
+
+
+@query("e8_smote_balance", "WITH " + DOC_SQL + """
+SELECT label, CAST(max(n) OVER () AS BIGINT) AS n FROM (SELECT label, count(*) AS n FROM doc GROUP BY label)""")
+def e8b(spark, d):
+    from callrank.operators import resample
+    out = resample.smote(fx.doc_frame(spark, d), DOC_FEATURES, "label", ["doc_id"], k=5, seed=42)
+    return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("e9_resample_in_folds")
+def e9(spark, d):
+    """Leak check on DOC: CV of a forest with SMOTE inside each training
+    fold (E9) against SMOTE applied before folding (the leaky order)."""
+    from pyspark.ml.feature import VectorAssembler
+
+    from callrank.operators import models, resample
+    doc = split.stratified_split(fx.doc_frame(spark, d), "label", ["doc_id"], 0.2, 42)
+    doc = VectorAssembler(inputCols=DOC_FEATURES, outputCol="features").transform(doc)
+    doc = doc.withColumn("label", F.col("label").cast("double"))
+    tr = split.stratified_folds(doc.where("split = 'train'"), "label", ["doc_id"], 3, 42)
+    te = doc.where("split = 'test'")
+    rf = models.random_forest(trees=50, max_depth=5)
+    rows = []
+    inside = resample.SmoteClassifier(rf, k=5, seed=42, keyCol="doc_id")
+    cv_in = models.grid_search(inside, {"maxDepth": [5]}, fold_col="fold", param_owner=rf).fit(tr)
+    auc_in = evaluate.roc_auc(models.predict(cv_in.bestModel, te, ["label"]), "label", "p_yes").first()["auc"]
+    rows.append(("inside_folds", float(cv_in.avgMetrics[0]), auc_in))
+    sm = resample.smote(tr.select("doc_id", "fold", "label", *DOC_FEATURES), DOC_FEATURES, "label", ["doc_id"])
+    sm = sm.join(tr.select("doc_id", "fold"), "doc_id")
+    sm = VectorAssembler(inputCols=DOC_FEATURES, outputCol="features").transform(sm)
+    sm = sm.withColumn("label", F.col("label").cast("double"))
+    cv_out = models.grid_search(rf, {"maxDepth": [5]}, fold_col="fold").fit(sm)
+    auc_out = evaluate.roc_auc(models.predict(cv_out.bestModel, te, ["label"]), "label", "p_yes").first()["auc"]
+    rows.append(("before_folds", float(cv_out.avgMetrics[0]), auc_out))
+    return spark.createDataFrame(rows, "mode string, cv_auc double, test_auc double").withColumn(
+        "gap", F.col("cv_auc") - F.col("test_auc"))
+
+
+# ---------------------------------------------------------------- prepared set, models, scoring
+
+def lin_spec():
+    from callrank.spec import FeatureSpec
+    return FeatureSpec(numeric=("l_quantity", "l_discount", "l_tax", "l_linenumber"),
+                       categorical=("l_linestatus",), target="l_returnflag", positive="R",
+                       leakage=("l_shipdate",), sentinels={"l_linenumber": (7, -1)}, key=fx.LIN_KEY, seed=42)
+
+
+LIN_FLAGS_SQL = """CASE WHEN l_linenumber <> 7 THEN 1 ELSE 0 END AS was_contacted,
+       CASE WHEN l_quantity > 3 THEN 1 ELSE 0 END AS intensive_contact"""
+
+
+@query("e11_prepared_set", """
+WITH lin AS (SELECT *, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label FROM lineitem),
+h AS (SELECT *, md5(concat_ws(':', '42', l_orderkey, l_partkey, l_suppkey, l_linenumber)) AS h FROM lin),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, l_orderkey, l_partkey, l_suppkey, l_linenumber)
+             AS rk, count(*) OVER (PARTITION BY label) AS nc FROM h),
+sp AS (SELECT *, CASE WHEN rk <= round(nc * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM r),
+enc AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS DOUBLE) AS code
+        FROM (SELECT DISTINCT l_linestatus AS v FROM sp WHERE split = 'train'))
+SELECT l_orderkey, l_partkey, l_suppkey, CASE WHEN l_linenumber = 7 THEN -1 ELSE l_linenumber END AS l_linenumber,
+       l_quantity, l_discount, l_tax, coalesce(enc.code, CAST((SELECT count(*) FROM enc) AS DOUBLE))
+       AS l_linestatus_idx, label, split, """ + LIN_FLAGS_SQL + """
+FROM sp LEFT JOIN enc ON sp.l_linestatus = enc.v""")
+def e11(spark, d):
+    from callrank.plans.prepare import encode_on_train, prepare
+    spec = lin_spec()
+    flags = {"was_contacted": F.col("l_linenumber") != -1, "intensive_contact": F.col("l_quantity") > 3}
+    return encode_on_train(prepare(fx.table(spark, d, "lineitem"), spec, flags=flags), spec)
+
+
+_CACHE: dict = {}
+
+
+def _cached(spark, d, name, make):
+    k = (spark.sparkContext.applicationId, d, name)
+    if k not in _CACHE:
+        _CACHE[k] = make()
+    return _CACHE[k]
+
+
+def _lin_prepared(spark, d):
+    from callrank.plans.prepare import prepare
+    return _cached(spark, d, "lin_prepared",
+                   lambda: prepare(fx.table(spark, d, "lineitem"), lin_spec()).persist())
+
+
+def _lin_fit(spark, d, name, classifier, weighted=False):
+    def make():
+        spec = lin_spec()
+        tr = _lin_prepared(spark, d).where("split = 'train'")
+        if weighted:
+            tr = encode.with_class_weight(tr, "label", "weight")
+        return encode.build_pipeline(spec.numeric, spec.categorical, classifier).fit(tr)
+    return _cached(spark, d, name, make)
+
+
+def _lin_test_scores(spark, d, name, classifier, weighted=False):
+    from callrank.operators import models
+    model = _lin_fit(spark, d, name, classifier, weighted)
+    te = _lin_prepared(spark, d).where("split = 'test'")
+    return models.predict(model, te, [*fx.LIN_KEY, "label"])
+
+
+def _m1(spark, d):
+    from callrank.operators import models
+    return _lin_test_scores(spark, d, "m1", models.decision_tree(max_depth=5, seed=42))
+
+
+def _m2(spark, d):
+    from callrank.operators import models
+    return _lin_test_scores(spark, d, "m2", models.random_forest(trees=100, max_depth=10, seed=42))
+
+
+def _m4(spark, d):
+    from callrank.operators import models
+    return _lin_test_scores(spark, d, "m4", models.boosted_trees(rounds=100, max_depth=5, step=0.1, seed=42))
+
+
+QUERIES["m1_decision_tree"] = _m1
+QUERIES["m2_random_forest"] = _m2
+QUERIES["m4_boosted_trees"] = _m4
+
+
+@query("m3_balanced_forest")
+def m3(spark, d):
+    from callrank.operators import models
+    return _lin_test_scores(spark, d, "m3", models.balanced_forest(trees=300, max_depth=12, min_leaf=20),
+                            weighted=True)
+
+
+def _m5_cv(spark, d):
+    from callrank.operators import models
+
+    def make():
+        spec = lin_spec()
+        tr = split.stratified_folds(_lin_prepared(spark, d).where("split = 'train'"), "label",
+                                    list(fx.LIN_KEY), 3, 42)
+        gbt = models.boosted_trees(rounds=20, seed=42)
+        pipe = encode.build_pipeline(spec.numeric, spec.categorical, gbt)
+        cv = models.grid_search(pipe, {"maxDepth": [3, 5], "stepSize": [0.1, 0.2]}, fold_col="fold",
+                                param_owner=gbt)
+        return cv.fit(tr)
+    return _cached(spark, d, "m5", make)
+
+
+@query("m5_grid_search")
+def m5(spark, d):
+    from callrank.operators import models
+    return models.cv_results(spark, _m5_cv(spark, d))
+
+
+@query("m6_best_params")
+def m6(spark, d):
+    from callrank.operators import models
+    return models.cv_results(spark, _m5_cv(spark, d)).where("best")
+
+
+@query("m7_cv_gap")
+def m7(spark, d):
+    from callrank.operators import models
+    cvm = _m5_cv(spark, d)
+    te = _lin_prepared(spark, d).where("split = 'test'")
+    test_auc = evaluate.roc_auc(models.predict(cvm.bestModel, te, ["label"]), "label", "p_yes").select("auc").scalar()
+    return models.cv_gap(models.cv_results(spark, cvm), test_auc)
+
+
+@query("m8_feature_importances")
+def m8(spark, d):
+    from callrank.operators import models
+    model = _lin_fit(spark, d, "m2", models.random_forest(trees=100, max_depth=10, seed=42))
+    names = encode.expanded_feature_names(model.transform(_lin_prepared(spark, d)), "features")
+    return models.feature_importances(spark, model.stages[-1], names)
+
+
+@query("m9_predict")
+def m9(spark, d):
+    from callrank.operators import models
+    model = _lin_fit(spark, d, "m1", models.decision_tree(max_depth=5, seed=42))
+    return models.predict(model, _lin_prepared(spark, d), [*fx.LIN_KEY, "split"])
+
+
+@query("t2_leaderboard")
+def t2(spark, d):
+    parts = [(n, f(spark, d)) for n, f in (("decision_tree", _m1), ("random_forest", _m2), ("boosted_trees", _m4))]
+    long = None
+    for n, s in parts:
+        p = s.select(F.lit(n).alias("model"), "label", F.col("p_yes").alias("score"))
+        long = p if long is None else long.unionByName(p)
+    return ranking.leaderboard(evaluate.roc_auc(long, "label", "score", ["model"]), "auc", "model")
+
+
+@query("t3_top_features")
+def t3(spark, d):
+    return ranking.top_k(m8(spark, d), "importance", 10, "feature")
+
+
+@query("e3_column_transformer")
+def e3(spark, d):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+    spec = lin_spec()
+    prep = _lin_prepared(spark, d)
+    model = Pipeline(stages=encode.preprocessor(spec.numeric, spec.categorical)).fit(prep.where("split = 'train'"))
+    return model.transform(prep).select(*fx.LIN_KEY, vector_to_array("features").alias("features"))
+
+
+@query("e4_feature_names")
+def e4(spark, d):
+    from pyspark.ml import Pipeline
+    spec = lin_spec()
+    prep = _lin_prepared(spark, d)
+    model = Pipeline(stages=encode.preprocessor(spec.numeric, spec.categorical)).fit(prep.where("split = 'train'"))
+    return encode.feature_names_frame(model.transform(prep), "features")
+
+
+@query("e10_pipeline_composition")
+def e10(spark, d):
+    from callrank.operators import models
+    model = _lin_fit(spark, d, "m1", models.decision_tree(max_depth=5, seed=42))
+    stages = [(i, type(s).__name__) for i, s in enumerate(model.stages)]
+    names = spark.createDataFrame(stages, "stage int, kind string")
+    scored = models.predict(model, _lin_prepared(spark, d), ["label"])
+    n = scored.agg(F.count(F.lit(1))).scalar()
+    return names.withColumn("rows_scored", n)
+
+
+def _train_result(spark, d):
+    from callrank.operators import models
+    from callrank.plans.train import train
+
+    def make():
+        spec = lin_spec()
+        return train(spark, None, spec, models.balanced_forest(trees=300, max_depth=12, min_leaf=20),
+                     threshold=0.5, prepared=_lin_prepared(spark, d))
+    return _cached(spark, d, "k4", make)
+
+
+@query("k4_train_job")
+def k4(spark, d):
+    return _train_result(spark, d).metrics
+
+
+@query("k3_model_card")
+def k3(spark, d):
+    from callrank.plans.train import model_card
+    return model_card(_train_result(spark, d))
+
+
+@query("k1_batch_score")
+def k1(spark, d):
+    from callrank.operators import score
+    res = _train_result(spark, d)
+    prep = _lin_prepared(spark, d)
+    base = prep.where("split = 'train'").agg(F.avg(F.col("label").cast("double"))).scalar()
+    return score.batch_score(res.model, prep, base, threshold=0.30, keep=list(fx.LIN_KEY))
+
+
+@query("s8_s10_model_roundtrip")
+def s8(spark, d):
+    from callrank.operators import models
+    model = _lin_fit(spark, d, "m1", models.decision_tree(max_depth=5, seed=42))
+    path = scratch_path(spark, "model")
+    sinks.save_model(model, path)
+    loaded = sinks.load_model(spark, path)
+    te = _lin_prepared(spark, d).where("split = 'test'")
+    return models.predict(loaded, te, list(fx.LIN_KEY))
+
+
+@query("s9_metrics_sink")
+def s9(spark, d):
+    res = _train_result(spark, d)
+    path = scratch_path(spark, "metrics")
+    sinks.write_metrics(res.metrics, path)
+    return sinks.load_metrics(spark, path)
