@@ -31,8 +31,9 @@ def one_hot(cols: Iterable[str], idx_suffix: str = "_idx", ohe_suffix: str = "_o
     cols = list(cols)
     idx = StringIndexer(inputCols=cols, outputCols=[c + idx_suffix for c in cols],
                         stringOrderType="alphabetAsc", handleInvalid="keep")
+    # the indexer's "keep" slot is the last one, so dropLast removes exactly it
     ohe = OneHotEncoder(inputCols=[c + idx_suffix for c in cols], outputCols=[c + ohe_suffix for c in cols],
-                        dropLast=True, handleInvalid="keep")
+                        dropLast=True)
     return [idx, ohe]
 
 
