@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callrank.functions.expressions import hash_hex_key, hash_unit
@@ -21,23 +21,38 @@ def _h(key: list[str], seed: int):
 
 
 def stratified_split(df: DataFrame, label: str, key: Iterable[str], test_fraction: float = 0.2,
-                     seed: int = 42, exact: bool = True, col: str = "split") -> DataFrame:
+                     seed: int = 42, exact: bool = True, col: str = "split",
+                     prefix_hex: int = 4) -> DataFrame:
     """Add ``split`` = 'train' / 'test'.
 
     exact=True: in each class the round(n_c * f) rows with the smallest
-    md5(seed:key) are test (class shares kept to one row).  The per-class
-    rank is a distributed exact rank, so the majority class is not one task.
-    exact=False: a row is test when hash_unit < f (no shuffle, shares kept
+    (md5(seed:key), key) are test, so class shares are kept to one row.
+    No global sort is needed: md5 prefixes are uniform, so rows are
+    counted per (class, 16-bit prefix); rows below the one boundary prefix
+    of their class are test, rows above are train, and only the rows that
+    share the boundary prefix (about 1/65536 of the class) are ranked
+    exactly.  exact=False: test when hash_unit < f (one pass, shares kept
     only in expectation)."""
     key = list(key)
     if not exact:
         return df.withColumn(col, F.when(hash_unit(seed, *key) < test_fraction, "test").otherwise("train"))
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    ranked = exact_row_number(df.withColumn("_h", _h(key, seed)), ["_h", *key], [label], name="_rk")
-    out = ranked.join(sizes, label)
-    return (out.withColumn(col, F.when(F.col("_rk") <= F.round(F.col("_nc") * F.lit(test_fraction)), "test")
-                           .otherwise("train"))
-               .drop("_h", "_rk", "_nc"))
+    x = df.withColumn("_h", _h(key, seed)).withColumn(
+        "_hb", F.conv(F.substring("_h", 1, prefix_hex), 16, 10).cast("long"))
+    cnt = x.groupBy(label, "_hb").agg(F.count(F.lit(1)).alias("_n"))  # <= classes x 16^prefix rows
+    upto = Window.partitionBy(label).orderBy("_hb").rowsBetween(Window.unboundedPreceding, 0)
+    cnt = (cnt.withColumn("_cum", F.sum("_n").over(upto))
+              .withColumn("_m", F.round(F.sum("_n").over(Window.partitionBy(label)) * F.lit(test_fraction))))
+    edge = (cnt.where(F.col("_cum") >= F.col("_m"))
+               .groupBy(label).agg(F.min(F.struct("_hb", (F.col("_cum") - F.col("_n")).alias("b"))).alias("_e"),
+                                   F.first("_m").alias("_m"))
+               .select(F.col(label).alias("_lab"), F.col("_e._hb").alias("_B"),
+                       (F.col("_m") - F.col("_e.b")).alias("_left")))  # one row per class
+    x = x.join(edge, x[label].eqNullSafe(edge["_lab"])).drop("_lab")
+    decided = (x.where(F.col("_hb") != F.col("_B"))
+                .withColumn(col, F.when(F.col("_hb") < F.col("_B"), "test").otherwise("train")))
+    ranked = exact_row_number(x.where(F.col("_hb") == F.col("_B")), ["_h", *key], [label], name="_rk")
+    boundary = ranked.withColumn(col, F.when(F.col("_rk") <= F.col("_left"), "test").otherwise("train")).drop("_rk")
+    return decided.unionByName(boundary).drop("_h", "_hb", "_B", "_left")
 
 
 def stratified_folds(df: DataFrame, label: str, key: Iterable[str], k: int = 3, seed: int = 42,

@@ -111,3 +111,28 @@ def test_segment_report_one_scan(spark):
     o = fx.ord_frame(spark, SF_SMALL, "o_orderpriority")
     plan = segments.conversion_report(o, ["o_orderpriority", "month"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 or plan.count("Scan parquet") == 1
+
+
+def test_split_boundary_ranking_against_brute_force(spark):
+    """Few hash buckets, so boundary buckets hold many rows and the exact
+    in-bucket ranking decides; compare with a plain window ranking."""
+    from pyspark.sql import Window
+
+    from callrank.functions.expressions import hash_hex_key
+    df = spark.range(0, 3000).select(F.col("id"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    got = {(r.id, r.split) for r in split.stratified_split(df, "label", ["id"], 0.2, 7, prefix_hex=1).collect()}
+    h = df.withColumn("_h", hash_hex_key(7, "id"))
+    w = Window.partitionBy("label").orderBy("_h", "id")
+    ref = (h.withColumn("rk", F.row_number().over(w))
+            .withColumn("nc", F.count("*").over(Window.partitionBy("label")))
+            .withColumn("split", F.when(F.col("rk") <= F.round(F.col("nc") * 0.2), "test").otherwise("train")))
+    assert got == {(r.id, r.split) for r in ref.collect()}
+
+
+def test_top_fraction_against_brute_force(spark):
+    from pyspark.sql import Window
+    df = spark.range(0, 5000).select("id", ((F.col("id") * 7919) % 101).cast("double").alias("s"))
+    got = {(r.id, r.call_rank) for r in ranking.top_fraction(df, "s", ["id"], 0.1).collect()}
+    w = Window.orderBy(F.desc("s"), "id")
+    ref = df.withColumn("rn", F.row_number().over(w)).where("rn <= 500")
+    assert got == {(r.id, r.rn) for r in ref.collect()}
