@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callrank.functions.expressions import safe_ratio
-from callrank.session import default_parallelism
+from callrank.session import default_parallelism, join_small
 
 
 def _cnt() -> Column:
@@ -40,7 +40,7 @@ def score_table(df: DataFrame, label: str = "label", score: str = "score",
     if G:
         # one bounded array of cut points per group (groups = models)
         cuts = g.groupBy(*G).agg(cut.alias("_cuts"))
-        g = g.join(cuts, G)
+        g = join_small(g, cuts, G)
         cuts_col = F.col("_cuts")
     else:
         # B - 1 cut points reach the driver (bounded), used as a literal array
@@ -59,7 +59,7 @@ def score_table(df: DataFrame, label: str = "label", score: str = "score",
               .withColumn("n_neg", F.sum("_bn").over(whole))
               .drop("_bp", "_bn", "_bc"))
     inb = Window.partitionBy(*G, "_b").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    return (g.join(off, [*G, "_b"])
+    return (join_small(g, off, [*G, "_b"])  # groups x buckets rows
              .withColumn("tp", F.col("_op") + F.sum("pos").over(inb))
              .withColumn("fp", F.col("_on") + F.sum("neg").over(inb))
              .withColumn("position", F.col("_oc") + F.row_number().over(inb))

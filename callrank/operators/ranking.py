@@ -17,21 +17,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callrank.functions.expressions import safe_ratio
-from callrank.session import cut_lineage, default_parallelism
+from callrank.session import cut_lineage, default_parallelism, join_small
 
 
 def _order(col) -> Column:
     return F.col(col).asc() if isinstance(col, str) else col
 
 
+# A group of at most this many rows may be numbered by one task (plain window).
+WINDOW_ROWS_LIMIT = 1_000_000
+
+
 def exact_row_number(df: DataFrame, order: Iterable, partition: Iterable[str] = (),
-                     name: str = "rn", num_partitions: int | None = None) -> DataFrame:
+                     name: str = "rn", num_partitions: int | None = None,
+                     max_group_rows: int | None = None) -> DataFrame:
     """Exact 1-based row number within ``partition`` by ``order``.
 
-    ``order`` must make rows unique (add a key) for a stable result.  The
-    per-(task, partition-key) table has at most tasks x keys rows."""
+    ``order`` must make rows unique (add a key) for a stable result.  When
+    the caller has *counted* the largest group (``max_group_rows``) and it is
+    within WINDOW_ROWS_LIMIT, a plain window does it in one pass; otherwise
+    the distributed form below is used.  Its per-(task, partition-key)
+    table has at most tasks x keys rows."""
     order = [_order(c) for c in order]
     part = list(partition)
+    if max_group_rows is not None and max_group_rows <= WINDOW_ROWS_LIMIT:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*part).orderBy(*order)))
     n = num_partitions or default_parallelism(df.sparkSession)
     keys = [F.col(p).asc() for p in part] + order
     tagged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
@@ -43,7 +53,7 @@ def exact_row_number(df: DataFrame, order: Iterable, partition: Iterable[str] =
     stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     s = stats.select(F.col("_pid").alias("_spid"), *[F.col(p).alias(f"_s_{p}") for p in part], "_off", "_first")
     cond = [F.col("_pid") == F.col("_spid")] + [F.col(p).eqNullSafe(F.col(f"_s_{p}")) for p in part]
-    out = tagged.join(s, cond)
+    out = join_small(tagged, s, cond)  # tasks x keys rows, size checked before broadcast
     out = out.withColumn(name, F.col("_off") + F.col("_mid") - F.col("_first") + 1)
     return out.drop("_pid", "_mid", "_spid", "_off", "_first", *[f"_s_{p}" for p in part])
 
@@ -72,14 +82,14 @@ def top_fraction(df: DataFrame, score: str, key: Iterable[str], fraction: float
     n = df.agg(F.count(F.lit(1))).scalar()
     q = max(0.0, 1.0 - fraction - 2 * rel_error)
     t0 = df.approxQuantile(score, [q], rel_error) if q > 0 else []
-    cand = df
+    cand, size = df, None
     if t0:
-        above = df.where(F.col(score) >= F.lit(t0[0]))
         k = df.agg(F.ceil(F.count(F.lit(1)) * F.lit(fraction)).alias("k"),
                    F.count_if(F.col(score) >= F.lit(t0[0])).alias("a")).first()
-        if k["a"] >= k["k"]:
-            cand = above
-    ranked = exact_row_number(cand, [F.col(score).desc()] + [F.col(c).asc() for c in key], name=rank_col)
+        if k["a"] >= k["k"]:  # the guarantee holds: rank only the candidates (counted)
+            cand, size = df.where(F.col(score) >= F.lit(t0[0])), k["a"]
+    ranked = exact_row_number(cand, [F.col(score).desc()] + [F.col(c).asc() for c in key], name=rank_col,
+                              max_group_rows=size)
     return ranked.where(F.col(rank_col) <= F.ceil(n * F.lit(fraction)))
 
 

@@ -41,5 +41,6 @@ def encode_on_train(prepared: DataFrame, spec: FeatureSpec, split_col: str = "sp
     cats = list(spec.categorical)
     if not cats:
         return prepared
+    prepared = prepared.persist()  # read by the fit and by the output: hash the rows once
     model = encode.label_encoder(cats).fit(prepared.where(F.col(split_col) == "train"))
     return model.transform(prepared).drop(*cats)

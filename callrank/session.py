@@ -68,3 +68,15 @@ def default_parallelism(spark: SparkSession) -> int:
         return int(spark.conf.get("spark.sql.shuffle.partitions"))
     except Exception:  # noqa: BLE001
         return os.cpu_count() or 8
+
+
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
+               max_rows: int = 1_000_000) -> DataFrame:
+    """Join with a side that is small by construction (per class, per
+    bucket, per task tables).  The small side is checkpointed (computed once,
+    reliably), its size is checked, and only then broadcast; beyond
+    ``max_rows`` it is a regular shuffle join."""
+    small = cut_lineage(small)
+    n = small.limit(max_rows + 1).count()
+    from pyspark.sql import functions as F
+    return big.join(F.broadcast(small) if n <= max_rows else small, on, how)
