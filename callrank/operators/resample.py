@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callrank.functions.expressions import hash_hex_key
-from callrank.operators.ranking import exact_row_number
+from callrank.operators.split import hash_rank
 from callrank.session import cut_lineage
 
 
@@ -113,7 +113,7 @@ def smote_samples(df: DataFrame, vec: str, dims: int, label: str, key: Iterable[
         rows = df.where(F.col(label) == F.lit(cls)).select(*key, vec)
         nbrs = knn_distinct(rows, vec, dims, k, per_band)
         kk = min(k, rows.select(vec).distinct().count() - 1)
-        ranked = exact_row_number(rows.withColumn("_h", hash_hex_key(seed, *key)), ["_h", *key], name="_rn")
+        ranked = hash_rank(rows, None, key, seed, name="_rn")
         base, extra = divmod(need, n_c)
         copies = (ranked.withColumn("_c", F.lit(base) + F.when(F.col("_rn") <= extra, 1).otherwise(0))
                         .where(F.col("_c") > 0)

@@ -136,3 +136,11 @@ def test_top_fraction_against_brute_force(spark):
     w = Window.orderBy(F.desc("s"), "id")
     ref = df.withColumn("rn", F.row_number().over(w)).where("rn <= 500")
     assert got == {(r.id, r.rn) for r in ref.collect()}
+
+
+def test_equal_count_bins_match_ntile(spark):
+    from pyspark.sql import Window
+    df = spark.range(0, 4003).select("id", ((F.col("id") * 7919) % 37).cast("double").alias("s"))
+    got = {(r.id, r.bin) for r in ranking.equal_count_bins(df, "s", ["id"], 10, buckets=6).collect()}
+    ref = df.withColumn("bin", F.ntile(10).over(Window.orderBy(F.desc("s"), "id")))
+    assert got == {(r.id, r.bin) for r in ref.collect()}
