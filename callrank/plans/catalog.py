@@ -1090,8 +1090,9 @@ def _train_result(spark, d):
 
     def make():
         spec = lin_spec()
-        return train(spark, None, spec, models.balanced_forest(trees=300, max_depth=12, min_leaf=20),
-                     threshold=0.5, prepared=_lin_prepared(spark, d))
+        clf = models.balanced_forest(trees=300, max_depth=12, min_leaf=20)
+        fitted = _lin_fit(spark, d, "m3", clf, weighted=True)  # the M3 fit, shared
+        return train(spark, None, spec, clf, threshold=0.5, prepared=_lin_prepared(spark, d), fitted=fitted)
     return _cached(spark, d, "k4", make)
 
 

@@ -36,7 +36,9 @@ class TrainResult:
 
 def train(spark: SparkSession, df: DataFrame, spec: FeatureSpec, classifier=None,
           threshold: float = 0.5, out_dir: str | None = None, top: int = 15,
-          prepared: DataFrame | None = None) -> TrainResult:
+          prepared: DataFrame | None = None, fitted: PipelineModel | None = None) -> TrainResult:
+    """``fitted``: an already fitted pipeline for the same spec (its fit is
+    skipped; evaluation and reports are the same)."""
     prepared = prepared if prepared is not None else prepare(df, spec)
     prepared = prepared.persist()
     train_df = prepared.where(F.col("split") == "train")
@@ -44,8 +46,7 @@ def train(spark: SparkSession, df: DataFrame, spec: FeatureSpec, classifier=None
     weights = encode.class_weights(train_df, spec.label)
     train_df = encode.with_class_weight(train_df, spec.label, "weight", weights)
     clf = classifier or models.balanced_forest(label=spec.label)
-    pipe = encode.build_pipeline(spec.numeric, spec.categorical, clf)
-    model = pipe.fit(train_df)
+    model = fitted or encode.build_pipeline(spec.numeric, spec.categorical, clf).fit(train_df)
     keep = [c for c in spec.key if c in test_df.columns] + [spec.label]
     scored = (model.transform(test_df)
                    .select(*keep, vector_to_array(F.col("probability"))[1].alias("p_yes"))

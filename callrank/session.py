@@ -24,6 +24,8 @@ def build_session(master: str | None = None, app: str = "callrank",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": os.environ.get("CALLRANK_DRIVER_MEMORY", "8g"),
+        # checkpoints of unreferenced frames are removed from the shared folder
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
