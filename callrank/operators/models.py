@@ -7,6 +7,7 @@ Every fit is distributed; only fitted trees, parameter maps and metrics
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Mapping
 
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
@@ -17,6 +18,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _mb(text: str) -> int:
+    t = text.strip().lower()
+    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
+    if t and t[-1] == "b":
+        t = t[:-1]
+    return int(float(t[:-1]) * units[t[-1]]) if t and t[-1] in units else int(t)  # bare number: MiB
+
+
+def tree_memory_mb(spark: SparkSession | None = None) -> int:
+    """Split-statistics budget per task: the heap of one executor shared by
+    its task slots, an eighth of each slot's share, between 16 and 256 MB."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return 64
+    conf = spark.sparkContext.getConf()
+    master = conf.get("spark.master", "local[*]")
+    if master.startswith("local"):
+        mem = conf.get("spark.driver.memory", "1g")
+        n = master[master.find("[") + 1:master.find("]")] if "[" in master else "1"
+        cores = (os.cpu_count() or 1) if n.startswith("*") else int(n.split(",")[0])
+    else:
+        mem = conf.get("spark.executor.memory", "1g")
+        cores = int(conf.get("spark.executor.cores", "1"))
+    return int(max(16, min(256, _mb(mem) // (8 * max(cores, 1)))))
+
+
 def decision_tree(features: str = "features", label: str = "label", max_depth: int = 5,
                   seed: int = 42, max_bins: int = 64, weight: str | None = None) -> DecisionTreeClassifier:
     """M1: single tree, depth 5."""
@@ -27,7 +54,7 @@ def decision_tree(features: str = "features", label: str = "label", max_depth: i
 
 def random_forest(features: str = "features", label: str = "label", trees: int = 100, max_depth: int = 10,
                   seed: int = 42, min_leaf: int = 1, weight: str | None = None,
-                  max_bins: int = 64, memory_mb: int = 256) -> RandomForestClassifier:
+                  max_bins: int = 64, memory_mb: int | None = None) -> RandomForestClassifier:
     """M2: forest of 100 trees of depth 10, sqrt(features) per split.
 
     ``memory_mb`` bounds the split statistics one task aggregates per pass
@@ -36,7 +63,7 @@ def random_forest(features: str = "features", label: str = "label", trees: int =
     with the cache checkpointed every 10 passes to the shared folder."""
     m = RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=trees, maxDepth=max_depth,
                                featureSubsetStrategy="sqrt", seed=seed, minInstancesPerNode=min_leaf,
-                               maxBins=max_bins, maxMemoryInMB=memory_mb,
+                               maxBins=max_bins, maxMemoryInMB=memory_mb or tree_memory_mb(),
                                cacheNodeIds=max_depth > 8, checkpointInterval=10)
     return m.setWeightCol(weight) if weight else m
 
