@@ -112,7 +112,8 @@ def smote_samples(df: DataFrame, vec: str, dims: int, label: str, key: Iterable[
         need = n_max - n_c
         rows = df.where(F.col(label) == F.lit(cls)).select(*key, vec)
         nbrs = knn_distinct(rows, vec, dims, k, per_band)
-        kk = min(k, rows.select(vec).distinct().count() - 1)
+        kk = nbrs.agg(F.max("nb_rank")).first()[0]
+        kk = 0 if kk is None else kk + 1
         ranked = hash_rank(rows, None, key, seed, name="_rn")
         base, extra = divmod(need, n_c)
         copies = (ranked.withColumn("_c", F.lit(base) + F.when(F.col("_rn") <= extra, 1).otherwise(0))
@@ -141,6 +142,9 @@ def smote(df: DataFrame, features: list[str], label: str, key: Iterable[str], k:
     ``synthetic`` flag; synthetic rows keep their parent's key."""
     key = list(key)
     arr = df.select(*key, F.array(*[F.col(f).cast("double") for f in features]).alias(vec), label)
+    # the narrow (key, vector, label) table is read by every pass below; write it
+    # once instead of re-deriving it from the wide source each time
+    arr = cut_lineage(arr)
     syn = smote_samples(arr, vec, len(features), label, key, k, seed)
     orig = arr.withColumn("copy", F.lit(0)).withColumn("synthetic", F.lit(False))
     both = orig.unionByName(syn.withColumn("synthetic", F.lit(True)))
