@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callrank.functions.expressions import safe_ratio
-from callrank.session import default_parallelism, join_small
+from callrank.session import cut_lineage, default_parallelism, join_small
 
 
 def _cnt() -> Column:
@@ -34,6 +34,9 @@ def score_table(df: DataFrame, label: str = "label", score: str = "score",
            .groupBy(*G, score)
            .agg(F.sum(F.col(label).cast("long")).alias("pos"), _cnt().alias("_c"))
            .withColumn("neg", F.col("_c") - F.col("pos")).drop("_c"))
+    # read three times below (cut points, bucket totals, rows): aggregate the
+    # input once and keep the narrow distinct-score table in the shared folder
+    g = cut_lineage(g)
     B = buckets or max(16, 4 * default_parallelism(df.sparkSession))
     probs = [i / B for i in range(1, B)]
     cut = F.percentile_approx(F.col(score).cast("double"), probs, 10000)
