@@ -909,12 +909,14 @@ LIN_FLAGS_SQL = """CASE WHEN l_linenumber <> 7 THEN 1 ELSE 0 END AS was_contacte
        CASE WHEN l_quantity > 3 THEN 1 ELSE 0 END AS intensive_contact"""
 
 
-@query("e11_prepared_set", """
-WITH lin AS (SELECT *, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label FROM lineitem),
+LIN_SPLIT_SQL = """lin AS (SELECT *, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label FROM lineitem),
 h AS (SELECT *, md5(concat_ws(':', '42', l_orderkey, l_partkey, l_suppkey, l_linenumber)) AS h FROM lin),
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, l_orderkey, l_partkey, l_suppkey, l_linenumber)
              AS rk, count(*) OVER (PARTITION BY label) AS nc FROM h),
-sp AS (SELECT *, CASE WHEN rk <= round(nc * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM r),
+sp AS (SELECT *, CASE WHEN rk <= round(nc * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM r)"""
+
+
+@query("e11_prepared_set", "WITH " + LIN_SPLIT_SQL + """,
 enc AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS DOUBLE) AS code
         FROM (SELECT DISTINCT l_linestatus AS v FROM sp WHERE split = 'train'))
 SELECT l_orderkey, l_partkey, l_suppkey, CASE WHEN l_linenumber = 7 THEN -1 ELSE l_linenumber END AS l_linenumber,
@@ -1054,17 +1056,28 @@ def t3(spark, d):
     return ranking.top_k(m8(spark, d), "importance", 10, "feature")
 
 
-@query("e3_column_transformer")
+@query("e3_column_transformer", "WITH " + LIN_SPLIT_SQL + """
+SELECT l_orderkey, l_partkey, l_suppkey, CASE WHEN l_linenumber = 7 THEN -1 ELSE l_linenumber END AS l_linenumber,
+       l_quantity AS f_l_quantity, l_discount AS f_l_discount, l_tax AS f_l_tax,
+       CAST(CASE WHEN l_linenumber = 7 THEN -1 ELSE l_linenumber END AS DOUBLE) AS f_l_linenumber,
+       CAST(l_linestatus = 'F' AS DOUBLE) AS f_l_linestatus_F, CAST(l_linestatus = 'O' AS DOUBLE) AS f_l_linestatus_O
+FROM sp""")
 def e3(spark, d):
+    """The fitted column transformer's vector, one named double per slot."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.functions import vector_to_array
     spec = lin_spec()
     prep = _lin_prepared(spark, d)
     model = Pipeline(stages=encode.preprocessor(spec.numeric, spec.categorical)).fit(prep.where("split = 'train'"))
-    return model.transform(prep).select(*fx.LIN_KEY, vector_to_array("features").alias("features"))
+    out = model.transform(prep)
+    names = ["f_" + n for n in encode.expanded_feature_names(out, "features")]
+    return encode.unpack_vector(out.select(*fx.LIN_KEY, "features"), "features", names).drop("features")
 
 
-@query("e4_feature_names")
+@query("e4_feature_names", "WITH " + LIN_SPLIT_SQL + """,
+num(position, feature) AS (VALUES (0, 'l_quantity'), (1, 'l_discount'), (2, 'l_tax'), (3, 'l_linenumber')),
+cat AS (SELECT CAST(3 + row_number() OVER (ORDER BY v) AS INTEGER) AS position, 'l_linestatus_' || v AS feature
+        FROM (SELECT DISTINCT l_linestatus AS v FROM sp WHERE split = 'train'))
+SELECT position, feature FROM num UNION ALL SELECT position, feature FROM cat""")
 def e4(spark, d):
     from pyspark.ml import Pipeline
     spec = lin_spec()
