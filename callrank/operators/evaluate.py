@@ -70,11 +70,11 @@ def score_table(df: DataFrame, label: str = "label", score: str = "score",
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
-            groups: Iterable[str] = ()) -> DataFrame:
+            groups: Iterable[str] = (), buckets: int | None = None) -> DataFrame:
     """H1 (H7 with groups): exact ROC-AUC, ties counted half; NULL when only
     one class is present.  Integer numerator, so the value is exact."""
     G = list(groups)
-    st = score_table(df, label, score, G)
+    st = score_table(df, label, score, G, buckets)
     num = F.sum((F.col("neg") * (F.lit(2) * F.col("tp") - F.col("pos"))).cast("decimal(38,0)"))
     out = st.groupBy(*G).agg(num.alias("_num"), F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"))
     den = F.lit(2.0) * F.col("n_pos").cast("double") * F.col("n_neg").cast("double")
@@ -82,10 +82,10 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
 
 
 def average_precision(df: DataFrame, label: str = "label", score: str = "score",
-                      groups: Iterable[str] = ()) -> DataFrame:
+                      groups: Iterable[str] = (), buckets: int | None = None) -> DataFrame:
     """H2: average precision = sum over thresholds of (R_n - R_{n-1}) * P_n."""
     G = list(groups)
-    st = score_table(df, label, score, G)
+    st = score_table(df, label, score, G, buckets)
     term = F.col("pos").cast("double") * (F.col("tp").cast("double") / (F.col("tp") + F.col("fp")).cast("double"))
     return (st.groupBy(*G).agg(F.sum(term).alias("_s"), F.max("n_pos").alias("n_pos"))
               .select(*G, F.when(F.col("n_pos") > 0, F.col("_s") / F.col("n_pos").cast("double"))
@@ -93,13 +93,14 @@ def average_precision(df: DataFrame, label: str = "label", score: str = "score",
 
 
 def roc_curve(df: DataFrame, label: str = "label", score: str = "score",
-              groups: Iterable[str] = (), drop_intermediate: bool = False) -> DataFrame:
+              groups: Iterable[str] = (), drop_intermediate: bool = False,
+              buckets: int | None = None) -> DataFrame:
     """H6: (threshold, fpr, tpr) from the highest score down, starting at
     (+inf, 0, 0).  ``drop_intermediate`` drops points whose fpr and tpr
     steps both equal the step before (collinear), by an equi-join on
     position +/- 1 rather than a one-partition lag/lead."""
     G = list(groups)
-    st = score_table(df, label, score, G)
+    st = score_table(df, label, score, G, buckets)
     pts = st.select(*G, F.col(score).cast("double").alias("threshold"), "position", "tp", "fp", "n_pos", "n_neg")
     start = (st.where(F.col("position") == 1)
                .select(*G, F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("position"),
@@ -121,10 +122,10 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score",
 
 
 def pr_curve(df: DataFrame, label: str = "label", score: str = "score",
-             groups: Iterable[str] = ()) -> DataFrame:
+             groups: Iterable[str] = (), buckets: int | None = None) -> DataFrame:
     """H8: (threshold, precision, recall) per distinct score."""
     G = list(groups)
-    st = score_table(df, label, score, G)
+    st = score_table(df, label, score, G, buckets)
     return st.select(*G, F.col(score).cast("double").alias("threshold"), "position",
                      safe_ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
                      safe_ratio(F.col("tp"), F.col("n_pos")).alias("recall"))
