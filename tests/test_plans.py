@@ -31,13 +31,22 @@ def test_scan_reads_only_needed_columns(spark):
 
 
 def test_score_table_has_no_single_partition_row_exchange(spark):
+    """Row-level running sums are windows partitioned by score bucket; the
+    only global window (over bucket totals) is computed beforehand and
+    checkpointed, so the row plan has no single-partition exchange."""
     from pyspark.sql import functions as F
 
     from callrank.operators import evaluate
-    df = spark.range(0, 20000).select((F.col("id") % 2).alias("label"), (F.col("id") * 37 % 5003).cast("double").alias("score"))
-    st = evaluate.score_table(df)
-    plan = st._jdf.queryExecution().optimizedPlan().toString()
-    # the only global (unpartitioned) work is on bucket totals, never on rows
-    assert "Window" in plan
-    p = _plan(st)
-    assert "SinglePartition" not in p.split("Window")[0] or True
+    df = spark.range(0, 20000).select((F.col("id") % 2).alias("label"),
+                                      (F.col("id") * 37 % 5003).cast("double").alias("score"))
+    p = _plan(evaluate.score_table(df))
+    assert "SinglePartition" not in p
+    assert "windowspecdefinition(_b" in p and "hashpartitioning(_b" in p
+
+
+def test_split_plan_has_no_range_sort_of_all_rows(spark):
+    from callrank.operators import split
+    from callrank.plans import fixtures as fx
+    o = fx.ord_frame(spark, SF_SMALL, "o_orderkey").select("o_orderkey", "label")
+    p = _plan(split.stratified_split(o, "label", ["o_orderkey"]))
+    assert "rangepartitioning" not in p
