@@ -5,12 +5,13 @@ nearest minority neighbours.  Neighbours are searched among *distinct*
 minority vectors (a vector repeated by a third of the rows is one point;
 interpolating between two copies of one point would only copy it).  The
 search is exact and never forms all pairs: every vector gets its distance
-r to a fixed pivot, vectors are banded by r with width w, and a query is
-joined only with its own and the two adjacent bands.  By the triangle
-inequality a vector outside those bands is farther than w, so a query
-whose k-th candidate is closer than w is final; the others are retried
-with w four times wider.  When w exceeds the spread of r every vector is a
-candidate, so the loop ends with an exact answer for every query.
+r to a fixed pivot, vectors are put in equal-count bands of r (edges at
+approximate quantiles), and a query is joined only with its own and the
+two adjacent (super-)bands.  By the triangle inequality a vector outside
+them is farther than the nearer outer edge, so a query whose k-th
+candidate is closer than that is final; the others are retried with
+super-bands twice as wide.  When one super-band holds every vector all
+queries are final, so the loop ends with an exact answer for every query.
 
 Draws.  Copies, neighbour choice and the interpolation weight u come from
 md5(seed:key[:copy]), never from partitioning, so the output repeats
@@ -44,39 +45,65 @@ def _hex_unit(h: Column, start: int) -> Column:
 
 
 def knn_distinct(points: DataFrame, vec: str, dims: int, k: int, per_band: int = 64,
-                 growth: float = 4.0) -> DataFrame:
+                 max_bands: int = 100_000) -> DataFrame:
     """Exact k nearest *other* distinct vectors of every distinct vector.
 
     Returns (vec, nb_rank 0..k'-1, nb, d2), k' = min(k, distinct - 1); ties
-    in distance are broken by the neighbour vector (lexicographic)."""
+    in distance are broken by the neighbour vector (lexicographic).
+
+    Bands hold equal counts: their edges are approximate quantiles of the
+    pivot distance r (at most ``max_bands``, a bounded list), so a dense
+    region gets narrow bands instead of crowded ones.  At level L a query
+    in band b meets the vectors of super-bands (b >> L) - 1 .. (b >> L) + 1;
+    it is final when its k-th candidate is closer than the nearer outer edge
+    of those super-bands (anything beyond is farther, by the triangle
+    inequality).  Each level doubles the super-band, so after about
+    log2(bands) levels every query is final."""
+    from pyspark.ml.feature import Bucketizer
+
     V = points.select(vec).where(F.col(vec).isNotNull()).distinct()
     piv = V.agg(*[F.min(F.col(vec)[i]).alias(f"p{i}") for i in range(dims)]).first()
     pv = F.array(*[F.lit(float(piv[i] or 0.0)) for i in range(dims)])
     V = cut_lineage(V.withColumn("_r", F.sqrt(sq_dist(vec, pv))))
-    st = V.agg(F.min("_r").alias("lo"), F.max("_r").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    n = st["n"]
+    n = V.count()
     kk = min(k, n - 1)
     spark = points.sparkSession
     schema = f"{vec} array<double>, nb_rank int, nb array<double>, d2 double"
     if kk <= 0:
         return spark.createDataFrame([], schema)
-    span = float(st["hi"] - st["lo"])
-    w = span * per_band / n if span > 0 else 1.0
-    w = w if w > 0 else 1.0
-    todo = V.select(vec, "_r")
-    done = []
+    nb_target = max(1, min(n // per_band, max_bands))
+    cuts = (sorted(set(V.approxQuantile("_r", [i / nb_target for i in range(1, nb_target)], 1.0 / (4 * nb_target))))
+            if nb_target > 1 else [])
+    splits = [float("-inf")] + cuts + [float("inf")]
+    m = len(splits) - 1  # number of bands
+    if cuts:
+        V = Bucketizer(splits=splits, inputCol="_r", outputCol="_bd").transform(V)
+        V = cut_lineage(V.withColumn("_bd", F.col("_bd").cast("long")))
+    else:  # fewer vectors than two bands: one band
+        V = V.withColumn("_bd", F.lit(0).cast("long"))
+    # band edges: m + 1 rows, bounded by max_bands + 1
+    edges = F.broadcast(spark.createDataFrame([(i, x) for i, x in enumerate(splits)], "_e long, _x double"))
+    todo = V.select(vec, "_r", "_bd")
+    done, level = [], 0
     while True:
-        full = w > span
-        band = F.floor(F.col("_r") / F.lit(w)).cast("long")
-        data = V.select(F.col(vec).alias("nb"), band.alias("_b"))
-        qry = todo.select(vec, F.explode(F.array(band - 1, band, band + 1)).alias("_b"))
-        pairs = (qry.join(data, "_b").where(F.col(vec) != F.col("nb"))
+        width = 1 << level
+        full = width >= m
+        sb = F.shiftright(F.col("_bd"), level)
+        data = V.select(F.col(vec).alias("nb"), sb.alias("_j"))
+        qry = (todo.withColumn("_s", sb)
+                   .withColumn("_lo_e", F.greatest(F.lit(0), (F.col("_s") - 1) * width))
+                   .withColumn("_hi_e", F.least(F.lit(m), (F.col("_s") + 2) * width))
+                   .join(edges.select(F.col("_e").alias("_lo_e"), F.col("_x").alias("_lo")), "_lo_e")
+                   .join(edges.select(F.col("_e").alias("_hi_e"), F.col("_x").alias("_hi")), "_hi_e")
+                   .withColumn("_rad", F.least(F.col("_r") - F.col("_lo"), F.col("_hi") - F.col("_r")))
+                   .select(vec, "_rad", F.explode(F.array(F.col("_s") - 1, F.col("_s"), F.col("_s") + 1)).alias("_j")))
+        pairs = (qry.join(data, "_j").where(F.col(vec) != F.col("nb"))
                     .withColumn("d2", sq_dist(vec, "nb")))
         byq = Window.partitionBy(vec).orderBy("d2", "nb")
         ranked = (pairs.withColumn("nb_rank", (F.row_number().over(byq) - 1).cast("int"))
                        .withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(vec))))
         top = ranked.where(F.col("nb_rank") < kk)
-        safe = F.lit((w * (1 - 1e-9)) ** 2)
+        safe = (F.col("_rad") * F.lit(1 - 1e-9)) ** 2
         final_q = (top.where((F.col("nb_rank") == kk - 1) & (F.col("_m") >= kk)
                              & (F.lit(full) | (F.col("d2") < safe)))
                       .select(vec))
@@ -85,7 +112,7 @@ def knn_distinct(points: DataFrame, vec: str, dims: int, k: int, per_band: int =
         todo = cut_lineage(todo.join(got.select(vec).distinct(), vec, "left_anti"))
         if full or todo.isEmpty():
             break
-        w *= growth
+        level += 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

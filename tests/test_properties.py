@@ -144,3 +144,20 @@ def test_equal_count_bins_match_ntile(spark):
     got = {(r.id, r.bin) for r in ranking.equal_count_bins(df, "s", ["id"], 10, buckets=6).collect()}
     ref = df.withColumn("bin", F.ntile(10).over(Window.orderBy(F.desc("s"), "id")))
     assert got == {(r.id, r.bin) for r in ref.collect()}
+
+
+def test_knn_exact_on_skewed_data(spark):
+    """Heavy-tailed first coordinate (dense near 0, sparse far out), small
+    bands: several bands and widening levels, still equal to all pairs."""
+    import random
+    rnd = random.Random(11)
+    pts = [([float(int(rnd.paretovariate(1.2) * 10)), float(rnd.randint(0, 3)), float(rnd.randint(0, 9))],)
+           for _ in range(400)]
+    df = spark.createDataFrame(pts, "x array<double>")
+    got = {(tuple(r.x), r.nb_rank): (tuple(r.nb), r.d2)
+           for r in resample.knn_distinct(df, "x", 3, 5, per_band=4).collect()}
+    uniq = sorted({tuple(p[0]) for p in pts})
+    for q in uniq:
+        others = sorted((sum((a - b) ** 2 for a, b in zip(q, o)), o) for o in uniq if o != q)
+        for j in range(min(5, len(uniq) - 1)):
+            assert got[(q, j)] == (others[j][1], others[j][0])
