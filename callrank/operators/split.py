@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from callrank.functions.expressions import hash_hex_key, hash_unit
 from callrank.operators.ranking import exact_row_number
-from callrank.session import cut_lineage
+from callrank.session import cut_lineage, join_null_safe
 
 
 def _h(key: list[str], seed: int):
@@ -85,7 +85,7 @@ def hash_rank(df: DataFrame, label: str | None, key: Iterable[str], seed: int =
     off = cnt.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = Window.partitionBy(*part, "_hp").orderBy("_h", *key)
     ranked = x.withColumn("_in", F.row_number().over(inside))
-    out = ranked.join(off, [*part, "_hp"])  # co-partitioned with the window on (class, prefix)
+    out = join_null_safe(ranked, off, [*part, "_hp"])  # NULL class kept
     return out.withColumn(name, F.col("_off") + F.col("_in")).drop("_h", "_hp", "_in", "_off")
 
 

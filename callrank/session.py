@@ -81,4 +81,19 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
     small = cut_lineage(small)
     n = small.limit(max_rows + 1).count()
     from pyspark.sql import functions as F
+    if isinstance(on, (list, tuple)) and all(isinstance(c, str) for c in on):
+        return join_null_safe(big, small, on, how, broadcast_right=n <= max_rows)
     return big.join(F.broadcast(small) if n <= max_rows else small, on, how)
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, cols, how: str = "inner",
+                   broadcast_right: bool = False) -> DataFrame:
+    """Equi-join on ``cols`` where NULL keys match NULL keys (``<=>``), so a
+    row with a NULL class or group is kept, not silently dropped."""
+    from pyspark.sql import functions as F
+    cols = list(cols)
+    r = right.select(*[F.col(c).alias(f"__r_{c}") if c in cols else F.col(c) for c in right.columns])
+    if broadcast_right:
+        r = F.broadcast(r)
+    cond = [left[c].eqNullSafe(r[f"__r_{c}"]) for c in cols]
+    return left.join(r, cond, how).drop(*[f"__r_{c}" for c in cols])

@@ -121,3 +121,16 @@ def test_source_fallback_and_missing_model(spark, tmp_path):
         readers.first_readable([lambda: spark.read.parquet(str(tmp_path / "nope"))])
     with pytest.raises(sinks.ArtifactMissingError):
         sinks.load_model(spark, str(tmp_path / "no_model"))
+
+
+def test_null_class_rows_are_kept(spark):
+    from callrank.operators import split
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 2) for i in range(200)], "id int, label int")
+    folds = split.stratified_folds(df, "label", ["id"], 3)
+    assert folds.count() == 200 and folds.where("label IS NULL").count() == 40
+    sp = split.stratified_split(df, "label", ["id"])
+    assert sp.count() == 200 and sp.where("label IS NULL AND split = 'test'").count() == 8
+    long = spark.createDataFrame([(None if i % 4 == 0 else "m", i % 2, float(i % 7)) for i in range(100)],
+                                 "model string, label int, score double")
+    auc = evaluate.roc_auc(long, groups=["model"]).collect()
+    assert len(auc) == 2 and sum(r.n_pos + r.n_neg for r in auc) == 100
