@@ -27,7 +27,9 @@ def prepare(df: DataFrame, spec: FeatureSpec, test_fraction: float = 0.2,
     if spec.null_tokens:
         df = transforms.replace_tokens(df, spec.null_tokens, spec.categorical)
     df = transforms.add_target(df, spec.target, spec.positive, spec.label)
-    df = split.stratified_split(df, spec.label, spec.key, test_fraction, spec.seed, exact=exact_split)
+    # a table without a key column is hashed on all its selected columns
+    key = list(spec.key) or [c for c in df.columns if c != spec.label]
+    df = split.stratified_split(df, spec.label, key, test_fraction, spec.seed, exact=exact_split)
     for col, (old, new) in spec.sentinels.items():
         df = (transforms.null_sentinel(df, col, old) if new is None else transforms.recode(df, col, old, new))
     df = transforms.drop_leakage(df, spec)
