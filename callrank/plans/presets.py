@@ -1,4 +1,4 @@
-"""Presets for the public bank-marketing layouts, so a campaign table in
+"""Presets for the public bank telemarketing data layouts, so a campaign table in
 either layout runs through the whole job with one call.
 
 The EDA report is the notebook's first pass (shape, schema, profile, class
