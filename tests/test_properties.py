@@ -161,3 +161,39 @@ def test_knn_exact_on_skewed_data(spark):
         others = sorted((sum((a - b) ** 2 for a, b in zip(q, o)), o) for o in uniq if o != q)
         for j in range(min(5, len(uniq) - 1)):
             assert got[(q, j)] == (others[j][1], others[j][0])
+
+
+def test_synthetic_points_lie_between_parent_and_a_neighbour(spark):
+    d = fx.doc_frame(spark, SF_SMALL)
+    feats = ["n_chars", "toxic", "len_mod"]
+    arr = d.select("doc_id", F.array(*[F.col(f).cast("double") for f in feats]).alias("_x"), "label")
+    syn = resample.smote_samples(arr, "_x", 3, "label", ["doc_id"], 5, 42).collect()
+    parents = {r.doc_id: tuple(r._x) for r in arr.where("label = 1").collect()}
+    nbrs = {}
+    for r in resample.knn_distinct(arr.where("label = 1"), "_x", 3, 5).collect():
+        nbrs.setdefault(tuple(r._x), []).append(tuple(r.nb))
+    assert syn
+    for s in syn:
+        x = parents[s.doc_id]
+        assert any(all(min(a, b) - 1e-9 <= v <= max(a, b) + 1e-9 for a, b, v in zip(x, nb, s._x))
+                   for nb in nbrs[x])
+
+
+def test_label_codes_round_trip(spark):
+    from pyspark.ml.feature import IndexToString
+
+    from callrank.operators import encode
+    o = fx.table(spark, SF_SMALL, "orders", "o_orderkey", "o_orderpriority")
+    model = encode.label_encoder(["o_orderpriority"]).fit(o)
+    coded = model.transform(o)
+    back = IndexToString(inputCol="o_orderpriority_idx", outputCol="decoded",
+                         labels=model.labelsArray[0]).transform(coded)
+    assert back.where("decoded <> o_orderpriority").count() == 0
+    assert model.labelsArray[0] == sorted(model.labelsArray[0])  # alphabetical codes
+
+
+def test_quality_report_one_scan(spark):
+    from callrank.operators import quality
+    p = quality.quality_report(fx.table(spark, SF_SMALL, "orders"), tokens=["x"])._jdf.queryExecution() \
+        .executedPlan().toString()
+    assert p.count("Scan parquet") == 1
