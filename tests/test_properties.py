@@ -197,3 +197,11 @@ def test_quality_report_one_scan(spark):
     p = quality.quality_report(fx.table(spark, SF_SMALL, "orders"), tokens=["x"])._jdf.queryExecution() \
         .executedPlan().toString()
     assert p.count("Scan parquet") == 1
+
+
+def test_equal_count_bins_many_buckets(spark):
+    from pyspark.sql import Window
+    df = spark.range(0, 6000).select("id", ((F.col("id") * 7919) % 997).cast("double").alias("s"))
+    got = {(r.id, r.bin) for r in ranking.equal_count_bins(df, "s", ["id"], 10, buckets=600).collect()}
+    ref = df.withColumn("bin", F.ntile(10).over(Window.orderBy(F.desc("s"), "id")))
+    assert got == {(r.id, r.bin) for r in ref.collect()}
