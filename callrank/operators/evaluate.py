@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callrank.functions.expressions import safe_ratio
+from callrank.operators.ranking import bucket_desc
 from callrank.session import cut_lineage, default_parallelism, join_small
 
 
@@ -38,20 +39,11 @@ def score_table(df: DataFrame, label: str = "label", score: str = "score",
     # input once and keep the narrow distinct-score table in the shared folder
     g = cut_lineage(g)
     B = buckets or max(16, 4 * default_parallelism(df.sparkSession))
-    probs = [i / B for i in range(1, B)]
-    cut = F.percentile_approx(F.col(score).cast("double"), probs, 10000)
-    if G:
-        # one bounded array of cut points per group (groups = models)
-        cuts = g.groupBy(*G).agg(cut.alias("_cuts"))
-        g = join_small(g, cuts, G)
-        cuts_col = F.col("_cuts")
-    else:
-        # B - 1 cut points reach the driver (bounded), used as a literal array
-        pts = sorted(set(g.approxQuantile(score, probs, 1e-4)))
-        cuts_col = F.array(*[F.lit(float(x)) for x in pts]) if pts else F.array().cast("array<double>")
-    g = g.withColumn("_b", F.size(F.filter(cuts_col, lambda c: c > F.col(score))))
-    if "_cuts" in g.columns:
-        g = g.drop("_cuts")
+    # B - 1 cut points (bounded) at quantiles of the distinct (group, score)
+    # rows, pooled over groups: every bucket, hence every (group, bucket)
+    # window, holds at most about 1/B of the rows
+    pts = sorted(set(g.approxQuantile(score, [i / B for i in range(1, B)], 1.0 / (4 * B))))
+    g = bucket_desc(g, score, pts, "_b")
     tot = g.groupBy(*G, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"), _cnt().alias("_bc"))
     above = Window.partitionBy(*G).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*G)

@@ -20,6 +20,20 @@ from callrank.functions.expressions import safe_ratio
 from callrank.session import cut_lineage, default_parallelism, join_small
 
 
+def bucket_desc(df: DataFrame, col: str, cuts: list[float], out: str = "_b") -> DataFrame:
+    """``out`` = number of cut points strictly above ``col`` (0 = the highest
+    values), by binary search (Bucketizer, JVM side), so thousands of cut
+    points cost log2(B) comparisons per row."""
+    from pyspark.ml.feature import Bucketizer
+    if not cuts:
+        return df.withColumn(out, F.lit(0))
+    splits = [float("-inf")] + [float(c) for c in cuts] + [float("inf")]
+    tmp = f"{out}__asc"
+    b = Bucketizer(splits=splits, inputCol=f"{out}__x", outputCol=tmp, handleInvalid="keep").transform(
+        df.withColumn(f"{out}__x", F.col(col).cast("double")))
+    return b.withColumn(out, (F.lit(len(cuts)) - F.col(tmp)).cast("int")).drop(tmp, f"{out}__x")
+
+
 def _order(col) -> Column:
     return F.col(col).asc() if isinstance(col, str) else col
 
@@ -114,8 +128,7 @@ def equal_count_bins(df: DataFrame, score: str, key: Iterable[str], bins: int =
     key = list(key)
     B = buckets or max(4 * bins, 4 * default_parallelism(df.sparkSession))
     cuts = sorted(set(df.approxQuantile(score, [i / B for i in range(1, B)], rel_error)))
-    arr = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
-    x = df.withColumn("_b", F.size(F.filter(arr, lambda c: c > F.col(score))))  # 0 = highest scores
+    x = bucket_desc(df, score, cuts, "_b")  # 0 = highest scores
     counts = sorted((r["_b"], r["n"]) for r in x.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect())
     n = sum(c for _, c in counts)
     if n == 0:
