@@ -55,7 +55,7 @@ def exact_row_number(df: DataFrame, order: Iterable, partition: Iterable[str] =
     order = [_order(c) for c in order]
     part = list(partition)
     if max_group_rows is not None and max_group_rows <= WINDOW_ROWS_LIMIT:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*part).orderBy(*order)))
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*part).orderBy(*order)).cast("long"))
     n = num_partitions or default_parallelism(df.sparkSession)
     keys = [F.col(p).asc() for p in part] + order
     tagged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)

@@ -36,7 +36,7 @@ def query(name: str, sql: str | None = None):
 
 # Common table expressions of the bindings, in DuckDB SQL.
 ORD_SQL = """ord AS (SELECT *, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label,
-                     month(o_orderdate) AS month FROM orders)"""
+                     CAST(month(o_orderdate) AS INTEGER) AS month FROM orders)"""
 LIN_SQL = """lin AS (SELECT *, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label FROM lineitem)"""
 DOC_SQL = """doc AS (SELECT l.doc_id, 1 - l.quality AS label, d.n_chars, l.toxic,
                      length(d.text) % 50 AS len_mod

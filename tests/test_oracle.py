@@ -11,7 +11,8 @@ from conftest import SF_SMALL
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 
-MODEL_FREE = None
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+         "timestamp_ntz": "TIMESTAMP"}
 
 
 def _norm(v):
@@ -50,6 +51,8 @@ def test_matches_duckdb(spark, con, name):
     rel = con.sql(oracle_sql()[name])
     ocols = list(rel.columns)
     assert sorted(ocols) == cols
+    spark_types = {f.name: TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    assert spark_types == {c: str(t) for c, t in zip(rel.columns, rel.types)}
     idx = sorted(range(len(ocols)), key=lambda i: ocols[i])
     exp = sorted([tuple(_norm(r[i]) for i in idx) for r in rel.fetchall()], key=_key)
     assert got == exp
