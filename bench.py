@@ -38,6 +38,7 @@ HEADLINE = [
 
 def run(spark, name: str, sf_dir: str) -> tuple[float, int]:
     catalog._CACHE.clear()
+    spark.catalog.clearCache()  # each run pays for its own persisted frames
     t0 = time.perf_counter()
     df = catalog.QUERIES[name](spark, sf_dir)
     df.write.format("noop").mode("overwrite").save()

@@ -34,6 +34,7 @@ def main():
         rows = None
         for _ in range(2):
             catalog._CACHE.clear()
+            spark.catalog.clearCache()
             t0 = time.perf_counter()
             df = fn(spark, sf)
             rows = df.count()
