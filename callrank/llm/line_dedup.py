@@ -126,8 +126,9 @@ def judge_lines(docs: DataFrame, q: int = SHINGLE, similarity: float = SIMILARIT
       by (doc_id, hash of the text, line number) stays, null ids first.
     * Blank lines are layout, not content; they have no row and stay.
       Null and empty texts have no lines.
-    * Rows that repeat both id and text count as one document: they have
-      equal rows, and keep the same lines.
+    * Rows that repeat both id and text are one document in several copies:
+      they have equal rows and keep the same lines; ``group_size`` counts
+      each copy.
     * Extra columns are not read; an empty table gives an empty result.
     """
     lines = line_occurrences(docs, doc_id, text)
