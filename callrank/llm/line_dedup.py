@@ -1,40 +1,54 @@
 """Line deduplication with fuzzy matching by MinHash.
 
-Distinct lines get a MinHash signature over their character shingles (byte
-q-grams of the UTF-8 text); bands of the signature bring similar lines
-together; candidates are verified by the exact Jaccard similarity of their
-shingle sets; and distributed union-find over the verified links keeps one
-line of each component.  DataFrame functions only.
+Distinct lines get a MinHash signature over their character shingles; bands
+of the signature bring similar lines together; candidates are verified by the
+exact Jaccard similarity of their shingle sets; and distributed union-find
+over the verified links keeps one line of each component.  DataFrame
+functions only.
+
+A shingle begins at a word and goes on to the ``SHINGLE``-th character of the
+next word, so the shingles of a line cover all its characters, and there is
+one for each word instead of one for each character.  In scripts without
+blanks between words each character is a word.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from callrank.llm.common import boxed, materialise, unboxed
 from callrank.llm.components import connected_components
 
-#: Bytes of a shingle, least Jaccard similarity, bands and rows of a band.
-#: A pair at the threshold shares a band with probability
+#: Characters of the next word in a shingle, least Jaccard similarity, bands
+#: and rows of a band.  A pair at the threshold shares a band with probability
 #: 1 - (1 - 0.8 ** 4) ** 8 = 0.985, one at 0.9 with 0.9998.
 SHINGLE, SIMILARITY, BANDS, ROWS = 8, 0.8, 8, 4
 
+#: Lines of a band that are compared pair by pair, if unlike its most frequent line.
+SMALL_BAND = 16
+
+#: Characters that are words by themselves.
+ALONE = r"([\p{IsIdeographic}\p{IsHiragana}\p{IsKatakana}\p{IsThai}])"
+
 
 def normal(line: Column) -> Column:
     """What of a line is compared: lower case, no white space at its ends."""
     return F.lower(F.trim(line, F.lit(" \t\r\x0b\x0c")))
 
 
-def _constants(n: int) -> list[int]:
-    """n signed 64-bit constants; the top bits go through all values in turn,
-    so that the minima come from different parts of the hash range."""
-    out, x = [], 0x243F6A8885A308D3
-    for i in range(n):
-        x = (x * 6364136223846793005 + 1442695040888963407) % (1 << 64)
-        top = (i * 2 + 1) % 64
-        v = (top << 58) | (x >> 6)
-        out.append(v - (1 << 64) if v >> 63 else v)
+def _constants(bands: int, rows: int) -> list[int]:
+    """A signed 64-bit constant for each row of each band.  The minimum of
+    hash XOR constant is the hash nearest to the constant, so the rows of a
+    band are spread evenly over the hash range: they then depend on
+    different shingles, also in short lines."""
+    out, x, n = [], 0x243F6A8885A308D3, bands * rows
+    for b in range(bands):
+        for r in range(rows):
+            x = (x * 6364136223846793005 + 1442695040888963407) % (1 << 64)
+            v = ((r * bands + b) * (1 << 64) // n + (x % ((1 << 64) // n))) % (1 << 64)
+            out.append(v - (1 << 64) if v >> 63 else v)
     return out
 
 
@@ -44,14 +58,16 @@ def line_occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"),
                       F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "raw"))
     own = own.select("doc_id", "text_hash", "line_no", normal(F.col("raw")).alias("line")).where("line != ''")
-    return own.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(0x5EED), F.reverse("line")))
+    return own.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(0x5EED), F.col("line")))
 
 
 def shingle_hashes(line: Column, q: int) -> Column:
-    """The set of hashes of a line's q-byte shingles; a shorter line is one."""
-    b = F.encode(line, "UTF-8")
-    n = F.greatest(F.octet_length(line) - q + 1, F.lit(1))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.substring(b, i, F.lit(q)))))
+    """Hashes of a line's shingles; the last word is followed by nothing."""
+    # such characters take three bytes or more, so other lines are not searched for them
+    wide = F.octet_length(line) >= 2 * F.char_length(line)
+    words = F.split(F.when(wide, F.regexp_replace(line, ALONE, "$1 ")).otherwise(line), " ")
+    after = F.slice(words, F.lit(2), F.size(words))
+    return F.zip_with(words, after, lambda a, b: F.xxhash64(a, F.substring(b, 1, q)))
 
 
 def signed_lines(lines: DataFrame, q: int, bands: int, rows: int) -> DataFrame:
@@ -64,53 +80,81 @@ def signed_lines(lines: DataFrame, q: int, bands: int, rows: int) -> DataFrame:
     """
     occ = F.struct("doc_id", "text_hash", "line_no")
     uniq = lines.groupBy("h1", "h2").agg(F.min("line").alias("line"), F.min(occ).alias("first"), F.count("*").alias("n"))
-    n = F.greatest(F.octet_length("line") - q + 1, F.lit(1))
-    grams = uniq.select("h1", "h2", F.encode("line", "UTF-8").alias("b"), F.explode(F.sequence(F.lit(1), n)).alias("i"))
-    grams = grams.select("h1", "h2", F.xxhash64(F.substring("b", F.col("i"), F.lit(q))).alias("g"))
-    sign = grams.groupBy("h1", "h2").agg(*[
-        F.min(F.col("g").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(_constants(bands * rows))])
+    # both sides of the join below ask for the same columns, so they share one exchange
+    grams = uniq.select("h1", "h2", (F.xxhash64("first") + F.lit(0) * F.col("n")).alias("f"),
+                        F.explode(shingle_hashes(F.col("line"), q)).alias("g"))
+    sign = grams.groupBy("h1", "h2").agg(F.max("f").alias("f"), *[
+        F.min(F.col("g").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(_constants(bands, rows))])
     keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)])
-    return uniq.join(sign.select("h1", "h2", keys.alias("bands")), ["h1", "h2"]).withColumn(
+    return uniq.join(sign.where("f is not null").select("h1", "h2", keys.alias("bands")), ["h1", "h2"]).withColumn(
         "lid", F.monotonically_increasing_id())
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, q: int, similarity: float) -> DataFrame:
     """The pairs (u, v) of line ids whose shingle sets are similar enough."""
-    size = F.greatest(F.octet_length("line") - q + 1, F.lit(1))
-    side = lines.select("lid", "line", size.alias("n"))
-    got = pairs.join(side.toDF("u", "line_u", "n_u"), "u").join(side.toDF("v", "line_v", "n_v"), "v")
-    got = got.withColumn("a", shingle_hashes(F.col("line_u"), q)).withColumn("b", shingle_hashes(F.col("line_v"), q))
-    na, nb = F.size("a"), F.size("b")
-    got = got.where(F.least(na, nb) >= similarity * F.greatest(na, nb))
-    both = F.size(F.array_intersect("a", "b"))
-    return got.where(both >= similarity * (F.size("a") + F.size("b") - both)).select("u", "v")
+    side = lines.select("lid", "line")
+    got = pairs.join(side.toDF("u", "line_u"), "u").join(side.toDF("v", "line_v"), "v")
+    got = got.withColumn("a", F.array_distinct(shingle_hashes(F.col("line_u"), q)))
+    got = got.withColumn("b", F.array_distinct(shingle_hashes(F.col("line_v"), q)))
+    return got.where(_alike(F.col("a"), F.col("b"), similarity)).select("u", "v")
+
+
+def _alike(a: Column, b: Column, similarity: float) -> Column:
+    """Exact Jaccard test of two shingle sets."""
+    both = F.size(F.array_intersect(a, b))
+    return both >= similarity * (F.size(a) + F.size(b) - both)
+
+
+def _prefix_links(members: DataFrame, lines: DataFrame, q: int, similarity: float) -> DataFrame:
+    """Links (u, v) of lines in the same band and different components:
+    shingles are ordered by rarity within the band, and two lines that are
+    similar enough share one of their n - ceil(similarity * n) + 1 rarest
+    shingles.  Where they first do, what follows in either must still hold
+    the overlap that is needed.  Sets that pass are compared in the join."""
+    tok = members.join(lines.select("lid", "line"), "lid").withColumn("s", F.array_distinct(shingle_hashes(F.col("line"), q)))
+    tok = tok.withColumn("n", F.size("s")).select("band", "lid", "root", "n", "s", F.explode("s").alias("tok"))
+    df = tok.groupBy("band", "tok").agg(F.count("*").alias("df"))
+    place = F.row_number().over(W.partitionBy("band", "lid").orderBy("df", "tok"))
+    need = F.ceil(F.col("n") * similarity - 1e-9)
+    rare = tok.join(df, ["band", "tok"]).withColumn("i", place).where((F.col("i") <= F.col("n") - need + 1) & (F.col("df") > 1))
+    x = rare.select("band", "tok", F.col("lid").alias("u"), F.col("root").alias("ru"), "n", "i", "s").alias("x")
+    y = rare.select("band", "tok", F.col("lid").alias("v"), F.col("root").alias("rv"), "n", "i", "s").alias("y")
+    overlap = F.ceil((F.col("x.n") + F.col("y.n")) * (similarity / (1 + similarity)) - 1e-9)
+    rest = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i")) + 1
+    same = (F.col("x.band") == F.col("y.band")) & (F.col("x.tok") == F.col("y.tok"))
+    met = x.join(y, same & (F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & (rest >= overlap)
+                 & _alike(F.col("x.s"), F.col("y.s"), similarity))
+    return met.select("u", "v").distinct()
 
 
 def similar_lines(lines: DataFrame, q: int, similarity: float) -> DataFrame:
     """Components (node, root) of line ids under verified links among the
     lines that share a band.
 
-    Within a band every line is first compared with the band's least line.
-    Those found similar are in one component, and need not be compared with
-    each other.  A line that is not is then compared with every other line of
-    the band that is in another component.  So the components are those of
-    all pairs of a band, while the pairs made grow with the band's size and
-    its unlike lines, not with its square.
+    Within a band every line is first compared with the band's most frequent line;
+    those found similar are in one component and need not be compared with
+    each other.  What is left, pairs of one band in different components, is
+    compared pair by pair in bands of at most ``SMALL_BAND`` lines, and found
+    by the prefix filter, which loses none, in larger ones.  So the
+    components are those of all pairs of a band without making all pairs.
     """
-    one = lines.select(F.col("lid"), F.explode("bands").alias("band"))
-    shared = one.groupBy("band").agg(F.min("lid").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least")
-    members = materialise(one.join(shared, "band"), "band-members")
-    star = members.where("lid != least").select(F.col("least").alias("u"), F.col("lid").alias("v")).distinct()
+    one = lines.select("lid", F.col("n").alias("times"), F.explode("bands").alias("band"))
+    # edited copies are more like the line they were made from, the most frequent one, than like each other
+    shared = one.groupBy("band").agg(F.max(F.struct("times", "lid"))["lid"].alias("centre"), F.count("*").alias("n"))
+    members = materialise(one.drop("times").join(shared.where("n > 1"), "band"), "band-members")
+    star = members.where("lid != centre").select(F.least("centre", "lid").alias("u"), F.greatest("centre", "lid").alias("v")).distinct()
     links = materialise(_verified(star, lines, q, similarity), "links")
     comp = connected_components(links)
     apart = members.join(comp, members["lid"] == comp["node"], "left").select(
-        "band", "lid", "least", F.coalesce("root", "lid").alias("root"))
+        "band", "lid", "centre", "n", F.coalesce("root", "lid").alias("root"))
     apart = materialise(apart, "band-components")
-    least = apart.where("lid = least").select("band", F.col("root").alias("least_root"))
-    odd = apart.join(least, "band").where("root != least_root").select("band", F.col("lid").alias("x"), F.col("root").alias("rx"))
-    rest = odd.join(apart.select("band", "lid", "root", "least"), "band").where("root != rx and lid != least")
-    rest = rest.select(F.least("x", "lid").alias("u"), F.greatest("x", "lid").alias("v")).distinct()
-    more = materialise(_verified(rest, lines, q, similarity), "more-links")
+    centre = apart.where("lid = centre").select("band", F.col("root").alias("centre_root"))
+    odd = apart.join(centre, "band").where("root != centre_root").select("band", F.col("lid").alias("x"), F.col("root").alias("rx"), "n")
+    few = odd.where(F.col("n") <= SMALL_BAND).drop("n").join(apart.select("band", "lid", "root", "centre"), "band")
+    few = few.where("root != rx and lid != centre").select(F.least("x", "lid").alias("u"), F.greatest("x", "lid").alias("v"))
+    large = odd.where(F.col("n") > SMALL_BAND).select("band").distinct()
+    many = _prefix_links(apart.join(large, "band", "left_semi").select("band", "lid", "root"), lines, q, similarity)
+    more = materialise(_verified(few.distinct(), lines, q, similarity).unionByName(many), "more-links")
     return connected_components(links.unionByName(more))
 
 

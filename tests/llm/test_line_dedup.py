@@ -1,6 +1,8 @@
 import random
+import re
 from collections import Counter
 
+import pytest
 from llm_data import SF_SMALL, make_docs, odd_docs  # noqa: F401
 
 from callrank.llm import line_dedup
@@ -11,8 +13,8 @@ def normal(line):
 
 
 def grams(line, q):
-    b = line.encode()
-    return {b[i:i + q] for i in range(max(1, len(b) - q + 1))}
+    w = re.sub(r"([\u4e00-\u9fff])", r"\1 ", line).split(" ") if len(line.encode()) >= 2 * len(line) else line.split(" ")
+    return set(zip(w, [x[:q] for x in w[1:]] + [None]))
 
 
 def brute(rows, q, similarity):
@@ -85,7 +87,9 @@ def near(rnd, line, edits):
     return " ".join(w)
 
 
-def test_fuzzy_groups_and_chains(make_docs):  # noqa: F811
+@pytest.mark.parametrize("small", [0, 16])
+def test_fuzzy_groups_and_chains(make_docs, monkeypatch, small):  # noqa: F811
+    monkeypatch.setattr(line_dedup, "SMALL_BAND", small)  # 0: all by the prefix filter
     rnd = random.Random(2)
     rows, n = [], 0
     for g in range(12):
@@ -97,6 +101,12 @@ def test_fuzzy_groups_and_chains(make_docs):  # noqa: F811
     assert lost == 0 and groups < 400
 
 
+def test_scripts_without_blanks(make_docs):  # noqa: F811
+    line = "".join(chr(0x4E00 + 7 * i % 900) for i in range(120))
+    df = make_docs([(1, line), (2, line[:50] + "\u9999" + line[51:]), (3, line[::-1]), (4, "x" * 5000 + "y"), (5, "x" * 5000 + "z")])
+    assert check(df) == (4, 0)
+
+
 def test_recall_at_the_threshold(make_docs):  # noqa: F811
     rnd = random.Random(3)
     rows = []
