@@ -73,3 +73,21 @@ def boxed(docs: DataFrame, **keys: Column) -> DataFrame:
 def unboxed(rows: DataFrame, columns: list[str]) -> DataFrame:
     """The rows of ``boxed`` as they were."""
     return rows.select(*[F.col("row").getField(c).alias(c) for c in columns])
+
+
+#: Bits of the membership map: 8 MB, whatever the number of ids.
+MAP_BITS = 1 << 26
+
+
+def likely_members(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The ``rows`` whose bigint ``key`` is probably among ``ids[key]``: all
+    that are, and some that only share a bit of a map of fixed size, which is
+    broadcast.  Put before a join, it keeps most other rows from the shuffle."""
+    bit = F.pmod(F.xxhash64(key), F.lit(MAP_BITS))
+    part = ids.select(F.bitmap_bucket_number(bit).alias("_p"), F.bitmap_bit_position(bit).alias("_at"))
+    part = part.groupBy("_p").agg(F.bitmap_construct_agg("_at").alias("_map"))
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("_map", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    own = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    met = rows.withColumn("_p", F.bitmap_bucket_number(bit)).join(F.broadcast(part), "_p")
+    return met.where(own).drop("_p", "_map")

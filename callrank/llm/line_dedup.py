@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from callrank.llm.common import boxed, materialise, unboxed
+from callrank.llm.common import boxed, likely_members, materialise, unboxed
 from callrank.llm.components import connected_components
 
 #: Characters of the next word in a shingle, least Jaccard similarity, bands
@@ -138,10 +138,13 @@ def similar_lines(lines: DataFrame, q: int, similarity: float) -> DataFrame:
     by the prefix filter, which loses none, in larger ones.  So the
     components are those of all pairs of a band without making all pairs.
     """
-    one = lines.select("lid", F.col("n").alias("times"), F.explode("bands").alias("band"))
+    # dealt by band once, for the counts and the join that follows
+    one = lines.select("lid", F.col("n").alias("times"), F.explode("bands").alias("band")).repartition("band")
     # edited copies are more like the line they were made from, the most frequent one, than like each other
     shared = one.groupBy("band").agg(F.max(F.struct("times", "lid"))["lid"].alias("centre"), F.count("*").alias("n"))
-    members = materialise(one.drop("times").join(shared.where("n > 1"), "band"), "band-members")
+    members = materialise(one.join(shared.where("n > 1"), "band").drop("times"), "band-members")
+    # only these lines' texts are compared; the others' are not shuffled again
+    lines = materialise(likely_members(lines.select("lid", "line"), members, "lid"), "band-texts")
     star = members.where("lid != centre").select(F.least("centre", "lid").alias("u"), F.greatest("centre", "lid").alias("v")).distinct()
     links = materialise(_verified(star, lines, q, similarity), "links")
     comp = connected_components(links)
