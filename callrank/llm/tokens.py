@@ -30,6 +30,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.known: dict[str, bytes] = {}
@@ -44,6 +45,13 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """One pre-token.  Printable ASCII is its own byte-level form, so the
+        model can take it as it is, without the steps before."""
+        if not word.isascii():
+            return self._whole(word)
+        return np.array([t.id for t in self.model.tokenize(word)], self.dtype).tobytes()
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -55,7 +63,7 @@ class Encoder:
         except KeyError:
             for w in words:
                 if w not in known and w not in new:
-                    new[w] = self._whole(w)
+                    new[w] = self._word(w)
             out = b"".join([known[w] if w in known else new[w] for w in words])
             room = WORDS_KEPT - len(known)
             known.update(list(new.items())[:room] if len(new) > room else new)
