@@ -97,8 +97,8 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score",
     start = (st.where(F.col("position") == 1)
                .select(*G, F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("position"),
                        F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), "n_pos", "n_neg"))
-    pts = pts.unionByName(start)
     if drop_intermediate:
+        # the origin is added afterwards: the first and last real points stay
         prev = pts.select(*G, (F.col("position") + 1).alias("position"),
                           F.col("tp").alias("_ptp"), F.col("fp").alias("_pfp"))
         nxt = pts.select(*G, (F.col("position") - 1).alias("position"),
@@ -108,6 +108,7 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score",
                 | ((F.col("_ntp") - F.col("tp")) != (F.col("tp") - F.col("_ptp")))
                 | ((F.col("_nfp") - F.col("fp")) != (F.col("fp") - F.col("_pfp"))))
         pts = j.where(keep).drop("_ptp", "_pfp", "_ntp", "_nfp")
+    pts = pts.unionByName(start)
     return pts.select(*G, "threshold", "position",
                       safe_ratio(F.col("fp"), F.col("n_neg")).alias("fpr"),
                       safe_ratio(F.col("tp"), F.col("n_pos")).alias("tpr"))

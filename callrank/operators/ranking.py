@@ -129,6 +129,8 @@ def equal_count_bins(df: DataFrame, score: str, key: Iterable[str], bins: int =
     B = buckets or max(4 * bins, 4 * default_parallelism(df.sparkSession))
     cuts = sorted(set(df.approxQuantile(score, [i / B for i in range(1, B)], rel_error)))
     x = bucket_desc(df, score, cuts, "_b")  # 0 = highest scores
+    # NULL scores come last, as in the window's order: a bucket below all others
+    x = x.withColumn("_b", F.when(F.col(score).isNull(), F.lit(len(cuts) + 2)).otherwise(F.col("_b")))
     counts = sorted((r["_b"], r["n"]) for r in x.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect())
     n = sum(c for _, c in counts)
     if n == 0:

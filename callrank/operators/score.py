@@ -57,8 +57,9 @@ def domain_violations(df: DataFrame, key: Iterable[str], domains: DataFrame,
     else:
         bad = None
     if ranges is not None:
-        # numeric inputs; the inner join keeps those that have a learned range
-        num = [f.name for f in df.schema.fields if f.name in cols and f.dataType.simpleString() != "string"]
+        # only inputs with a learned range: one row per column, a fact of the schema
+        ranged = {r["column_name"] for r in ranges.select("column_name").distinct().collect()}
+        num = [c for c in cols if c in ranged and c not in str_cols]
         if num:
             long_num = (df.select(*key, *[F.col(c).cast("double").alias(c) for c in num])
                           .unpivot(key, num, "column_name", "x"))

@@ -2,34 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def chi_square_statistic(df: DataFrame, a: str, b: str) -> DataFrame:
     """Pearson chi-square of independence of ``a`` and ``b``, with dof.
 
-    Cells with zero count never exist as rows; their share is added back as
-    n - sum(expected over observed cells), so no full grid is built."""
-    cells = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("o"))
-    rows = cells.groupBy(a).agg(F.sum("o").alias("rt"))
-    cols = cells.groupBy(b).agg(F.sum("o").alias("ct"))
-    n = cells.agg(F.sum("o")).scalar()
-    e = F.col("rt").cast("double") * F.col("ct").cast("double") / n.cast("double")
-    j = cells.join(rows, a).join(cols, b).withColumn("e", e)
-    out = j.agg(F.sum((F.col("o") - F.col("e")) ** 2 / F.col("e")).alias("_obs"),
-                F.sum("e").alias("_se"), F.count_distinct(a).alias("_r"), F.count_distinct(b).alias("_c"))
-    return out.select((F.col("_obs") + (n.cast("double") - F.col("_se"))).alias("statistic"),
+    Rows with a NULL in either column are left out, as in
+    ``chi_square_test``.  The rows are counted into cells once; the margins
+    are sums of the cells, and n * (sum(o^2 / (row * column)) - 1) needs
+    neither expected counts nor the cells that have no rows."""
+    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("o"))
+    j = (cells.withColumn("rt", F.sum("o").over(Window.partitionBy(a)))
+              .withColumn("ct", F.sum("o").over(Window.partitionBy(b))))
+    o, margins = F.col("o").cast("double"), F.col("rt").cast("double") * F.col("ct").cast("double")
+    out = j.agg(F.sum(o * o / margins).alias("_s"), F.sum("o").alias("n"),
+                F.count_distinct(a).alias("_r"), F.count_distinct(b).alias("_c"))
+    return out.select((F.col("n").cast("double") * (F.col("_s") - 1)).alias("statistic"),
                       ((F.col("_r") - 1) * (F.col("_c") - 1)).cast("long").alias("dof"),
-                      n.cast("long").alias("n"))
+                      F.col("n").cast("long").alias("n"))
 
 
 def chi_square_test(df: DataFrame, a: str, b: str) -> DataFrame:
     """H11 with p-value: pyspark.ml ChiSquareTest on indexed categories
-    (distributed; the p-value comes from the JVM chi-square distribution)."""
+    (distributed; the p-value comes from the JVM chi-square distribution).
+    Rows with a NULL in either column are left out."""
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     from pyspark.ml.stat import ChiSquareTest
 
+    df = df.select(a, b).dropna()
     idx = StringIndexer(inputCols=[a, b], outputCols=["_a", "_b"], handleInvalid="keep",
                         stringOrderType="alphabetAsc").fit(df.select(a, b))
     x = idx.transform(df.select(a, b))

@@ -668,10 +668,12 @@ def h6(spark, d):
 
 @query("h6_roc_curve_corners", "WITH " + ROC_SQL + """,
 l AS (SELECT *, lag(tp) OVER w AS ptp, lag(fp) OVER w AS pfp, lead(tp) OVER w AS ntp, lead(fp) OVER w AS nfp
-      FROM pts WINDOW w AS (ORDER BY position))
+      FROM pts WHERE position > 0 WINDOW w AS (ORDER BY position)),
+k AS (SELECT threshold, position, tp, fp, n_pos, n_neg FROM l
+      WHERE ptp IS NULL OR ntp IS NULL OR (ntp - tp) <> (tp - ptp) OR (nfp - fp) <> (fp - pfp)
+      UNION ALL SELECT threshold, position, tp, fp, n_pos, n_neg FROM pts WHERE position = 0)
 SELECT threshold, position, CAST(fp AS DOUBLE) / CAST(n_neg AS DOUBLE) AS fpr,
-       CAST(tp AS DOUBLE) / CAST(n_pos AS DOUBLE) AS tpr FROM l
-WHERE ptp IS NULL OR ntp IS NULL OR (ntp - tp) <> (tp - ptp) OR (nfp - fp) <> (fp - pfp)""")
+       CAST(tp AS DOUBLE) / CAST(n_pos AS DOUBLE) AS tpr FROM k""")
 def h6c(spark, d):
     return evaluate.roc_curve(_sco_a(spark, d), drop_intermediate=True)
 
@@ -782,6 +784,28 @@ x AS (SELECT sum(power(o - e, 2) / e) + (CAST(any_value(t.n) AS DOUBLE) - sum(e)
              ((SELECT count(*) FROM r) - 1) * ((SELECT count(*) FROM k) - 1) AS dof FROM e, t)"""
 
 
+@query("h11_chi_square_null_keys", """
+WITH x AS (SELECT NULLIF(l_returnflag, 'N') AS a, NULLIF(l_linenumber, 3) AS b FROM lineitem),
+c AS (SELECT a, b, count(*) AS o FROM x WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY a, b),
+m AS (SELECT a, b, o, sum(o) OVER (PARTITION BY a) AS rt, sum(o) OVER (PARTITION BY b) AS ct, sum(o) OVER () AS n FROM c)
+SELECT round(sum((o - rt * ct / n::DOUBLE) ** 2 / (rt * ct / n::DOUBLE)), 9) AS statistic,
+       CAST((count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS BIGINT) AS dof, CAST(sum(o) AS BIGINT) AS n FROM m""")
+def h11_nulls(spark, d):
+    df = fx.table(spark, d, "lineitem").select(F.nullif(F.col("l_returnflag"), F.lit("N")).alias("a"),
+                                               F.nullif(F.col("l_linenumber"), F.lit(3)).alias("b"))
+    return stats.chi_square_statistic(df, "a", "b").select(_round("statistic", 9), "dof", "n")
+
+
+@query("t5_gains_table_null_scores", "WITH " + DOC_SQL + """,
+s AS (SELECT doc_id, label, NULLIF(n_chars % 7, 3) AS score FROM doc),
+b AS (SELECT label, ntile(10) OVER (ORDER BY score DESC NULLS LAST, doc_id) AS bin FROM s)
+SELECT CAST(bin AS INTEGER) AS bin, count(*) AS n, CAST(sum(label) AS BIGINT) AS conversions FROM b GROUP BY bin""")
+def t5_nulls(spark, d):
+    docs = fx.doc_frame(spark, d).withColumn("score", F.nullif(F.col("n_chars") % 7, F.lit(3).cast("long")))
+    x = ranking.equal_count_bins(docs.select("doc_id", "label", "score"), "score", ["doc_id"])
+    return x.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("conversions"))
+
+
 @query("h11_chi_square_pvalue", "WITH " + H11_SQL + """
 SELECT round(stat, 9) AS statistic, CAST(dof AS BIGINT) AS dof,
        round(CASE WHEN dof % 2 = 0 THEN exp(-stat / 2) * (SELECT sum(power(stat / 2, i) / gamma(i + 1))

@@ -1,4 +1,5 @@
-"""The prepared-set builder, one lazy chain.
+"""The prepared-set builder.  The split counts classes while it is
+built; the rest is one lazy chain.
 
 select (pruned scan) -> normalise names -> tokens to NULL -> 0/1 label ->
 stratified split on the key -> sentinel recode -> drop leakage and raw
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callrank.operators import encode, quality, split, transforms
+from callrank.session import scratch_path
 from callrank.spec import FeatureSpec
 
 
@@ -23,7 +25,10 @@ def prepare(df: DataFrame, spec: FeatureSpec, test_fraction: float = 0.2,
             normalize: bool = True) -> DataFrame:
     if normalize:
         df = quality.normalize_names(df)
-    df = df.select(*[c for c in spec.columns if c in df.columns])
+    missing = [c for c in spec.columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"columns of the feature spec are not in the input: {missing}")
+    df = df.select(*spec.columns)
     if spec.null_tokens:
         df = transforms.replace_tokens(df, spec.null_tokens, spec.categorical)
     df = transforms.add_target(df, spec.target, spec.positive, spec.label)
@@ -43,6 +48,10 @@ def encode_on_train(prepared: DataFrame, spec: FeatureSpec, split_col: str = "sp
     cats = list(spec.categorical)
     if not cats:
         return prepared
-    prepared = prepared.persist()  # read by the fit and by the output: hash the rows once
+    # read by the fit and by the output: the rows are hashed once, into a
+    # written table that survives lost executors and holds no memory
+    path = scratch_path(prepared.sparkSession, "prepared")
+    prepared.write.parquet(path)
+    prepared = prepared.sparkSession.read.schema(prepared.schema).parquet(path)
     model = encode.label_encoder(cats).fit(prepared.where(F.col(split_col) == "train"))
     return model.transform(prepared).drop(*cats)

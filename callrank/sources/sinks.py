@@ -34,11 +34,12 @@ class ArtifactMissingError(FileNotFoundError):
 
 
 def load_model(spark: SparkSession, path: str) -> PipelineModel:
-    """Load a fitted pipeline, with a clear error when it is missing."""
-    try:
-        return PipelineModel.load(path)
-    except Exception as e:  # noqa: BLE001
-        raise ArtifactMissingError(f"model artifact not found at {path!r}: train first ({e.__class__.__name__})") from e
+    """Load a fitted pipeline, with a clear error when it is missing.
+    Other errors (unreadable files, wrong class) come through as they are."""
+    metadata = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/metadata")
+    if not metadata.getFileSystem(spark._jsc.hadoopConfiguration()).exists(metadata):
+        raise ArtifactMissingError(f"model artifact not found at {path!r}: train first")
+    return PipelineModel.load(path)
 
 
 def load_metrics(spark: SparkSession, path: str) -> DataFrame:

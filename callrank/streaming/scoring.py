@@ -1,9 +1,9 @@
 """K1 on a stream: score client files as they land in a folder.
 
 ``PipelineModel.transform`` and the K1 columns are stateless per row, so
-the streaming plan is the batch plan per micro-batch; the checkpoint
-(offsets + commits) lives in the shared checkpoint folder, so a restarted
-or re-scheduled query resumes without re-scoring or losing files.
+the streaming plan is the batch plan per micro-batch.  ``checkpoint``
+(offsets + commits) is a shared folder that the caller names: a query
+restarted with the same one resumes without re-scoring or losing files.
 """
 
 from __future__ import annotations
@@ -14,12 +14,11 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from callrank.operators.score import batch_score
-from callrank.session import scratch_path
 
 
 def score_stream(spark: SparkSession, model: PipelineModel, source_dir: str, schema: StructType | str,
                  sink_dir: str, base_rate: float, threshold: float = 0.30, keep=(),
-                 checkpoint: str | None = None, available_now: bool = True,
+                 *, checkpoint: str, available_now: bool = True,
                  max_files_per_trigger: int | None = None) -> StreamingQuery:
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
@@ -27,6 +26,6 @@ def score_stream(spark: SparkSession, model: PipelineModel, source_dir: str, sch
     src = reader.parquet(source_dir)
     scored = batch_score(model, src, base_rate, threshold, keep)
     w = (scored.writeStream.format("parquet").outputMode("append")
-               .option("checkpointLocation", checkpoint or scratch_path(spark, "score-stream-ckpt")))
+               .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start(sink_dir)

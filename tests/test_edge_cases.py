@@ -134,3 +134,37 @@ def test_null_class_rows_are_kept(spark):
                                  "model string, label int, score double")
     auc = evaluate.roc_auc(long, groups=["model"]).collect()
     assert len(auc) == 2 and sum(r.n_pos + r.n_neg for r in auc) == 100
+
+
+def test_chi_square_leaves_null_keys_out(spark):
+    from callrank.operators import stats
+    rows = [("x", "u")] * 30 + [("x", "v")] * 10 + [("y", "u")] * 10 + [("y", "v")] * 30 + [(None, "u")] * 25 + [("x", None)] * 15
+    df = spark.createDataFrame(rows, "a string, b string")
+    r = stats.chi_square_statistic(df, "a", "b").first()
+    assert (round(r["statistic"], 9), r["dof"], r["n"]) == (20.0, 1, 80)
+    t = stats.chi_square_test(df, "a", "b").first()
+    assert (round(t["statistic"], 9), t["dof"]) == (20.0, 1)
+
+
+def test_null_scores_are_in_the_last_bins(spark):
+    from callrank.operators import ranking
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else i % 5) for i in range(40)], "id long, s long")
+    got = {r["id"]: r["bin"] for r in ranking.equal_count_bins(df, "s", ["id"], 5).collect()}
+    order = sorted(range(40), key=lambda i: (i % 4 == 0, -(i % 5) if i % 4 else 0, i))
+    assert got == {i: k // 8 + 1 for k, i in enumerate(order)}
+
+
+def test_reduced_roc_curve_keeps_first_and_last_point(spark):
+    from callrank.operators import evaluate
+    df = spark.createDataFrame([(0.9, 1), (0.8, 1), (0.7, 1), (0.6, 0), (0.5, 0)], "score double, label int")
+    got = [r["threshold"] for r in evaluate.roc_curve(df, drop_intermediate=True).orderBy("position").collect()]
+    assert got == [float("inf"), 0.9, 0.7, 0.5]
+
+
+def test_missing_feature_column_is_an_error(spark):
+    from callrank.plans.prepare import prepare
+    from callrank.spec import FeatureSpec
+    df = spark.createDataFrame([(1, "a")], "id long, c string")
+    spec = FeatureSpec(numeric=("n",), categorical=("c",), target="y", positive="yes", key=("id",))
+    with pytest.raises(ValueError, match="n"):
+        prepare(df, spec)
