@@ -85,7 +85,8 @@ def likely_members(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     broadcast.  Put before a join, it keeps most other rows from the shuffle."""
     bit = F.pmod(F.xxhash64(key), F.lit(MAP_BITS))
     part = ids.select(F.bitmap_bucket_number(bit).alias("_p"), F.bitmap_bit_position(bit).alias("_at"))
-    part = part.groupBy("_p").agg(F.bitmap_construct_agg("_at").alias("_map"))
+    # dealt by part of the map first: a task then makes its own parts only, not a map of all
+    part = part.repartition("_p").groupBy("_p").agg(F.bitmap_construct_agg("_at").alias("_map"))
     at = F.bitmap_bit_position(bit)
     byte = F.conv(F.hex(F.substring("_map", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     own = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
