@@ -81,7 +81,7 @@ def signed_lines(lines: DataFrame, q: int, bands: int, rows: int) -> DataFrame:
     occ = F.struct("doc_id", "text_hash", "line_no")
     uniq = lines.groupBy("h1", "h2").agg(F.min("line").alias("line"), F.min(occ).alias("first"), F.count("*").alias("n"))
     # both sides of the join below ask for the same columns, so they share one exchange
-    grams = uniq.select("h1", "h2", (F.xxhash64("first") + F.lit(0) * F.col("n")).alias("f"),
+    grams = uniq.select("h1", "h2", F.xxhash64("first", "n").alias("f"),
                         F.explode(shingle_hashes(F.col("line"), q)).alias("g"))
     sign = grams.groupBy("h1", "h2").agg(F.max("f").alias("f"), *[
         F.min(F.col("g").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(_constants(bands, rows))])
