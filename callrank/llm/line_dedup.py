@@ -70,24 +70,34 @@ def shingle_hashes(line: Column, q: int) -> Column:
     return F.zip_with(words, after, lambda a, b: F.xxhash64(a, F.substring(b, 1, q)))
 
 
-def signed_lines(lines: DataFrame, q: int, bands: int, rows: int) -> DataFrame:
-    """Distinct lines (h1, h2, line, first occurrence, count) with the keys of
-    their bands.
+def _lowest(hashes: Column, constant: int) -> Column:
+    return F.array_min(F.transform(hashes, lambda g: g.bitwiseXOR(F.lit(constant))))
 
-    The shingles of a line are exploded and the minima taken in one
-    aggregation over the distinct lines' own partitioning: the text is
-    shuffled once and shingles never are.
-    """
+
+def signed_occurrences(lines: DataFrame, q: int, bands: int, rows: int) -> DataFrame:
+    """The lines' places and hashes with the keys of their bands, without
+    their texts.  Signatures are made where a line is read, inside its row:
+    neither texts nor shingles are shuffled for them."""
+    own = lines.withColumn("s", shingle_hashes(F.col("line"), q))
+    low = [_lowest(F.col("s"), c) for c in _constants(bands, rows)]
+    keys = F.array(*[F.xxhash64(F.lit(b), *low[b * rows:(b + 1) * rows]) for b in range(bands)])
+    return own.select("doc_id", "text_hash", "line_no", "h1", "h2", keys.alias("bands"))
+
+
+def distinct_lines(occurrences: DataFrame) -> DataFrame:
+    """(h1, h2, first occurrence, count, bands, lid) of each distinct line."""
     occ = F.struct("doc_id", "text_hash", "line_no")
-    uniq = lines.groupBy("h1", "h2").agg(F.min("line").alias("line"), F.min(occ).alias("first"), F.count("*").alias("n"))
-    # both sides of the join below ask for the same columns, so they share one exchange
-    grams = uniq.select("h1", "h2", F.xxhash64("first", "n").alias("f"),
-                        F.explode(shingle_hashes(F.col("line"), q)).alias("g"))
-    sign = grams.groupBy("h1", "h2").agg(F.max("f").alias("f"), *[
-        F.min(F.col("g").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(_constants(bands, rows))])
-    keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)])
-    return uniq.join(sign.where("f is not null").select("h1", "h2", keys.alias("bands")), ["h1", "h2"]).withColumn(
-        "lid", F.monotonically_increasing_id())
+    uniq = occurrences.groupBy("h1", "h2").agg(F.min(occ).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands"))
+    return uniq.withColumn("lid", F.monotonically_increasing_id())
+
+
+def _texts(members: DataFrame, signed: DataFrame, lines: DataFrame) -> DataFrame:
+    """(lid, line) of the members of bands.  The texts are read again, and a
+    map of the members keeps most other lines from the shuffle."""
+    ids = signed.select("lid", "h1", "h2").join(members.select("lid").distinct(), "lid")
+    ids = materialise(ids, "band-lines")
+    near = likely_members(lines.select("h1", "h2", "line"), ids, "h1")
+    return near.groupBy("h1", "h2").agg(F.min("line").alias("line")).join(ids, ["h1", "h2"]).select("lid", "line")
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, q: int, similarity: float) -> DataFrame:
@@ -105,29 +115,26 @@ def _alike(a: Column, b: Column, similarity: float) -> Column:
     return both >= similarity * (F.size(a) + F.size(b) - both)
 
 
-def _prefix_links(members: DataFrame, lines: DataFrame, q: int, similarity: float) -> DataFrame:
-    """Links (u, v) of lines in the same band and different components:
-    shingles are ordered by rarity within the band, and two lines that are
-    similar enough share one of their n - ceil(similarity * n) + 1 rarest
-    shingles.  Where they first do, what follows in either must still hold
-    the overlap that is needed.  Sets that pass are compared in the join."""
-    tok = members.join(lines.select("lid", "line"), "lid").withColumn("s", F.array_distinct(shingle_hashes(F.col("line"), q)))
-    tok = tok.withColumn("n", F.size("s")).select("band", "lid", "root", "n", "s", F.explode("s").alias("tok"))
+def _prefix_pairs(members: DataFrame, lines: DataFrame, q: int, similarity: float) -> DataFrame:
+    """Candidate pairs (u, v) of lines in the same band and different
+    components, one of them odd: shingles are ordered by rarity within the
+    band, and two lines that are similar enough share one of their
+    n - ceil(similarity * n) + 1 rarest shingles.  Where they first do, what
+    follows in either must still hold the overlap that is needed."""
+    tok = members.join(lines, "lid").withColumn("s", F.array_distinct(shingle_hashes(F.col("line"), q)))
+    tok = tok.select("band", "lid", "root", "odd", F.size("s").alias("n"), F.explode("s").alias("tok"))
     df = tok.groupBy("band", "tok").agg(F.count("*").alias("df"))
     place = F.row_number().over(W.partitionBy("band", "lid").orderBy("df", "tok"))
     need = F.ceil(F.col("n") * similarity - 1e-9)
     rare = tok.join(df, ["band", "tok"]).withColumn("i", place).where((F.col("i") <= F.col("n") - need + 1) & (F.col("df") > 1))
-    x = rare.select("band", "tok", F.col("lid").alias("u"), F.col("root").alias("ru"), "n", "i", "s").alias("x")
-    y = rare.select("band", "tok", F.col("lid").alias("v"), F.col("root").alias("rv"), "n", "i", "s").alias("y")
-    overlap = F.ceil((F.col("x.n") + F.col("y.n")) * (similarity / (1 + similarity)) - 1e-9)
-    rest = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i")) + 1
-    same = (F.col("x.band") == F.col("y.band")) & (F.col("x.tok") == F.col("y.tok"))
-    met = x.join(y, same & (F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & (rest >= overlap)
-                 & _alike(F.col("x.s"), F.col("y.s"), similarity))
-    return met.select("u", "v").distinct()
+    x = rare.where("odd").select("band", "tok", F.col("lid").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("i").alias("ix"))
+    overlap = F.ceil((F.col("nx") + F.col("n")) * (similarity / (1 + similarity)) - 1e-9)
+    rest = F.least(F.col("nx") - F.col("ix"), F.col("n") - F.col("i")) + 1
+    met = x.join(rare, ["band", "tok"]).where("rx != root and (x < lid or not odd)").where(rest >= overlap)
+    return met.select(F.least("x", "lid").alias("u"), F.greatest("x", "lid").alias("v")).distinct()
 
 
-def similar_lines(lines: DataFrame, q: int, similarity: float) -> DataFrame:
+def similar_lines(signed: DataFrame, lines: DataFrame, q: int, similarity: float) -> DataFrame:
     """Components (node, root) of line ids under verified links among the
     lines that share a band.
 
@@ -139,12 +146,11 @@ def similar_lines(lines: DataFrame, q: int, similarity: float) -> DataFrame:
     components are those of all pairs of a band without making all pairs.
     """
     # dealt by band once, for the counts and the join that follows
-    one = lines.select("lid", F.col("n").alias("times"), F.explode("bands").alias("band")).repartition("band")
+    one = signed.select("lid", F.col("n").alias("times"), F.explode("bands").alias("band")).repartition("band")
     # edited copies are more like the line they were made from, the most frequent one, than like each other
     shared = one.groupBy("band").agg(F.max(F.struct("times", "lid"))["lid"].alias("centre"), F.count("*").alias("n"))
     members = materialise(one.join(shared.where("n > 1"), "band").drop("times"), "band-members")
-    # only these lines' texts are compared; the others' are not shuffled again
-    lines = materialise(likely_members(lines.select("lid", "line"), members, "lid"), "band-texts")
+    lines = materialise(_texts(members, signed, lines), "band-texts")
     star = members.where("lid != centre").select(F.least("centre", "lid").alias("u"), F.greatest("centre", "lid").alias("v")).distinct()
     links = materialise(_verified(star, lines, q, similarity), "links")
     comp = connected_components(links)
@@ -156,8 +162,9 @@ def similar_lines(lines: DataFrame, q: int, similarity: float) -> DataFrame:
     few = odd.where(F.col("n") <= SMALL_BAND).drop("n").join(apart.select("band", "lid", "root", "centre"), "band")
     few = few.where("root != rx and lid != centre").select(F.least("x", "lid").alias("u"), F.greatest("x", "lid").alias("v"))
     large = odd.where(F.col("n") > SMALL_BAND).select("band").distinct()
-    many = _prefix_links(apart.join(large, "band", "left_semi").select("band", "lid", "root"), lines, q, similarity)
-    more = materialise(_verified(few.distinct(), lines, q, similarity).unionByName(many), "more-links")
+    large = apart.join(large, "band", "left_semi").join(centre, "band")
+    many = _prefix_pairs(large.select("band", "lid", "root", (F.col("root") != F.col("centre_root")).alias("odd")), lines, q, similarity)
+    more = materialise(_verified(few.unionByName(many).distinct(), lines, q, similarity), "more-links")
     return connected_components(links.unionByName(more))
 
 
@@ -179,8 +186,9 @@ def judge_lines(docs: DataFrame, q: int = SHINGLE, similarity: float = SIMILARIT
     * Extra columns are not read; an empty table gives an empty result.
     """
     lines = line_occurrences(docs, doc_id, text)
-    signed = materialise(signed_lines(lines, q, bands, rows), "lines")
-    comp = materialise(similar_lines(signed, q, similarity), "line-components")
+    occurrences = materialise(signed_occurrences(lines, q, bands, rows), "occurrences")
+    signed = materialise(distinct_lines(occurrences), "lines")
+    comp = materialise(similar_lines(signed, lines, q, similarity), "line-components")
     slim = signed.select("lid", "h1", "h2", "first", "n")
     # fuzzy components: their first occurrence, by line
     member = slim.join(comp, slim["lid"] == comp["node"])
@@ -190,7 +198,7 @@ def judge_lines(docs: DataFrame, q: int = SHINGLE, similarity: float = SIMILARIT
     exact = slim.where("n > 1").join(comp, slim["lid"] == comp["node"], "left_anti").select(
         "h1", "h2", F.col("first").alias("kept_at"), F.col("n").alias("size"))
     ruling = materialise(fuzzy.unionByName(exact), "line-rulings")
-    out = lines.drop("line").join(ruling, ["h1", "h2"], "left")
+    out = occurrences.drop("bands").join(ruling, ["h1", "h2"], "left")
     here = F.struct("doc_id", "text_hash", "line_no")
     kept = F.col("kept_at").isNull() | here.eqNullSafe(F.col("kept_at"))
     return out.select("doc_id", "text_hash", F.col("line_no").cast("int").alias("line_no"), kept.alias("kept"),
