@@ -70,25 +70,21 @@ def shingle_hashes(line: Column, q: int) -> Column:
     return F.zip_with(words, after, lambda a, b: F.xxhash64(a, F.substring(b, 1, q)))
 
 
-def _lowest(hashes: Column, constant: int) -> Column:
-    return F.array_min(F.transform(hashes, lambda g: g.bitwiseXOR(F.lit(constant))))
+def distinct_lines(lines: DataFrame, occurrences: DataFrame, q: int, bands: int, rows: int) -> DataFrame:
+    """(h1, h2, first occurrence, count, bands, lid) of each distinct line.
 
-
-def signed_occurrences(lines: DataFrame, q: int, bands: int, rows: int) -> DataFrame:
-    """The lines' places and hashes with the keys of their bands, without
-    their texts.  Signatures are made where a line is read, inside its row:
-    neither texts nor shingles are shuffled for them."""
-    own = lines.withColumn("s", shingle_hashes(F.col("line"), q))
-    low = [_lowest(F.col("s"), c) for c in _constants(bands, rows)]
-    keys = F.array(*[F.xxhash64(F.lit(b), *low[b * rows:(b + 1) * rows]) for b in range(bands)])
-    return own.select("doc_id", "text_hash", "line_no", "h1", "h2", keys.alias("bands"))
-
-
-def distinct_lines(occurrences: DataFrame) -> DataFrame:
-    """(h1, h2, first occurrence, count, bands, lid) of each distinct line."""
+    The shingles of a line are exploded where it is read and their minima
+    taken in one aggregation, combined before its shuffle: neither texts nor
+    shingles are shuffled.
+    """
+    grams = lines.select("h1", "h2", F.explode(shingle_hashes(F.col("line"), q)).alias("g"))
+    sign = grams.groupBy("h1", "h2").agg(*[
+        F.min(F.col("g").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(_constants(bands, rows))])
+    keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)])
     occ = F.struct("doc_id", "text_hash", "line_no")
-    uniq = occurrences.groupBy("h1", "h2").agg(F.min(occ).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands"))
-    return uniq.withColumn("lid", F.monotonically_increasing_id())
+    uniq = occurrences.groupBy("h1", "h2").agg(F.min(occ).alias("first"), F.count("*").alias("n"))
+    return uniq.join(sign.select("h1", "h2", keys.alias("bands")), ["h1", "h2"]).withColumn(
+        "lid", F.monotonically_increasing_id())
 
 
 def _texts(members: DataFrame, signed: DataFrame, lines: DataFrame) -> DataFrame:
@@ -186,8 +182,8 @@ def judge_lines(docs: DataFrame, q: int = SHINGLE, similarity: float = SIMILARIT
     * Extra columns are not read; an empty table gives an empty result.
     """
     lines = line_occurrences(docs, doc_id, text)
-    occurrences = materialise(signed_occurrences(lines, q, bands, rows), "occurrences")
-    signed = materialise(distinct_lines(occurrences), "lines")
+    occurrences = materialise(lines.drop("line"), "occurrences")
+    signed = materialise(distinct_lines(lines, occurrences, q, bands, rows), "lines")
     comp = materialise(similar_lines(signed, lines, q, similarity), "line-components")
     slim = signed.select("lid", "h1", "h2", "first", "n")
     # fuzzy components: their first occurrence, by line
@@ -198,7 +194,7 @@ def judge_lines(docs: DataFrame, q: int = SHINGLE, similarity: float = SIMILARIT
     exact = slim.where("n > 1").join(comp, slim["lid"] == comp["node"], "left_anti").select(
         "h1", "h2", F.col("first").alias("kept_at"), F.col("n").alias("size"))
     ruling = materialise(fuzzy.unionByName(exact), "line-rulings")
-    out = occurrences.drop("bands").join(ruling, ["h1", "h2"], "left")
+    out = occurrences.join(ruling, ["h1", "h2"], "left")
     here = F.struct("doc_id", "text_hash", "line_no")
     kept = F.col("kept_at").isNull() | here.eqNullSafe(F.col("kept_at"))
     return out.select("doc_id", "text_hash", F.col("line_no").cast("int").alias("line_no"), kept.alias("kept"),
