@@ -29,6 +29,9 @@ SHINGLE, SIMILARITY, BANDS, ROWS = 8, 0.8, 8, 4
 #: Lines of a band that are compared pair by pair, if unlike its most frequent line.
 SMALL_BAND = 16
 
+#: More words than a line can have: a text has at most 2 ** 31 bytes.
+LONGEST = 1 << 30
+
 #: Characters that are words by themselves.
 ALONE = r"([\p{IsIdeographic}\p{IsHiragana}\p{IsKatakana}\p{IsThai}])"
 
@@ -39,7 +42,7 @@ def normal(line: Column) -> Column:
 
 
 def _constants(bands: int, rows: int) -> list[int]:
-    """A signed 64-bit constant for each row of each band.  The minimum of
+    """A signed 32-bit constant for each row of each band.  The minimum of
     hash XOR constant is the hash nearest to the constant, so the rows of a
     band are spread evenly over the hash range: they then depend on
     different shingles, also in short lines."""
@@ -47,27 +50,31 @@ def _constants(bands: int, rows: int) -> list[int]:
     for b in range(bands):
         for r in range(rows):
             x = (x * 6364136223846793005 + 1442695040888963407) % (1 << 64)
-            v = ((r * bands + b) * (1 << 64) // n + (x % ((1 << 64) // n))) % (1 << 64)
-            out.append(v - (1 << 64) if v >> 63 else v)
+            v = ((r * bands + b) * (1 << 32) // n + ((x >> 16) % ((1 << 32) // n))) % (1 << 32)
+            out.append(v - (1 << 32) if v >> 31 else v)
     return out
 
 
 def line_occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, line_no, line, h1, h2) of every line that is not
     blank; (h1, h2) is a 128-bit hash of the normalised line."""
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"),
-                      F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "raw"))
+    # the text is hashed once, before its lines are dealt out, not once a line
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    own = own.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
     own = own.select("doc_id", "text_hash", "line_no", normal(F.col("raw")).alias("line")).where("line != ''")
     return own.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(0x5EED), F.col("line")))
 
 
-def shingle_hashes(line: Column, q: int) -> Column:
-    """Hashes of a line's shingles; the last word is followed by nothing."""
+def words(line: Column) -> Column:
     # such characters take three bytes or more, so other lines are not searched for them
     wide = F.octet_length(line) >= 2 * F.char_length(line)
-    words = F.split(F.when(wide, F.regexp_replace(line, ALONE, "$1 ")).otherwise(line), " ")
-    after = F.slice(words, F.lit(2), F.size(words))
-    return F.zip_with(words, after, lambda a, b: F.xxhash64(a, F.substring(b, 1, q)))
+    return F.split(F.when(wide, F.regexp_replace(line, ALONE, "$1 ")).otherwise(line), " ")
+
+
+def shingle_hashes(line: Column, q: int) -> Column:
+    """Hashes of a line's shingles; the last word is followed by nothing."""
+    own = words(line)
+    return F.zip_with(own, F.slice(own, 2, LONGEST), lambda a, b: F.xxhash64(a, F.substring(b, 1, q)))
 
 
 def distinct_lines(lines: DataFrame, occurrences: DataFrame, q: int, bands: int, rows: int) -> DataFrame:
@@ -77,7 +84,10 @@ def distinct_lines(lines: DataFrame, occurrences: DataFrame, q: int, bands: int,
     taken in one aggregation, combined before its shuffle: neither texts nor
     shingles are shuffled.
     """
-    grams = lines.select("h1", "h2", F.explode(shingle_hashes(F.col("line"), q)).alias("g"))
+    # split once; pairs of words are dealt out as columns, so that their hashes are compiled
+    own = lines.select("h1", "h2", words(F.col("line")).alias("words"))
+    own = own.select("h1", "h2", F.inline(F.arrays_zip(F.col("words").alias("a"), F.slice("words", 2, LONGEST).alias("b"))).alias("a", "b"))
+    grams = own.select("h1", "h2", F.hash("a", F.substring("b", 1, q)).alias("g"))
     sign = grams.groupBy("h1", "h2").agg(*[
         F.min(F.col("g").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(_constants(bands, rows))])
     keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)])
