@@ -75,20 +75,17 @@ def unboxed(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*[F.col("row").getField(c).alias(c) for c in columns])
 
 
-#: Bits of the membership map: 8 MB, whatever the number of ids.
-MAP_BITS = 1 << 26
+#: Words of the membership map, 64 bits each: at most so many rows of two longs are broadcast, whatever the number of ids.
+MAP_WORDS = 1 << 20
 
 
 def likely_members(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """The ``rows`` whose bigint ``key`` is probably among ``ids[key]``: all
-    that are, and some that only share a bit of a map of fixed size, which is
-    broadcast.  Put before a join, it keeps most other rows from the shuffle."""
-    bit = F.pmod(F.xxhash64(key), F.lit(MAP_BITS))
-    part = ids.select(F.bitmap_bucket_number(bit).alias("_p"), F.bitmap_bit_position(bit).alias("_at"))
-    # dealt by part of the map first: a task then makes its own parts only, not a map of all
-    part = part.repartition("_p").groupBy("_p").agg(F.bitmap_construct_agg("_at").alias("_map"))
-    at = F.bitmap_bit_position(bit)
-    byte = F.conv(F.hex(F.substring("_map", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    own = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
-    met = rows.withColumn("_p", F.bitmap_bucket_number(bit)).join(F.broadcast(part), "_p")
-    return met.where(own).drop("_p", "_map")
+    that are, and some that only share a bit of a map of bounded size, which
+    is broadcast.  Put before a join, it keeps most other rows from the shuffle."""
+    at = F.xxhash64(key)
+    word = F.pmod(at, F.lit(MAP_WORDS)).cast("long").alias("_word")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(at, 58).cast("int"))
+    words = ids.select(word, bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    met = rows.withColumn("_word", word).join(F.broadcast(words), "_word")
+    return met.where(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")

@@ -36,11 +36,6 @@ LONGEST = 1 << 30
 ALONE = r"([\p{IsIdeographic}\p{IsHiragana}\p{IsKatakana}\p{IsThai}])"
 
 
-def normal(line: Column) -> Column:
-    """What of a line is compared: lower case, no white space at its ends."""
-    return F.lower(F.trim(line, F.lit(" \t\r\x0b\x0c")))
-
-
 def _constants(bands: int, rows: int) -> list[int]:
     """A signed 32-bit constant for each row of each band.  The minimum of
     hash XOR constant is the hash nearest to the constant, so the rows of a
@@ -57,11 +52,12 @@ def _constants(bands: int, rows: int) -> list[int]:
 
 def line_occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, line_no, line, h1, h2) of every line that is not
-    blank; (h1, h2) is a 128-bit hash of the normalised line."""
-    # the text is hashed once, before its lines are dealt out, not once a line
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    blank; (h1, h2) is a 128-bit hash of what of a line is compared: lower
+    case, no white space at its ends."""
+    # the text is hashed and lower-cased once, before its lines are dealt out
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.lower(text).alias("text"))
     own = own.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    own = own.select("doc_id", "text_hash", "line_no", normal(F.col("raw")).alias("line")).where("line != ''")
+    own = own.select("doc_id", "text_hash", "line_no", F.trim("raw", F.lit(" \t\r\x0b\x0c")).alias("line")).where("line != ''")
     return own.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(0x5EED), F.col("line")))
 
 
@@ -101,7 +97,7 @@ def _texts(members: DataFrame, signed: DataFrame, lines: DataFrame) -> DataFrame
     """(lid, line) of the members of bands.  The texts are read again, and a
     map of the members keeps most other lines from the shuffle."""
     ids = signed.select("lid", "h1", "h2").join(members.select("lid").distinct(), "lid")
-    ids = materialise(ids, "band-lines")
+    ids = materialise(ids, "band-line-ids")
     near = likely_members(lines.select("h1", "h2", "line"), ids, "h1")
     return near.groupBy("h1", "h2").agg(F.min("line").alias("line")).join(ids, ["h1", "h2"]).select("lid", "line")
 
@@ -151,11 +147,14 @@ def similar_lines(signed: DataFrame, lines: DataFrame, q: int, similarity: float
     by the prefix filter, which loses none, in larger ones.  So the
     components are those of all pairs of a band without making all pairs.
     """
-    # dealt by band once, for the counts and the join that follows
-    one = signed.select("lid", F.col("n").alias("times"), F.explode("bands").alias("band")).repartition("band")
+    # most bands hold one line: the bands alone are counted first, then a map of those
+    # with more keeps most lines from the shuffle
+    one = signed.select("lid", F.col("n").alias("times"), F.explode("bands").alias("band"))
+    shared = materialise(one.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared-bands")
+    met = materialise(likely_members(one, shared, "band"), "band-lines")
     # edited copies are more like the line they were made from, the most frequent one, than like each other
-    shared = one.groupBy("band").agg(F.max(F.struct("times", "lid"))["lid"].alias("centre"), F.count("*").alias("n"))
-    members = materialise(one.join(shared.where("n > 1"), "band").drop("times"), "band-members")
+    centre = met.groupBy("band").agg(F.max(F.struct("times", "lid"))["lid"].alias("centre"), F.count("*").alias("n"))
+    members = materialise(met.join(centre.where("n > 1"), "band").drop("times"), "band-members")
     lines = materialise(_texts(members, signed, lines), "band-texts")
     star = members.where("lid != centre").select(F.least("centre", "lid").alias("u"), F.greatest("centre", "lid").alias("v")).distinct()
     links = materialise(_verified(star, lines, q, similarity), "links")
