@@ -14,6 +14,9 @@ blanks between words each character is a word.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,6 +53,14 @@ def _constants(bands: int, rows: int) -> list[int]:
     return out
 
 
+def trimmed(line: Column) -> Column:
+    """No white space at the ends.  Blanks alone go first, which is cheap; the
+    trim of several characters walks the whole line, so few lines take it."""
+    out = F.trim(line)
+    other = [f(out, F.lit(c)) for c in "\t\r\x0b\x0c" for f in (F.startswith, F.endswith)]
+    return F.when(reduce(or_, other), F.trim(line, F.lit(" \t\r\x0b\x0c"))).otherwise(out)
+
+
 def line_occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, line_no, line, h1, h2) of every line that is not
     blank; (h1, h2) is a 128-bit hash of what of a line is compared: lower
@@ -57,7 +68,7 @@ def line_occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     # the text is hashed and lower-cased once, before its lines are dealt out
     own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.lower(text).alias("text"))
     own = own.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    own = own.select("doc_id", "text_hash", "line_no", F.trim("raw", F.lit(" \t\r\x0b\x0c")).alias("line")).where("line != ''")
+    own = own.select("doc_id", "text_hash", "line_no", trimmed(F.col("raw")).alias("line")).where("line != ''")
     return own.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(0x5EED), F.col("line")))
 
 
