@@ -6,10 +6,8 @@ exact Jaccard similarity of their shingle sets; and distributed union-find
 over the verified links keeps one line of each component.  DataFrame
 functions only.
 
-A shingle begins at a word and goes on to the ``SHINGLE``-th character of the
-next word, so the shingles of a line cover all its characters, and there is
-one for each word instead of one for each character.  In scripts without
-blanks between words each character is a word.
+A shingle is ``SHINGLE`` characters long and begins at every character, in
+all scripts alike; a shorter line is one shingle.
 """
 
 from __future__ import annotations
@@ -24,21 +22,13 @@ from pyspark.sql import functions as F
 from callrank.llm.common import boxed, likely_members, materialise, unboxed
 from callrank.llm.components import connected_components
 
-#: Characters of the next word in a shingle, least Jaccard similarity, bands
-#: and rows of a band.  A pair at the threshold shares a band with probability
+#: Characters of a shingle, least Jaccard similarity, bands and rows of a band.  A pair at the threshold shares a band with probability
 #: 1 - (1 - 0.8 ** 4) ** 8 = 0.985, one at 0.9 with 0.9998.
 SHINGLE, SIMILARITY, BANDS, ROWS = 8, 0.8, 8, 4
 
 #: Lines of a band that are compared pair by pair, if unlike its most frequent line.
 SMALL_BAND = 16
 
-#: More words than a line can have: a text has at most 2 ** 31 bytes.
-LONGEST = 1 << 30
-
-#: Characters that are words by themselves.
-ALONE = r"([\p{IsIdeographic}\p{IsHiragana}\p{IsKatakana}\p{IsThai}])"
-
-
 def _constants(bands: int, rows: int) -> list[int]:
     """A signed 32-bit constant for each row of each band.  The minimum of
     hash XOR constant is the hash nearest to the constant, so the rows of a
@@ -72,16 +62,32 @@ def line_occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return own.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(0x5EED), F.col("line")))
 
 
-def words(line: Column) -> Column:
-    # such characters take three bytes or more, so other lines are not searched for them
-    wide = F.octet_length(line) >= 2 * F.char_length(line)
-    return F.split(F.when(wide, F.regexp_replace(line, ALONE, "$1 ")).otherwise(line), " ")
+def points(line: Column) -> Column:
+    """Four bytes for each character, so that a shingle is cut out without walking the line."""
+    return F.encode(line, "UTF-32")
+
+
+def shingle_starts(b: Column, q: int) -> Column:
+    return F.sequence(F.lit(0), F.greatest(F.shiftright(F.octet_length(b), 2) - q, F.lit(0)))
+
+
+def shingle_at(b: Column, i: Column, q: int) -> Column:
+    return F.substring(b, 4 * i + 1, F.lit(4 * q))
 
 
 def shingle_hashes(line: Column, q: int) -> Column:
-    """Hashes of a line's shingles; the last word is followed by nothing."""
-    own = words(line)
-    return F.zip_with(own, F.slice(own, 2, LONGEST), lambda a, b: F.xxhash64(a, F.substring(b, 1, q)))
+    """Hashes of a line's shingles.  The outer transform binds the encoded
+    line to a variable; the inner one would encode it again for each place."""
+    return F.transform(F.array(points(line)), lambda b: F.transform(
+        shingle_starts(b, q), lambda i: F.xxhash64(shingle_at(b, i, q))))[0]
+
+
+def signatures(grams: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(h1, h2, bands) from one row (h1, h2, g) for each shingle hash."""
+    sign = grams.groupBy("h1", "h2").agg(*[
+        F.min(F.col("g").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(_constants(bands, rows))])
+    keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)])
+    return sign.select("h1", "h2", keys.alias("bands"))
 
 
 def distinct_lines(lines: DataFrame, occurrences: DataFrame, q: int, bands: int, rows: int) -> DataFrame:
@@ -91,16 +97,13 @@ def distinct_lines(lines: DataFrame, occurrences: DataFrame, q: int, bands: int,
     taken in one aggregation, combined before its shuffle: neither texts nor
     shingles are shuffled.
     """
-    # split once; pairs of words are dealt out as columns, so that their hashes are compiled
-    own = lines.select("h1", "h2", words(F.col("line")).alias("words"))
-    own = own.select("h1", "h2", F.inline(F.arrays_zip(F.col("words").alias("a"), F.slice("words", 2, LONGEST).alias("b"))).alias("a", "b"))
-    grams = own.select("h1", "h2", F.hash("a", F.substring("b", 1, q)).alias("g"))
-    sign = grams.groupBy("h1", "h2").agg(*[
-        F.min(F.col("g").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(_constants(bands, rows))])
-    keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)])
+    # places are dealt out as rows, so that their hashes and minima are compiled
+    own = lines.select("h1", "h2", points(F.col("line")).alias("b"))  # encoded below the explode: once a line
+    own = own.select("h1", "h2", "b", F.explode(shingle_starts(F.col("b"), q)).alias("i"))
+    grams = own.select("h1", "h2", F.hash(shingle_at(F.col("b"), F.col("i"), q)).alias("g"))
     occ = F.struct("doc_id", "text_hash", "line_no")
     uniq = occurrences.groupBy("h1", "h2").agg(F.min(occ).alias("first"), F.count("*").alias("n"))
-    return uniq.join(sign.select("h1", "h2", keys.alias("bands")), ["h1", "h2"]).withColumn(
+    return uniq.join(signatures(grams, bands, rows), ["h1", "h2"]).withColumn(
         "lid", F.monotonically_increasing_id())
 
 
