@@ -53,3 +53,22 @@ def test_every_shingle_is_hashed_once(make_docs):  # noqa: F811
 def test_odd_documents_by_characters(odd_docs, monkeypatch):  # noqa: F811
     monkeypatch.setattr(test_line_dedup, "grams", grams)
     assert test_line_dedup.check(odd_docs)[1] == 0
+
+
+def test_lines_without_blanks(make_docs):  # noqa: F811
+    rnd = random.Random(6)
+    url = "https://example.org/" + "/".join("".join(rnd.choices("abcdefghij0123456789", k=9)) for _ in range(12))
+    row = "\t".join(str(rnd.randrange(10 ** 6)) for _ in range(20))
+    khmer = "".join(chr(rnd.randrange(0x1780, 0x17A3)) for _ in range(120))
+    han = "".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(60))
+    ascii_ = "".join(rnd.choices("abcdefghij", k=70))
+    mixed = ascii_[:35] + han + ascii_[35:]  # about half of its bytes in wide characters
+    lines = [url, row, khmer, mixed, "x" * 5000 + "y"]
+    pairs = [(x, x[:20] + "q" + x[21:]) for x in lines[:-1]]
+    pairs.append((mixed + "a" * 40, mixed + "a" * 41))
+    assert all(alike(a, b) for a, b in pairs)
+    rows = [(i, "\n".join(p)) for i, p in enumerate(pairs[:4])] + [(9, lines[-1] + "\n" + "x" * 5000 + "z"), (10, "\n".join(pairs[4]))]
+    at = components(make_docs(rows))
+    assert all(at[a] == at[b] for a, b in pairs)
+    # two shingles each, one of them shared: a third alike
+    assert not alike("x" * 5000 + "y", "x" * 5000 + "z") and at["x" * 5000 + "y"] != at["x" * 5000 + "z"]
