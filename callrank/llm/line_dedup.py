@@ -29,17 +29,21 @@ SHINGLE, SIMILARITY, BANDS, ROWS = 8, 0.8, 8, 4
 #: Lines of a band that are compared pair by pair, if unlike its most frequent line.
 SMALL_BAND = 16
 
-def _constants(bands: int, rows: int) -> list[int]:
-    """A signed 32-bit constant for each row of each band.  The minimum of
-    hash XOR constant is the hash nearest to the constant, so the rows of a
-    band are spread evenly over the hash range: they then depend on
-    different shingles, also in short lines."""
-    out, x, n = [], 0x243F6A8885A308D3, bands * rows
-    for b in range(bands):
-        for r in range(rows):
+#: A prime; shingle hashes are taken below it.
+PRIME = (1 << 31) - 1
+
+
+def _permutations(n: int) -> list[tuple[int, int]]:
+    """n pairs (a, b): hash * a + b modulo ``PRIME`` is another order of the
+    hashes for each, so the rows of the bands are independent also in lines
+    of few shingles.  Products stay below 2 ** 63."""
+    out, x = [], 0x9E3779B97F4A7C15
+    for _ in range(n):
+        pair = []
+        for _ in range(2):
             x = (x * 6364136223846793005 + 1442695040888963407) % (1 << 64)
-            v = ((r * bands + b) * (1 << 32) // n + ((x >> 16) % ((1 << 32) // n))) % (1 << 32)
-            out.append(v - (1 << 32) if v >> 31 else v)
+            pair.append(x >> 33)
+        out.append((pair[0] % (PRIME - 1) + 1, pair[1] % PRIME))
     return out
 
 
@@ -83,9 +87,11 @@ def shingle_hashes(line: Column, q: int) -> Column:
 
 
 def signatures(grams: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(h1, h2, bands) from one row (h1, h2, g) for each shingle hash."""
-    sign = grams.groupBy("h1", "h2").agg(*[
-        F.min(F.col("g").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(_constants(bands, rows))])
+    """(h1, h2, bands) from one row (h1, h2, g) for each 32-bit shingle hash."""
+    own = grams.select("h1", "h2", F.col("g").cast("long").bitwiseAND(F.lit(PRIME)).alias("g"))
+    sign = own.groupBy("h1", "h2").agg(*[
+        F.min(((F.col("g") * F.lit(a) + F.lit(b)) % F.lit(PRIME)).cast("int")).alias(f"m{i}")
+        for i, (a, b) in enumerate(_permutations(bands * rows))])
     keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)])
     return sign.select("h1", "h2", keys.alias("bands"))
 

@@ -55,6 +55,39 @@ def test_odd_documents_by_characters(odd_docs, monkeypatch):  # noqa: F811
     assert test_line_dedup.check(odd_docs)[1] == 0
 
 
+def test_bands_of_few_shingles_are_independent(spark):
+    rnd = random.Random(7)
+    for union in (5, 10, 20, 30, 50):  # similarity 0.8 each
+        rows = []
+        for pair in range(1500):
+            g = [rnd.randrange(-2 ** 31, 2 ** 31) for _ in range(union)]
+            both, own = g[:union * 4 // 5], g[union * 4 // 5:]
+            cut = rnd.randint(0, len(own))
+            rows += [(pair, side, x) for side, rest in enumerate((own[:cut], own[cut:])) for x in both + rest]
+        df = spark.createDataFrame(rows, "h1 long, h2 long, g int").repartition(4)
+        got = {(r["h1"], r["h2"]): r["bands"] for r in line_dedup.signatures(df, line_dedup.BANDS, line_dedup.ROWS).collect()}
+        found = sum(any(x == y for x, y in zip(got[p, 0], got[p, 1])) for p in range(1500))
+        assert found >= 0.97 * 1500, (union, found)
+
+
+def test_recall_at_the_threshold_of_short_lines(make_docs):  # noqa: F811
+    rnd = random.Random(8)
+    pairs = []
+    while len(pairs) < 400:
+        line = " ".join("".join(rnd.choices("abcdefghijklmnop", k=6)) for _ in range(rnd.randint(5, 30)))
+        other = line
+        for _ in range(9):
+            other = one_letter_off(rnd, other) if rnd.random() < 0.5 else other[:-1]
+            if not alike(line, other):
+                break
+            a, b = grams(line), grams(other)
+            if other == other.strip() and len(a & b) <= 0.84 * len(a | b):
+                pairs.append((line, other))
+                break
+    at = components(make_docs([(i, "\n".join(p)) for i, p in enumerate(pairs)]))
+    assert sum(at[a] != at[b] for a, b in pairs) <= 0.03 * len(pairs)
+
+
 def test_lines_without_blanks(make_docs):  # noqa: F811
     rnd = random.Random(6)
     url = "https://example.org/" + "/".join("".join(rnd.choices("abcdefghij0123456789", k=9)) for _ in range(12))
