@@ -64,34 +64,40 @@ class LanguageModel:
     max_n: int
     sharpness: float = 8.0
 
-    def presence(self, texts: list[str | None], known: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Presence rows of length one (or zero), and which texts have a letter."""
+    def presence(self, texts: list[str | None], known: dict[str, tuple[np.ndarray, int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Presence rows of length one (or zero), which texts have a letter,
+        and what share of the n-grams of their distinct words is known."""
         known = {} if known is None else known
         x, letters = np.zeros((len(texts), len(self.grams)), np.float32), np.zeros(len(texts), bool)
+        share = np.zeros(len(texts))
         for i, t in enumerate(texts):
             words = words_of(t)
             letters[i] = has_letter(words)
+            met = every = 0
             for w in words:
-                ids = known.get(w)
-                if ids is None:
-                    ids = np.array([self.grams[g] for g in word_grams(w, self.max_n) if g in self.grams], np.int32)
+                got = known.get(w)
+                if got is None:
+                    own = word_grams(w, self.max_n)
+                    got = np.array([self.grams[g] for g in own if g in self.grams], np.int32), len(own)
                     if len(known) < WORDS_KEPT and len(w) <= WORD_CHARS:
-                        known[w] = ids
-                x[i, ids] = 1.0
+                        known[w] = got
+                x[i, got[0]] = 1.0
+                met, every = met + len(got[0]), every + got[1]
+            share[i] = met / max(1, every)
         norm = np.sqrt(x.sum(axis=1, keepdims=True))
-        return x / np.maximum(norm, 1.0), letters
+        return x / np.maximum(norm, 1.0), letters, share
 
-    def predict(self, texts: list[str | None], known: dict[str, np.ndarray] | None = None) -> tuple[list[str], np.ndarray]:
-        """Languages and scores; ``und`` with score 0 where no letter is."""
+    def predict(self, texts: list[str | None], known: dict[str, tuple[np.ndarray, int]] | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, scores and known shares; ``und`` with score 0 where no letter is."""
         if not self.languages:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        x, letters = self.presence(texts, known)
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        x, letters, share = self.presence(texts, known)
         f = self.sharpness * ((x @ self.landmarks.T) @ self.weights).astype(np.float64)
         p = np.exp(f - f.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         best = p.argmax(axis=1)
         names = [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters)]
-        return names, np.where(letters, p[np.arange(len(texts)), best], 0.0)
+        return names, np.where(letters, p[np.arange(len(texts)), best], 0.0), share
 
 
 def fit(texts: list[str], langs: list[str], landmarks: int = 160, max_n: int = 3, ridge: float = 1e-3) -> LanguageModel:
@@ -155,29 +161,33 @@ def fit_language_model(docs: DataFrame, keep: Column | None = None, per_language
     return fit([t for t, _ in rows], [k for _, k in rows], **options)
 
 
-def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text", share: str | None = None) -> DataFrame:
     """``docs`` with lang_pred (a learned language, or ``und`` for texts that
     are null or have no letter) and score (0 to 1).
 
     * Empty texts are ``und``; whole texts are read, however long.
     * Equal scores: the first language by name.  A text with letters but no
       known n-gram gets that language with score 1 / languages.
-    * Columns named lang_pred or score are replaced; other extra columns go
+    * ``share`` names a further column: the share (0 to 1) of the n-grams of
+      the text's distinct words that the model knows.
+    * Columns named lang_pred or score (and ``share``) are replaced; other extra columns go
       through untouched.  Repeated rows give equal rows.  A model without
       languages calls everything ``und``; an empty table stays empty.
     """
     small_batches(docs.sparkSession)
-    spare = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    spare = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", (share or "score").lower())]
     own = docs.select(*spare)
     at = own.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, np.ndarray] = {}
+        known: dict[str, tuple[np.ndarray, int]] = {}
         for b in batches:
-            names, score = model.predict(b.column(at).to_pylist(), known)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())],
-                                             [*spare, "lang_pred", "score"])
+            names, score, part = model.predict(b.column(at).to_pylist(), known)
+            more = [pa.array(part, pa.float64())] if share else []
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(score, pa.float64()), *more],
+                                             schema.names)
 
     from pyspark.sql import types as T
-    schema = T.StructType([*own.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*own.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+                           *([T.StructField(share, T.DoubleType())] if share else [])])
     return own.mapInArrow(run, schema)

@@ -15,16 +15,22 @@ from callrank.llm import decontaminate, langid, line_dedup, packing, simhash
 from callrank.llm.common import materialise
 from callrank.llm.queries import table, tokenizer_path
 
-#: Documents below this score could be in any language.
-LEAST_SCORE = 0.3
+#: Documents of whose n-grams the model knows a smaller share are in none of
+#: its languages, however many it has.
+LEAST_KNOWN = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a recognised language; null and letterless texts
-    and those without a clear language go."""
+    """Keeps documents in a recognised language; null and letterless texts go,
+    and those of whose n-grams less than ``LEAST_KNOWN`` are known.  If no
+    row is labelled, no language is learned and all texts with a letter stay."""
     model = langid.fit_language_model(docs)
-    out = langid.identify_languages(docs.withColumnsRenamed({"score": "_score", "lang_pred": "_lang_pred"}), model)
-    out = out.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    spare = {c: f"_{c}" for c in ("score", "lang_pred", "known_share")}
+    out = langid.identify_languages(docs.withColumnsRenamed(spare), model, share="known_share")
+    out = out.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("known_share") >= LEAST_KNOWN))
+    out = out.drop("lang_pred", "score", "known_share")
     return out.toDF(*docs.columns)
 
 
