@@ -116,7 +116,8 @@ def document_fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW, doc
 def edited_fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text",
                         bucket_rows: int = 400) -> DataFrame:
     """One row for each document: doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next.
+    edited_fingerprint, near_edited, near_next, positions, edited_positions
+    (of the kept hashes, in code points).
 
     The edited text has its last floor(n_chars / 3) code points replaced by
     the first as many (or all) of the next document's, in descending doc_id
@@ -159,14 +160,14 @@ def edited_fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW, doc_i
     dealt = own.mapInArrow(deal, "bucket long, ahead boolean, doc_id long, text string, d long, h long")
     dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "ahead", "d", "h")
 
-    def row(doc, points, kept, after):
-        """``doc`` with its code points and kept hashes, and those of the next."""
+    def row(doc, points, kept, places, after):
+        """``doc`` with its code points, kept hashes and their positions, and those of the next."""
         n = len(points)
         k_out = n // 3
         edited = np.concatenate([points[:n - k_out], after[0][:k_out]])
-        got = winnow(edited, k, window)[0]
+        got, at = winnow(edited, k, window)
         sha = hashlib.sha256(edited.astype("<u4").tobytes().decode("utf-32-le").encode()).hexdigest()
-        return doc, n, sha, hex_of(kept), hex_of(got), likeness(kept, got), likeness(kept, after[1])
+        return doc, n, sha, hex_of(kept), hex_of(got), likeness(kept, got), likeness(kept, after[1]), places, at
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -175,13 +176,16 @@ def edited_fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW, doc_i
             bucket, ahead, ids = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
             for i, t in enumerate(b.column(3).to_pylist()):
                 points = _points(t)
-                now = (points, winnow(points, k, window)[0])
+                now = (points, *winnow(points, k, window))
                 if last is not None and last[0] == bucket[i]:
                     out.append(row(last[1], *last[2], now))
                 last = None if ahead[i] else (bucket[i], ids[i], now)
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(
-                (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], names)
+                (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.int64()),
+                 pa.list_(pa.int64())))], names)
 
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+             "positions", "edited_positions"]
     return dealt.mapInArrow(prints, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
-                                    "edited_fingerprint string, near_edited double, near_next double")
+                                    "edited_fingerprint string, near_edited double, near_next double, "
+                                    "positions array<long>, edited_positions array<long>")
