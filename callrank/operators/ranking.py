@@ -38,24 +38,14 @@ def _order(col) -> Column:
     return F.col(col).asc() if isinstance(col, str) else col
 
 
-# A group of at most this many rows may be numbered by one task (plain window).
-WINDOW_ROWS_LIMIT = 1_000_000
-
-
 def exact_row_number(df: DataFrame, order: Iterable, partition: Iterable[str] = (),
-                     name: str = "rn", num_partitions: int | None = None,
-                     max_group_rows: int | None = None) -> DataFrame:
+                     name: str = "rn", num_partitions: int | None = None) -> DataFrame:
     """Exact 1-based row number within ``partition`` by ``order``.
 
-    ``order`` must make rows unique (add a key) for a stable result.  When
-    the caller has *counted* the largest group (``max_group_rows``) and it is
-    within WINDOW_ROWS_LIMIT, a plain window does it in one pass; otherwise
-    the distributed form below is used.  Its per-(task, partition-key)
-    table has at most tasks x keys rows."""
+    ``order`` must make rows unique (add a key) for a stable result.  The
+    per-(task, partition-key) table has at most tasks x keys rows."""
     order = [_order(c) for c in order]
     part = list(partition)
-    if max_group_rows is not None and max_group_rows <= WINDOW_ROWS_LIMIT:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*part).orderBy(*order)).cast("long"))
     n = num_partitions or default_parallelism(df.sparkSession)
     keys = [F.col(p).asc() for p in part] + order
     tagged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
@@ -96,14 +86,13 @@ def top_fraction(df: DataFrame, score: str, key: Iterable[str], fraction: float
     n = df.agg(F.count(F.lit(1))).scalar()
     q = max(0.0, 1.0 - fraction - 2 * rel_error)
     t0 = df.approxQuantile(score, [q], rel_error) if q > 0 else []
-    cand, size = df, None
+    cand = df
     if t0:
         k = df.agg(F.ceil(F.count(F.lit(1)) * F.lit(fraction)).alias("k"),
                    F.count_if(F.col(score) >= F.lit(t0[0])).alias("a")).first()
-        if k["a"] >= k["k"]:  # the guarantee holds: rank only the candidates (counted)
-            cand, size = df.where(F.col(score) >= F.lit(t0[0])), k["a"]
-    ranked = exact_row_number(cand, [F.col(score).desc()] + [F.col(c).asc() for c in key], name=rank_col,
-                              max_group_rows=size)
+        if k["a"] >= k["k"]:  # the guarantee holds: rank only the candidates
+            cand = df.where(F.col(score) >= F.lit(t0[0]))
+    ranked = exact_row_number(cand, [F.col(score).desc()] + [F.col(c).asc() for c in key], name=rank_col)
     return ranked.where(F.col(rank_col) <= F.ceil(n * F.lit(fraction)))
 
 
@@ -123,8 +112,8 @@ def equal_count_bins(df: DataFrame, score: str, key: Iterable[str], bins: int =
     points), rows are counted per bucket (bounded table), and the rank range
     of every bucket follows from the counts.  A bucket whose whole range
     lies in one bin gets that bin directly; only the (at most bins - 1)
-    buckets that straddle a bin edge are ranked row by row, by a window when
-    their counted size is small and by ``exact_row_number`` otherwise."""
+    buckets that straddle a bin edge are ranked row by row, by
+    ``exact_row_number``."""
     key = list(key)
     B = buckets or max(4 * bins, 4 * default_parallelism(df.sparkSession))
     cuts = sorted(set(df.approxQuantile(score, [i / B for i in range(1, B)], rel_error)))
@@ -163,10 +152,9 @@ def equal_count_bins(df: DataFrame, score: str, key: Iterable[str], bins: int =
         offs = []
         for b, v in mixed.items():
             offs += [F.lit(b), F.lit(v)]
-        widest = max(c for b, c in counts if b in mixed)
         edge = exact_row_number(x.where(F.col("_b").isin(list(mixed))),
                                 [F.col(score).desc()] + [F.col(k).asc() for k in key], ["_b"],
-                                name="_rn", max_group_rows=widest)
+                                name="_rn")
         pos = F.create_map(*offs)[F.col("_b")] + F.col("_rn")
         edge = edge.withColumn(name, ntile_from_rank(pos, F.lit(n), bins)).drop("_rn")
         out = out.unionByName(edge)

@@ -44,20 +44,18 @@ def stratified_split(df: DataFrame, label: str, key: Iterable[str], test_fractio
     cnt = (cnt.withColumn("_cum", F.sum("_n").over(upto))
               .withColumn("_m", F.round(F.sum("_n").over(Window.partitionBy(label)) * F.lit(test_fraction))))
     edge = (cnt.where(F.col("_cum") >= F.col("_m"))
-               .groupBy(label).agg(F.min(F.struct("_hb", (F.col("_cum") - F.col("_n")).alias("b"),
-                                                  F.col("_n").alias("nb"))).alias("_e"),
+               .groupBy(label).agg(F.min(F.struct("_hb", (F.col("_cum") - F.col("_n")).alias("b"))).alias("_e"),
                                    F.first("_m").alias("_m"))
                .select(F.col(label).alias("_lab"), F.col("_e._hb").alias("_B"),
-                       (F.col("_m") - F.col("_e.b")).alias("_left"), F.col("_e.nb").alias("_nb")))
+                       (F.col("_m") - F.col("_e.b")).alias("_left")))
     edge = cut_lineage(edge)  # one row per class, computed once
-    n_cls, widest = edge.agg(F.count(F.lit(1)), F.max("_nb")).first()
+    n_cls = edge.count()
     if n_cls > 100_000:
         raise ValueError(f"{label!r} has {n_cls} classes; stratify on a class column")
-    x = x.join(F.broadcast(edge.drop("_nb")), x[label].eqNullSafe(edge["_lab"])).drop("_lab")
+    x = x.join(F.broadcast(edge), x[label].eqNullSafe(edge["_lab"])).drop("_lab")
     decided = (x.where(F.col("_hb") != F.col("_B"))
                 .withColumn(col, F.when(F.col("_hb") < F.col("_B"), "test").otherwise("train")))
-    ranked = exact_row_number(x.where(F.col("_hb") == F.col("_B")), ["_h", *key], [label], name="_rk",
-                              max_group_rows=widest)
+    ranked = exact_row_number(x.where(F.col("_hb") == F.col("_B")), ["_h", *key], [label], name="_rk")
     boundary = ranked.withColumn(col, F.when(F.col("_rk") <= F.col("_left"), "test").otherwise("train")).drop("_rk")
     return decided.unionByName(boundary).drop("_h", "_hb", "_B", "_left")
 

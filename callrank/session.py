@@ -75,18 +75,20 @@ def default_parallelism(spark: SparkSession) -> int:
         return os.cpu_count() or 8
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = 1_000_000) -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
     """Join with a side that is small by construction (per class, per
     bucket, per task tables).  The small side is checkpointed (computed once,
-    reliably), its size is checked, and only then broadcast; beyond
-    ``max_rows`` it is a regular shuffle join."""
-    small = cut_lineage(small)
-    n = small.limit(max_rows + 1).count()
+    reliably), its summed bytes are checked, and only then broadcast; beyond
+    ``BROADCAST_BYTES`` it is a regular shuffle join."""
     from pyspark.sql import functions as F
+
+    from callrank.llm.common import fits_broadcast
+    small = cut_lineage(small)
+    whole = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in small.columns])))
+    fits = fits_broadcast(small, whole + F.lit(16 * len(small.columns)))
     if isinstance(on, (list, tuple)) and all(isinstance(c, str) for c in on):
-        return join_null_safe(big, small, on, how, broadcast_right=n <= max_rows)
-    return big.join(F.broadcast(small) if n <= max_rows else small, on, how)
+        return join_null_safe(big, small, on, how, broadcast_right=fits)
+    return big.join(F.broadcast(small) if fits else small, on, how)
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, cols, how: str = "inner",
