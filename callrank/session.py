@@ -7,7 +7,13 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Largest summed size of a side that is broadcast; beyond it the same join
+#: shuffles.
+BROADCAST_BYTES = 32 << 20
 
 
 def build_session(master: str | None = None, app: str = "callrank",
@@ -75,17 +81,44 @@ def default_parallelism(spark: SparkSession) -> int:
         return os.cpu_count() or 8
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row of ``df``: strings and binaries by their own length,
+    nested values as JSON, all else 16."""
+    def size(field: T.StructField) -> Column:
+        col = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            return F.octet_length(col).cast("long") + 16
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.octet_length(F.to_json(F.struct(col))).cast("long") + 16
+        return F.lit(16)
+    total = F.lit(32).cast("long")
+    for field in df.schema.fields:
+        total = total + F.coalesce(size(field), F.lit(16))
+    return total
+
+
+def fits_broadcast(df: DataFrame, row_size: Column) -> bool:
+    """True if the rows' own sizes add up to at most ``BROADCAST_BYTES``."""
+    total = df.agg(F.sum(row_size.cast("long") + F.lit(32))).first()[0]
+    return (total or 0) <= BROADCAST_BYTES
+
+
+def written_small(df: DataFrame) -> tuple[DataFrame, bool]:
+    """``df`` written once to the shared folder, and whether its rows fit a
+    broadcast; the bytes are summed by the job that writes."""
+    seen = Observation()
+    path = scratch_path(df.sparkSession, "small")
+    df.observe(seen, F.sum(row_bytes(df)).alias("bytes")).write.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    return back, (seen.get["bytes"] or 0) <= BROADCAST_BYTES
+
+
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
     """Join with a side that is small by construction (per class, per
-    bucket, per task tables).  The small side is checkpointed (computed once,
-    reliably), its summed bytes are checked, and only then broadcast; beyond
-    ``BROADCAST_BYTES`` it is a regular shuffle join."""
-    from pyspark.sql import functions as F
-
-    from callrank.llm.common import fits_broadcast
-    small = cut_lineage(small)
-    whole = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in small.columns])))
-    fits = fits_broadcast(small, whole + F.lit(16 * len(small.columns)))
+    bucket, per task tables).  The small side is written (computed once,
+    reliably) and its bytes are summed on the way; up to ``BROADCAST_BYTES``
+    it is broadcast, beyond that it is a regular shuffle join."""
+    small, fits = written_small(small)
     if isinstance(on, (list, tuple)) and all(isinstance(c, str) for c in on):
         return join_null_safe(big, small, on, how, broadcast_right=fits)
     return big.join(F.broadcast(small) if fits else small, on, how)
@@ -95,7 +128,6 @@ def join_null_safe(left: DataFrame, right: DataFrame, cols, how: str = "inner",
                    broadcast_right: bool = False) -> DataFrame:
     """Equi-join on ``cols`` where NULL keys match NULL keys (``<=>``), so a
     row with a NULL class or group is kept, not silently dropped."""
-    from pyspark.sql import functions as F
     cols = list(cols)
     r = right.select(*[F.col(c).alias(f"__r_{c}") if c in cols else F.col(c) for c in right.columns])
     if broadcast_right:
