@@ -7,16 +7,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callrank.session import scratch_path
+from callrank.session import fits_broadcast, scratch_path
 
 #: Rows of an Arrow batch handed to Python.  Documents can be very long, so
 #: batches are kept small in rows to stay small in bytes.
 ARROW_ROWS = 256
 
-#: Largest estimated size of a side that is broadcast; beyond it the same
-#: join runs with salted keys and a shuffle.
-BROADCAST_BYTES = 32 << 20
-
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared scratch folder and read it
@@ -44,16 +40,10 @@ def ascii_lower(col: Column | str) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, upper, low))
 
 
-def fits_broadcast(df: DataFrame, row_bytes: Column) -> bool:
-    """True if the rows' own sizes add up to at most ``BROADCAST_BYTES``."""
-    total = df.agg(F.sum(row_bytes.cast("long") + F.lit(32))).first()[0]
-    return (total or 0) <= BROADCAST_BYTES
-
-
 def join_checked(big: DataFrame, small: DataFrame, on: list[str], row_bytes: Column, spread: list[str],
                  salts: int = 16) -> DataFrame:
     """Inner equi-join.  ``small`` is broadcast if its size is proven to be
-    within ``BROADCAST_BYTES``; beyond it both sides shuffle on the key and
+    within the session module's ``BROADCAST_BYTES``; beyond it both sides shuffle on the key and
     a salt (a hash of ``spread``), so one hot key of ``big`` is dealt to
     ``salts`` tasks."""
     if fits_broadcast(small, row_bytes):

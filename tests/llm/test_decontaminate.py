@@ -64,12 +64,12 @@ def test_against_brute_force(spark, docs, items):
 
 
 def test_shuffled_way_gives_the_same(spark, monkeypatch):
-    from callrank.llm import common
+    from callrank import session
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     items = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet")
     want = sorted((r["doc_id"], r["n_hit"], tuple(r["item_ids"])) for r in decontaminate(docs, items).collect())
     assert any(w[1] for w in want)
-    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(session, "BROADCAST_BYTES", -1)
     assert sorted((r["doc_id"], r["n_hit"], tuple(r["item_ids"])) for r in decontaminate(docs, items).collect()) == want
 
 
