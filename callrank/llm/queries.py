@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callrank.llm import (decontaminate, hilbert, langid, line_dedup, packing, simhash, token_counts, token_shards,
-                          url_filter, winnow)
+from callrank.llm import (decontaminate, filter_audit, hilbert, importance, langid, line_dedup, packing, simhash,
+                          token_counts, token_shards, toxicity, url_filter, winnow)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -135,3 +135,58 @@ def op9(spark, d):
 @query("op10_line_dedup")
 def op10(spark, d):
     return line_dedup.judge_lines(table(spark, d, "documents"))
+
+
+@query("op11_toxicity")
+def op11(spark, d):
+    rest = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4
+    out = toxicity.score_toxicity(table(spark, d, "documents"), table(spark, d, "labels"), keep=rest != 2)
+    return out.select("doc_id", (rest == 2).alias("held_out"), "score", "predicted")
+
+
+#: The filters of the audit query: failure conditions on (text, words); E is identity with a smaller id's text.
+AUDIT_FILTERS = {"A": filter_audit.few_words(200), "B": filter_audit.few_distinct(50), "C": filter_audit.many_capitals(2),
+                 "D": filter_audit.holds_any("#$%&*|")}
+
+OP12_SQL = r"""
+WITH RECURSIVE letters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+walk(ord, used) AS (SELECT '', 0 UNION ALL SELECT ord || letter, used | bit FROM walk JOIN letters ON used & bit = 0),
+steps AS (SELECT ord, CAST(s AS INTEGER) AS step, (SELECT bit FROM letters WHERE letter = substr(ord, s, 1)) AS bit,
+                 CAST((SELECT coalesce(sum(bit), 0) FROM letters WHERE strpos(ord, letter) < s) AS INTEGER) AS before
+          FROM (SELECT ord, unnest(generate_series(1, 5)) AS s FROM walk WHERE length(ord) = 5)),
+d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+f AS (SELECT doc_id, part, CASE WHEN len(words) < 200 THEN 1 ELSE 0 END
+             + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+             + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) THEN 4 ELSE 0 END
+             + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+             + CASE WHEN doc_id > least THEN 16 ELSE 0 END AS mask FROM w),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+      FROM labels GROUP BY doc_id),
+cells AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+          FROM f LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+m AS (SELECT part, ord, step, bit,
+             sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN mask & bit <> 0 AND mask & before <> 0 THEN n ELSE 0 END) AS redundant,
+             sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost,
+             sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+      FROM cells, steps GROUP BY part, ord, step, bit)
+SELECT part, ord AS filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM m
+"""
+
+
+@query("op12_filter_audit", OP12_SQL)
+def op12(spark, d):
+    return filter_audit.audit_filters(table(spark, d, "documents"), table(spark, d, "labels"), AUDIT_FILTERS, duplicates="E")
+
+
+@query("op13_importance_resampling")
+def op13(spark, d):
+    out = importance.importance_resample(table(spark, d, "documents"), table(spark, d, "benchmark"), percent=25, least_words=20,
+                                         buckets=10_000, seed=7)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
