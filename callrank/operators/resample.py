@@ -204,7 +204,7 @@ class SmoteClassifier(Estimator):
         that.estimator = self.estimator.copy(extra)
         return that
 
-    def _fit(self, dataset: DataFrame):
+    def _resampled(self, dataset: DataFrame) -> DataFrame:
         fcol, lcol = self.estimator.getFeaturesCol(), self.estimator.getLabelCol()
         k, seed = self.getOrDefault(self.k), self.getOrDefault(self.seed)
         key = [self.getOrDefault(self.keyCol)] if self.isDefined(self.keyCol) else None
@@ -216,5 +216,16 @@ class SmoteClassifier(Estimator):
         dims = len(arr.select("_x").first()[0]) if not arr.isEmpty() else 0
         syn = smote_samples(arr, "_x", dims, lcol, key, k, seed)
         train = arr.select("_x", lcol).unionByName(syn.select("_x", lcol))
-        train = train.select(array_to_vector("_x").alias(fcol), F.col(lcol).cast("double").alias(lcol))
-        return self.estimator.fit(train)
+        return train.select(array_to_vector("_x").alias(fcol), F.col(lcol).cast("double").alias(lcol))
+
+    def _fit(self, dataset: DataFrame):
+        return self.estimator.fit(self._resampled(dataset))
+
+    def fitMultiple(self, dataset: DataFrame, paramMaps):
+        """Fits for several settings of the inner estimator: the rows are
+        resampled once and written, so a cross validation of n settings
+        resamples each training fold once, not n times."""
+        own = {p.name for m in paramMaps for p in m if p.parent == self.uid}
+        if own:  # settings of the resampling itself
+            return super().fitMultiple(dataset, paramMaps)
+        return self.estimator.fitMultiple(cut_lineage(self._resampled(dataset)), paramMaps)

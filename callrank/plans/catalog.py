@@ -929,30 +929,23 @@ TUNING_GRID = {"maxIter": [100, 200], "maxDepth": [3, 5, 7], "stepSize": [0.05,
 def e9(spark, d):
     """Leak check on DOC: grid search (M5) of boosted trees with SMOTE inside
     each training fold (E9) against SMOTE applied before folding (the leaky
-    order)."""
+    order: folds are drawn over the resampled rows).  Test rows are original
+    in both."""
     from pyspark.ml.feature import VectorAssembler
 
-    from callrank.operators import models, resample
-    doc = split.stratified_split(fx.doc_frame(spark, d), "label", ["doc_id"], 0.2, 42)
-    doc = VectorAssembler(inputCols=DOC_FEATURES, outputCol="features").transform(doc)
-    doc = doc.withColumn("label", F.col("label").cast("double"))
-    tr = cut_lineage(split.stratified_folds(doc.where("split = 'train'"), "label", ["doc_id"], 3, 42))
-    te = doc.where("split = 'test'")
-    gbt = models.boosted_trees(seed=42)
-    rows = []
-    inside = resample.SmoteClassifier(gbt, k=5, seed=42, keyCol="doc_id")
-    cv_in = models.grid_search(inside, TUNING_GRID, fold_col="fold", param_owner=gbt).fit(tr)
-    auc_in = evaluate.roc_auc(models.predict(cv_in.bestModel, te, ["label"]), "label", "p_yes").first()["auc"]
-    rows.append(("inside_folds", float(max(cv_in.avgMetrics)), auc_in))
-    sm = resample.smote(tr.select("doc_id", "fold", "label", *DOC_FEATURES), DOC_FEATURES, "label", ["doc_id"])
-    sm = sm.join(tr.select("doc_id", "fold"), "doc_id")
-    sm = VectorAssembler(inputCols=DOC_FEATURES, outputCol="features").transform(sm)
-    sm = sm.withColumn("label", F.col("label").cast("double"))
-    cv_out = models.grid_search(gbt, TUNING_GRID, fold_col="fold").fit(cut_lineage(sm))
-    auc_out = evaluate.roc_auc(models.predict(cv_out.bestModel, te, ["label"]), "label", "p_yes").first()["auc"]
-    rows.append(("before_folds", float(max(cv_out.avgMetrics)), auc_out))
-    return spark.createDataFrame(rows, "mode string, cv_auc double, test_auc double").withColumn(
-        "gap", F.col("cv_auc") - F.col("test_auc"))
+    from callrank.operators import resample, tuning
+    doc = cut_lineage(split.stratified_split(fx.doc_frame(spark, d), "label", ["doc_id"], 0.2, 42))
+    vec = VectorAssembler(inputCols=DOC_FEATURES, outputCol="features")
+    tr, te = doc.where("split = 'train'"), vec.transform(doc.where("split = 'test'"))
+    inside = tuning.smote_folded(vec.transform(split.stratified_folds(tr, "label", ["doc_id"], 3, 42)), "fold", "doc_id", test=te)
+    sm = cut_lineage(resample.smote(tr, DOC_FEATURES, "label", ["doc_id"]))
+    sm = vec.transform(split.stratified_folds(sm, "label", ["doc_id", "copy"], 3, 42))
+    before = tuning.folded(sm, "fold", ["doc_id", "copy"], test=te.withColumn("copy", F.lit(0)))
+    out = None
+    for mode, rows in (("inside_folds", inside), ("before_folds", before)):
+        best = tuning.search(rows, TUNING_GRID).where("best").select(F.lit(mode).alias("mode"), "cv_auc", "test_auc")
+        out = best if out is None else out.unionByName(best)
+    return out.withColumn("gap", F.col("cv_auc") - F.col("test_auc"))
 
 
 # ---------------------------------------------------------------- prepared set, models, scoring
@@ -1050,38 +1043,34 @@ def m3(spark, d):
 
 
 def _m5_cv(spark, d):
-    from callrank.operators import models
+    from pyspark.ml import Pipeline
+
+    from callrank.operators import tuning
 
     def make():
         spec = lin_spec()
-        tr = cut_lineage(split.stratified_folds(_lin_prepared(spark, d).where("split = 'train'"), "label",
-                                                list(fx.LIN_KEY), 3, 42))
-        gbt = models.boosted_trees(seed=42)
-        pipe = encode.build_pipeline(spec.numeric, spec.categorical, gbt)
-        cv = models.grid_search(pipe, TUNING_GRID, fold_col="fold", param_owner=gbt)
-        return cv.fit(tr)
+        prep = _lin_prepared(spark, d)
+        tr = split.stratified_folds(prep.where("split = 'train'"), "label", list(fx.LIN_KEY), 3, 42)
+        model = Pipeline(stages=encode.preprocessor(spec.numeric, spec.categorical)).fit(tr)
+        test = model.transform(prep.where("split = 'test'"))
+        return cut_lineage(tuning.search(tuning.folded(model.transform(tr), "fold", fx.LIN_KEY, test=test), TUNING_GRID))
     return _cached(spark, d, "m5", make)
 
 
 @query("m5_grid_search")
 def m5(spark, d):
-    from callrank.operators import models
-    return models.cv_results(spark, _m5_cv(spark, d))
+    return _m5_cv(spark, d).drop("test_auc")
 
 
 @query("m6_best_params")
 def m6(spark, d):
-    from callrank.operators import models
-    return models.cv_results(spark, _m5_cv(spark, d)).where("best")
+    return _m5_cv(spark, d).where("best").drop("test_auc")
 
 
 @query("m7_cv_gap")
 def m7(spark, d):
     from callrank.operators import models
-    cvm = _m5_cv(spark, d)
-    te = _lin_prepared(spark, d).where("split = 'test'")
-    test_auc = evaluate.roc_auc(models.predict(cvm.bestModel, te, ["label"]), "label", "p_yes").select("auc").scalar()
-    return models.cv_gap(models.cv_results(spark, cvm), test_auc)
+    return models.cv_gap(_m5_cv(spark, d), F.col("test_auc"))
 
 
 @query("m8_feature_importances")
