@@ -16,10 +16,9 @@ from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from callrank.llm.common import boxed, likely_members, materialise, unboxed
+from callrank.llm.common import boxed, join_checked, likely_members, materialise, unboxed
 from callrank.llm.components import connected_components
 
 #: Characters of a shingle, least Jaccard similarity, bands and rows of a band.  A pair at the threshold shares a band with probability
@@ -29,6 +28,9 @@ SHINGLE, SIMILARITY, BANDS, ROWS = 8, 0.8, 8, 4
 #: Lines of a band that are compared pair by pair, if unlike its most frequent line.
 SMALL_BAND = 16
 
+#: Hash buckets in which shingles are counted, to order them.
+ORDER_BUCKETS = 1 << 16
+
 #: A prime; shingle hashes are taken below it.
 PRIME = (1 << 31) - 1
 
@@ -137,25 +139,59 @@ def _alike(a: Column, b: Column, similarity: float) -> Column:
     return both >= similarity * (F.size(a) + F.size(b) - both)
 
 
+def _order(tokens: DataFrame) -> Column:
+    """An array with the number of ``tok`` in each of ``ORDER_BUCKETS`` hash
+    buckets, as a scalar: bounded, whatever the number of shingles.  With
+    the hash itself it gives one order of all shingles, rare ones first."""
+    seen = tokens.select(_bucket(F.col("tok")).alias("at")).groupBy("at").agg(F.count("*").alias("n"))
+    every = tokens.sparkSession.range(ORDER_BUCKETS).select(F.col("id").cast("int").alias("at"), F.lit(0).cast("long").alias("n"))
+    dense = seen.unionByName(every).groupBy("at").agg(F.sum("n").alias("n"))
+    dense = materialise(dense, "shingle-order")
+    return dense.agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("c")).select(F.col("c.n").alias("c")).scalar()
+
+
+def _bucket(tok: Column) -> Column:
+    return F.pmod(tok, F.lit(ORDER_BUCKETS)).cast("int")
+
+
 def _prefix_pairs(members: DataFrame, lines: DataFrame, q: int, similarity: float) -> DataFrame:
     """Candidate pairs (u, v) of lines in the same band and different
-    components, one of them odd: shingles are ordered by rarity within the
-    band, and two lines that are similar enough share one of their
-    n - ceil(similarity * n) + 1 rarest shingles.  Where they first do, what
-    follows in either must still hold the overlap that is needed."""
-    tok = members.join(lines, "lid").withColumn("s", F.array_distinct(shingle_hashes(F.col("line"), q)))
-    tok = tok.select("band", "lid", "root", "odd", F.size("s").alias("n"), F.explode("s").alias("tok"))
-    df = tok.groupBy("band", "tok").agg(F.count("*").alias("df"))
-    place = F.row_number().over(W.partitionBy("band", "lid").orderBy("df", "tok"))
-    need = F.ceil(F.col("n") * similarity - 1e-9)
-    rare = tok.join(df, ["band", "tok"]).withColumn("i", place).where((F.col("i") <= F.col("n") - need + 1) & (F.col("df") > 1))
-    x = rare.where("odd").select("band", "tok", F.col("lid").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("i").alias("ix"))
+    components, one of them odd.  Shingles have one fixed order, rare ones
+    first, and two lines that are similar enough share one of their first
+    n - ceil(similarity * n) + 1.  Where they first do, what follows in either
+    must still hold the overlap that is needed.
+
+    Each line's prefix is cut out where its text is read, once for all its
+    bands.  Those of odd lines are written; of the others only those that
+    meet one of them (a map of their hashes tells) reach the shuffle."""
+    bands = members.groupBy("lid").agg(F.first("root").alias("root"), F.collect_list(F.struct("band", "odd")).alias("bands"))
+    # dealt by line, so that its shingles come together again without a shuffle of their own
+    own = materialise(lines.join(bands, "lid"), "prefix-lines").repartition("lid")
+    tokens = own.select("lid", "root", "bands", F.explode(F.array_distinct(shingle_hashes(F.col("line"), q))).alias("tok"))
+    count = _order(tokens)
+    placed = tokens.select("lid", "root", "bands", F.struct(F.get(count, _bucket(F.col("tok"))).alias("c"), F.col("tok").alias("t")).alias("s"))
+    ranked = placed.groupBy("lid").agg(F.first("root").alias("root"), F.first("bands").alias("bands"), F.sort_array(F.collect_list("s")).alias("s"))
+    n = F.size("s")
+    keep = n - F.ceil(n * similarity - 1e-9).cast("int") + 1
+    cut = materialise(ranked.select("lid", "root", "bands", n.alias("n"), F.slice("s", F.lit(1), keep)["t"].alias("s")), "line-prefixes")
+    rows = cut.select("lid", "root", "n", "bands", F.posexplode("s").alias("i", "tok")).select(
+        "lid", "root", "n", (F.col("i") + 1).alias("i"), "tok", F.explode("bands").alias("b"))
+    rows = rows.select(F.xxhash64("b.band", "tok").alias("at"), "lid", "root", "n", "i", F.col("b.odd").alias("odd"))
+    odd = materialise(rows.where("odd").drop("odd"), "odd-prefixes")
+    near = likely_members(rows, odd, "at")
+    x = odd.select("at", F.col("lid").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("i").alias("ix"))
     overlap = F.ceil((F.col("nx") + F.col("n")) * (similarity / (1 + similarity)) - 1e-9)
     rest = F.least(F.col("nx") - F.col("ix"), F.col("n") - F.col("i")) + 1
-    met = x.join(rare, ["band", "tok"]).where("rx != root and (x < lid or not odd)").where(rest >= overlap)
+    met = x.join(near, "at").where("rx != root and (x < lid or not odd)").where(rest >= overlap)
     return met.select(F.least("x", "lid").alias("u"), F.greatest("x", "lid").alias("v")).distinct()
 
 
+def _by_band(members: DataFrame, table: DataFrame) -> DataFrame:
+    """``members`` with the row of their band in ``table`` (one for each band):
+    a band of any number of members is dealt to many tasks."""
+    return join_checked(members, table, ["band"], F.lit(16 * len(table.columns)), ["lid"])
+
+
 def similar_lines(signed: DataFrame, lines: DataFrame, q: int, similarity: float) -> DataFrame:
     """Components (node, root) of line ids under verified links among the
     lines that share a band.
@@ -174,7 +210,8 @@ def similar_lines(signed: DataFrame, lines: DataFrame, q: int, similarity: float
     met = materialise(likely_members(one, shared, "band"), "band-lines")
     # edited copies are more like the line they were made from, the most frequent one, than like each other
     centre = met.groupBy("band").agg(F.max(F.struct("times", "lid"))["lid"].alias("centre"), F.count("*").alias("n"))
-    members = materialise(met.join(centre.where("n > 1"), "band").drop("times"), "band-members")
+    centre = materialise(centre.where("n > 1"), "band-centres")
+    members = materialise(_by_band(met, centre).drop("times"), "band-members")
     lines = materialise(_texts(members, signed, lines), "band-texts")
     star = members.where("lid != centre").select(F.least("centre", "lid").alias("u"), F.greatest("centre", "lid").alias("v")).distinct()
     links = materialise(_verified(star, lines, q, similarity), "links")
@@ -183,11 +220,12 @@ def similar_lines(signed: DataFrame, lines: DataFrame, q: int, similarity: float
         "band", "lid", "centre", "n", F.coalesce("root", "lid").alias("root"))
     apart = materialise(apart, "band-components")
     centre = apart.where("lid = centre").select("band", F.col("root").alias("centre_root"))
-    odd = apart.join(centre, "band").where("root != centre_root").select("band", F.col("lid").alias("x"), F.col("root").alias("rx"), "n")
+    centre = materialise(centre, "centre-roots")
+    odd = _by_band(apart, centre).where("root != centre_root").select("band", F.col("lid").alias("x"), F.col("root").alias("rx"), "n")
     few = odd.where(F.col("n") <= SMALL_BAND).drop("n").join(apart.select("band", "lid", "root", "centre"), "band")
     few = few.where("root != rx and lid != centre").select(F.least("x", "lid").alias("u"), F.greatest("x", "lid").alias("v"))
     large = odd.where(F.col("n") > SMALL_BAND).select("band").distinct()
-    large = apart.join(large, "band", "left_semi").join(centre, "band")
+    large = _by_band(_by_band(apart, materialise(large, "large-bands")), centre)
     many = _prefix_pairs(large.select("band", "lid", "root", (F.col("root") != F.col("centre_root")).alias("odd")), lines, q, similarity)
     more = materialise(_verified(few.unionByName(many).distinct(), lines, q, similarity), "more-links")
     return connected_components(links.unionByName(more))
