@@ -1,10 +1,11 @@
 """Token counts under a unigram model, by dynamic programming in a trie.
 
 The best segmentation of a word's first d characters depends on these
-characters only.  So the distinct words of a task are put in a trie, and the
-forward scores are computed once for each trie node: words that share a
-prefix share its scores.  A terminal node stores the word's token count, and
-a document's count is the sum over its words.
+characters only, so the forward scores belong to the nodes of a trie of the
+distinct words: words that share a prefix share its scores.  The words of a
+run come in order, which visits the trie depth first, so only the path to the
+present word is held; a node is scored once a run.  Terminal counts are
+stored, and a document's count is the sum over its words.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ WORD_MARK = "▁"
 #: Scores are whole numbers, so that sums are exact and ties well defined.
 SCALE = 1_000_000
 
-#: Trie nodes, and characters of remembered words, that a Python worker keeps.
-NODES_KEPT, WORD_CHARS = 400_000, 64
+#: Terminal counts, and characters of such words, that a Python worker keeps.
+WORDS_KEPT, WORD_CHARS = 600_000, 64
 
 
 def unigram_scores(path: str) -> dict[str, int]:
@@ -43,72 +44,76 @@ def unigram_scores(path: str) -> dict[str, int]:
 
 
 class Trie:
-    """Forward scores of every prefix met so far.
-
-    A node is (cost, tokens, children): the least cost of a segmentation of
-    the path to the node and, of the cheapest, the fewest tokens.  A
-    character outside the vocabulary is one unknown token for each of its
-    UTF-8 bytes (as with byte fallback), at ``unknown`` cost a byte.
+    """Forward scores along the path to the present word.
+
+    A node of the path is (cost, tokens, open): the least cost of a
+    segmentation of the word so far and, of the cheapest, the fewest tokens;
+    and the pieces that have begun and may go on, each as a place in the tree
+    of pieces with the score at its start.  A character outside the
+    vocabulary is one unknown token for each of its UTF-8 bytes (as with byte
+    fallback), at ``unknown`` cost a byte.
     """
 
     def __init__(self, scores: dict[str, int]):
-        self.scores = scores
-        self.longest = max(map(len, scores), default=1)
         self.unknown = max(scores.values(), default=SCALE) + SCALE
-        self.clear()
-
-    def clear(self) -> None:
-        self.root: list = [0, 0, {}]
-        self.nodes = 1
+        self.pieces: dict = {}
+        for piece, cost in scores.items():
+            at = self.pieces
+            for ch in piece:
+                at = at.setdefault(ch, {})
+            at[""] = cost  # no character is empty
+        self.path: list[tuple[int, int, list]] = [(0, 0, [])]
+        self.word = ""
         self.terminal: dict[str, int] = {}
 
-    def _step(self, word: str, d: int, path: list) -> tuple[int, int]:
-        """Score of word[:d] from the scores of its prefixes."""
-        last = word[d - 1]
-        raw = len(last.encode("utf-8", "surrogatepass"))
-        best = None if last in self.scores else (path[d - 1][0] + raw * self.unknown, path[d - 1][1] + raw)
-        for n in range(1, min(self.longest, d) + 1):
-            s = self.scores.get(word[d - n:d])
-            if s is not None:
-                at = path[d - n]
-                cand = (at[0] + s, at[1] + 1)
-                if best is None or cand < best:
-                    best = cand
-        return best
+    def _step(self, node: tuple[int, int, list], ch: str) -> tuple[int, int, list]:
+        """The node after one more character."""
+        cost, tokens, begun = node
+        top = self.pieces.get(ch)
+        alive = []
+        if top is not None and "" in top:
+            best, count = cost + top[""], tokens + 1
+        else:
+            raw = len(ch.encode("utf-8", "surrogatepass"))
+            best, count = cost + raw * self.unknown, tokens + raw
+        for at, start, before in begun:
+            at = at.get(ch)
+            if at is not None:
+                alive.append((at, start, before))
+                price = at.get("")
+                if price is not None and (start + price < best or start + price == best and before + 1 < count):
+                    best, count = start + price, before + 1
+        if top is not None:
+            alive.append((top, cost, tokens))
+        return best, count, alive
 
     def insert(self, word: str) -> int:
-        """Token count of ``word``; only unseen prefixes are scored."""
+        """Token count of ``word``; what it shares with the word before is
+        not scored again."""
         known = self.terminal.get(word)
         if known is not None:
             return known
-        if len(word) > WORD_CHARS:
-            return self._long(word)
-        if self.nodes > NODES_KEPT:
-            self.clear()
-        node, path = self.root, [self.root]
-        for d, ch in enumerate(word, 1):
-            nxt = node[2].get(ch)
-            if nxt is None:
-                cost, tokens = self._step(word, d, path)
-                nxt = node[2][ch] = [cost, tokens, {}]
-                self.nodes += 1
-            node = nxt
+        if len(word) > WORD_CHARS:  # no path is kept of a long word, so its memory is not of its size
+            node = self.path[0]
+            for ch in word:
+                node = self._step(node, ch)
+            return node[1]
+        path, last, d = self.path, self.word, 0
+        for a, b in zip(word, last):
+            if a != b:
+                break
+            d += 1
+        del path[d + 1:]
+        node = path[d]
+        for ch in word[d:]:
+            node = self._step(node, ch)
             path.append(node)
+        self.word = word
+        if len(self.terminal) >= WORDS_KEPT:
+            self.terminal.clear()
         self.terminal[word] = node[1]
         return node[1]
 
-    def _long(self, word: str) -> int:
-        """The same scores without keeping nodes: a window of ``longest``
-        scores, so a text without white space needs no memory of its size."""
-        scores = [(0, 0)]
-        for d in range(1, len(word) + 1):
-            low = max(0, d - self.longest)
-            part = word[low:d]
-            scores.append(self._step(part, d - low, scores))
-            if len(scores) > self.longest:
-                scores.pop(0)
-        return scores[-1][1]
-
 
 def count_tokens(docs: DataFrame, pieces: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_tokens) for each row.  ``pieces`` is the path of a
@@ -120,8 +125,8 @@ def count_tokens(docs: DataFrame, pieces: str, doc_id: str = "doc_id", text: str
     * Whole texts are counted, however long; words without an end too.
     * Extra columns are not read; an empty table gives an empty result.
 
-    Nothing is shuffled: a task's trie is shared by all its documents and
-    starts anew when it holds ``NODES_KEPT`` nodes.
+    Nothing is shuffled: a task's terminal counts are shared by all its
+    documents and start anew when there are ``WORDS_KEPT``.
     """
     small_batches(docs.sparkSession)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -130,7 +135,7 @@ def count_tokens(docs: DataFrame, pieces: str, doc_id: str = "doc_id", text: str
         trie = Trie(unigram_scores(pieces))
         for b in batches:
             words = [Counter((t or "").split()) for t in b.column(1).to_pylist()]
-            # sorted words walk the trie in order: shared prefixes follow one another
+            # in order: shared prefixes follow one another
             count = {w: trie.insert(WORD_MARK + w) for w in sorted(set().union(*words))} if words else {}
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([sum(c.values()) for c in words], pa.int64()),
