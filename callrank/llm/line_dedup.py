@@ -281,6 +281,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     gone = gone.select(F.col("doc_id").alias("_cut_id"), F.col("text_hash").alias("_cut_hash"), "_cut")
     rows = boxed(docs, d=F.col(doc_id), h=F.xxhash64(text), t=F.col(text))
     out = rows.join(gone, F.col("d").eqNullSafe(F.col("_cut_id")) & (F.col("h") == F.col("_cut_hash")), "left")
-    left = F.array_join(F.filter(F.split("t", "\n"), lambda x, i: ~F.array_contains("_cut", i)), "\n")
+    # the outer transform binds the lines of a text; what is cut is looked up by hash, not line by line
+    left = F.transform(F.array(F.split("t", "\n")), lambda own: F.array_join(F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("_cut")), lambda i: F.get(own, i)), "\n"))[0]
     new = F.when(F.col("_cut").isNull(), F.col("t")).otherwise(left)
     return unboxed(out.withColumn("row", F.col("row").withField(f"`{text}`", new)), docs.columns)

@@ -268,7 +268,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, doc_id
       texts of white space only, have fingerprint zero, linked like any other.
     * ``component_id``: the smallest doc_id reachable over links of at most
       ``distance`` differing bits, the row's own included; null only if no
-      row of the component has an id.
+      row of the component has an id.  Ids are whole numbers; a string id that
+      is not one raises.
     * Equal fingerprints are one class, so copies are never paired; repeated
       rows and repeated or null ids each give their own row.  Extra columns
       are not read; an empty table gives an empty result.

@@ -124,7 +124,8 @@ def edited_fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW, doc_i
     order (nulls last, equal ids by the hash of the text); after the last
     comes the first.  A lone document is its own next one.
 
-    * Null text is empty.  Repeated rows follow one another.
+    * Null text is empty.  Repeated rows follow one another.  Ids are whole
+      numbers; a string id that is not one raises.
     * ``near_*`` is the Jaccard likeness of the sets of kept hashes.
     * Extra columns are not read; an empty table gives an empty result.
 

@@ -78,6 +78,11 @@ def test_odd_documents(odd_docs, make_docs):  # noqa: F811
         ("1", "a\n\n b "), ("2", "\n\n"), ("3", ""), ("3", ""), ("None", "c")]
 
 
+def test_text_of_many_repeated_lines(make_docs):  # noqa: F811
+    df = make_docs([(1, "the same line\n" * 50_000 + "tail"), (2, "a\nthe same line\nb")])
+    assert sorted(map(tuple, line_dedup.dedup_lines(df).select("doc_id", "text").collect())) == [(1, "the same line\ntail"), (2, "a\nb")]
+
+
 def near(rnd, line, edits):
     w = line.split()
     for _ in range(edits):
