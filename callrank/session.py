@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,18 +105,18 @@ def fits_broadcast(df: DataFrame, row_size: Column) -> bool:
 
 def written_small(df: DataFrame) -> tuple[DataFrame, bool]:
     """``df`` written once to the shared folder, and whether its rows fit a
-    broadcast; the bytes are summed by the job that writes."""
-    seen = Observation()
+    broadcast.  (The bytes are summed from the written table: an observed
+    metric would tie the session's state to the closures of fitted models.)"""
     path = scratch_path(df.sparkSession, "small")
-    df.observe(seen, F.sum(row_bytes(df)).alias("bytes")).write.parquet(path)
+    df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
-    return back, (seen.get["bytes"] or 0) <= BROADCAST_BYTES
+    return back, fits_broadcast(back, row_bytes(back))
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
     """Join with a side that is small by construction (per class, per
     bucket, per task tables).  The small side is written (computed once,
-    reliably) and its bytes are summed on the way; up to ``BROADCAST_BYTES``
+    reliably) and its bytes are summed; up to ``BROADCAST_BYTES``
     it is broadcast, beyond that it is a regular shuffle join."""
     small, fits = written_small(small)
     if isinstance(on, (list, tuple)) and all(isinstance(c, str) for c in on):
