@@ -50,3 +50,14 @@ def test_split_plan_has_no_range_sort_of_all_rows(spark):
     o = fx.ord_frame(spark, SF_SMALL, "o_orderkey").select("o_orderkey", "label")
     p = _plan(split.stratified_split(o, "label", ["o_orderkey"]))
     assert "rangepartitioning" not in p
+
+
+def test_split_compares_hashes_without_moving_rows(spark):
+    """One scan of the rows, joined with the classes' cutoffs: no exchange,
+    union or window over rows."""
+    from callrank.operators import split
+    from callrank.plans import fixtures as fx
+    o = fx.ord_frame(spark, SF_SMALL, "o_orderkey", "o_totalprice").select("o_orderkey", "o_totalprice", "label")
+    p = _plan(split.stratified_split(o, "label", ["o_orderkey"]))
+    assert "hashpartitioning" not in p and "Union" not in p and "Window" not in p
+    assert p.count("Scan parquet") == 2 and "BroadcastHashJoin" in p

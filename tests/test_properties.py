@@ -120,7 +120,7 @@ def test_split_boundary_ranking_against_brute_force(spark):
 
     from callrank.functions.expressions import hash_hex_key
     df = spark.range(0, 3000).select(F.col("id"), (F.col("id") % 3 == 0).cast("int").alias("label"))
-    got = {(r.id, r.split) for r in split.stratified_split(df, "label", ["id"], 0.2, 7, prefix_hex=1).collect()}
+    got = {(r.id, r.split) for r in split.stratified_split(df, "label", ["id"], 0.2, 7).collect()}
     h = df.withColumn("_h", hash_hex_key(7, "id"))
     w = Window.partitionBy("label").orderBy("_h", "id")
     ref = (h.withColumn("rk", F.row_number().over(w))
@@ -205,3 +205,23 @@ def test_equal_count_bins_many_buckets(spark):
     got = {(r.id, r.bin) for r in ranking.equal_count_bins(df, "s", ["id"], 10, buckets=600).collect()}
     ref = df.withColumn("bin", F.ntile(10).over(Window.orderBy(F.desc("s"), "id")))
     assert got == {(r.id, r.bin) for r in ref.collect()}
+
+
+def test_split_of_repeated_keys_keeps_class_shares(spark):
+    """Rows of one key share one hash; a cutoff inside them still gives the
+    exact number of test rows, in a NULL class as well."""
+    from pyspark.sql import functions as F
+
+    from callrank.operators import split
+    df = spark.range(400).select((F.col("id") % 7).alias("k"), F.when(F.col("id") % 4 > 0, F.col("id") % 2).alias("label"))
+    got = split.stratified_split(df, "label", ["k"], 0.3, 5).groupBy("label").agg(
+        F.count_if(F.col("split") == "test").alias("t"), F.count(F.lit(1)).alias("n")).collect()
+    assert {r.label: (r.t, r.n) for r in got} == {None: (30, 100), 0: (30, 100), 1: (60, 200)}
+
+
+def test_split_borders(spark):
+    from callrank.operators import split
+    df = spark.createDataFrame([(i, i % 2) for i in range(21)], "id long, label int")
+    for f, want in ((0.0, 0), (0.01, 0), (1.0, 21), (0.5, 11)):  # 11 and 10 rows: 5.5 goes up to 6
+        assert split.stratified_split(df, "label", ["id"], f).where("split = 'test'").count() == want
+    assert split.stratified_split(df.limit(0), "label", ["id"]).count() == 0
