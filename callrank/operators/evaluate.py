@@ -29,7 +29,8 @@ def _cnt() -> Column:
 def score_table(df: DataFrame, label: str = "label", score: str = "score",
                 groups: Iterable[str] = (), buckets: int | None = None) -> DataFrame:
     """Per (groups, distinct score): pos, neg, tp/fp (counts with score >= s),
-    n_pos/n_neg (group totals) and position (1 = highest score)."""
+    n_pos/n_neg (group totals), position (1 = highest score) and next_pos /
+    next_neg, the counts of the next lower score (NULL at the lowest)."""
     G = list(groups)
     g = (df.where(F.col(score).isNotNull())
            .groupBy(*G, score)
@@ -44,7 +45,8 @@ def score_table(df: DataFrame, label: str = "label", score: str = "score",
     # window, holds at most about 1/B of the rows
     pts = sorted(set(g.approxQuantile(score, [i / B for i in range(1, B)], 1.0 / (4 * B))))
     g = bucket_desc(g, score, pts, "_b")
-    tot = g.groupBy(*G, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"), _cnt().alias("_bc"))
+    tot = g.groupBy(*G, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"), _cnt().alias("_bc"),
+                                  F.max(F.struct(score, "pos", "neg")).alias("_top"))
     above = Window.partitionBy(*G).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*G)
     off = (tot.withColumn("_op", F.coalesce(F.sum("_bp").over(above), F.lit(0)))
@@ -52,21 +54,30 @@ def score_table(df: DataFrame, label: str = "label", score: str = "score",
               .withColumn("_oc", F.coalesce(F.sum("_bc").over(above), F.lit(0)))
               .withColumn("n_pos", F.sum("_bp").over(whole))
               .withColumn("n_neg", F.sum("_bn").over(whole))
-              .drop("_bp", "_bn", "_bc"))
-    inb = Window.partitionBy(*G, "_b").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+              # the first score of the bucket below follows the last one here
+              .withColumn("_below", F.lead("_top").over(Window.partitionBy(*G).orderBy("_b")))
+              .drop("_bp", "_bn", "_bc", "_top"))
+    down = Window.partitionBy(*G, "_b").orderBy(F.desc(score))
+    inb = down.rowsBetween(Window.unboundedPreceding, 0)
     return (join_small(g, off, [*G, "_b"])  # groups x buckets rows
              .withColumn("tp", F.col("_op") + F.sum("pos").over(inb))
              .withColumn("fp", F.col("_on") + F.sum("neg").over(inb))
              .withColumn("position", F.col("_oc") + F.row_number().over(inb))
-             .drop("_op", "_on", "_oc", "_b"))
+             .withColumn("next_pos", F.coalesce(F.lead("pos").over(down), F.col("_below.pos")))
+             .withColumn("next_neg", F.coalesce(F.lead("neg").over(down), F.col("_below.neg")))
+             .drop("_op", "_on", "_oc", "_b", "_below"))
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
             groups: Iterable[str] = (), buckets: int | None = None) -> DataFrame:
     """H1 (H7 with groups): exact ROC-AUC, ties counted half; NULL when only
     one class is present.  Integer numerator, so the value is exact."""
+    return auc_of(score_table(df, label, score, groups, buckets), groups)
+
+
+def auc_of(st: DataFrame, groups: Iterable[str] = ()) -> DataFrame:
+    """H1 from a ``score_table``."""
     G = list(groups)
-    st = score_table(df, label, score, G, buckets)
     num = F.sum((F.col("neg") * (F.lit(2) * F.col("tp") - F.col("pos"))).cast("decimal(38,0)"))
     out = st.groupBy(*G).agg(num.alias("_num"), F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"))
     den = F.lit(2.0) * F.col("n_pos").cast("double") * F.col("n_neg").cast("double")
@@ -76,8 +87,12 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
 def average_precision(df: DataFrame, label: str = "label", score: str = "score",
                       groups: Iterable[str] = (), buckets: int | None = None) -> DataFrame:
     """H2: average precision = sum over thresholds of (R_n - R_{n-1}) * P_n."""
+    return average_precision_of(score_table(df, label, score, groups, buckets), groups)
+
+
+def average_precision_of(st: DataFrame, groups: Iterable[str] = ()) -> DataFrame:
+    """H2 from a ``score_table``."""
     G = list(groups)
-    st = score_table(df, label, score, G, buckets)
     term = F.col("pos").cast("double") * (F.col("tp").cast("double") / (F.col("tp") + F.col("fp")).cast("double"))
     return (st.groupBy(*G).agg(F.sum(term).alias("_s"), F.max("n_pos").alias("n_pos"))
               .select(*G, F.when(F.col("n_pos") > 0, F.col("_s") / F.col("n_pos").cast("double"))
@@ -89,25 +104,25 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score",
               buckets: int | None = None) -> DataFrame:
     """H6: (threshold, fpr, tpr) from the highest score down, starting at
     (+inf, 0, 0).  ``drop_intermediate`` drops points whose fpr and tpr
-    steps both equal the step before (collinear), by an equi-join on
-    position +/- 1 rather than a one-partition lag/lead."""
+    steps both equal the step after (collinear); the first and the last
+    score stay."""
+    return roc_curve_of(score_table(df, label, score, groups, buckets), score, groups, drop_intermediate)
+
+
+def roc_curve_of(st: DataFrame, score: str = "score", groups: Iterable[str] = (),
+                 drop_intermediate: bool = False) -> DataFrame:
+    """H6 from a ``score_table``, which carries the next step of every point:
+    no join on positions and no window beyond its buckets."""
     G = list(groups)
-    st = score_table(df, label, score, G, buckets)
-    pts = st.select(*G, F.col(score).cast("double").alias("threshold"), "position", "tp", "fp", "n_pos", "n_neg")
+    pts = st.select(*G, F.col(score).cast("double").alias("threshold"), "position", "tp", "fp", "n_pos", "n_neg",
+                    "pos", "neg", "next_pos", "next_neg")
     start = (st.where(F.col("position") == 1)
                .select(*G, F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("position"),
                        F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), "n_pos", "n_neg"))
     if drop_intermediate:
-        # the origin is added afterwards: the first and last real points stay
-        prev = pts.select(*G, (F.col("position") + 1).alias("position"),
-                          F.col("tp").alias("_ptp"), F.col("fp").alias("_pfp"))
-        nxt = pts.select(*G, (F.col("position") - 1).alias("position"),
-                         F.col("tp").alias("_ntp"), F.col("fp").alias("_nfp"))
-        j = pts.join(prev, [*G, "position"], "left").join(nxt, [*G, "position"], "left")
-        keep = (F.col("_ptp").isNull() | F.col("_ntp").isNull()
-                | ((F.col("_ntp") - F.col("tp")) != (F.col("tp") - F.col("_ptp")))
-                | ((F.col("_nfp") - F.col("fp")) != (F.col("fp") - F.col("_pfp"))))
-        pts = j.where(keep).drop("_ptp", "_pfp", "_ntp", "_nfp")
+        pts = pts.where((F.col("position") == 1) | F.col("next_pos").isNull()
+                        | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg")))
+    pts = pts.drop("pos", "neg", "next_pos", "next_neg")
     pts = pts.unionByName(start)
     return pts.select(*G, "threshold", "position",
                       safe_ratio(F.col("fp"), F.col("n_neg")).alias("fpr"),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callrank.functions.expressions import decision, lift
+from callrank.session import BROADCAST_BYTES, join_small, row_bytes, scratch_path
 
 
 def batch_score(model: PipelineModel, df: DataFrame, base_rate, threshold: float = 0.30,
@@ -38,33 +39,45 @@ def numeric_ranges(ref: DataFrame, cols: Iterable[str]) -> DataFrame:
 def domain_violations(df: DataFrame, key: Iterable[str], domains: DataFrame,
                       ranges: DataFrame | None = None) -> DataFrame:
     """K2: rows (key..., column_name, value) whose category was never seen in
-    training (left anti join on (column, value)) or whose number lies outside
-    the learned range.  NULL inputs are not violations (the encoder keeps
-    them as 'unseen' zeros)."""
+    training or whose number lies outside the learned range.  NULL inputs are
+    not violations (the encoder keeps them as 'unseen' zeros), and a column
+    absent from ``domains`` and ``ranges`` is not validated.
+
+    Each column is looked up in its own domain while the rows are scanned, and
+    only violations become rows.  The domains are written once and summed by
+    column; a column beyond ``BROADCAST_BYTES`` has its distinct values
+    checked first, so a frequent value is shuffled once a task."""
     key = list(key)
     if domains.columns != ["column_name", "value"]:
         raise ValueError("domains must be (column_name, value) rows")
-    cols = [c for c in df.columns if c not in key]
-    str_cols = [f.name for f in df.schema.fields if f.name in cols and f.dataType.simpleString() == "string"]
-    if str_cols:
-        long_cat = (df.select(*key, *[F.col(c) for c in str_cols])
-                      .unpivot(key, str_cols, "column_name", "value")
-                      .where(F.col("value").isNotNull()))
-        bad = long_cat.join(domains, ["column_name", "value"], "left_anti")
-        # a column absent from the domain table is not validated
-        known_cols = domains.select("column_name").distinct()
-        bad = bad.join(known_cols, "column_name", "left_semi")
-    else:
-        bad = None
-    if ranges is not None:
-        # only inputs with a learned range: one row per column, a fact of the schema
-        ranged = {r["column_name"] for r in ranges.select("column_name").distinct().collect()}
-        num = [c for c in cols if c in ranged and c not in str_cols]
-        if num:
-            long_num = (df.select(*key, *[F.col(c).cast("double").alias(c) for c in num])
-                          .unpivot(key, num, "column_name", "x"))
-            out_of = (long_num.join(F.broadcast(ranges), "column_name")  # one row per numeric column: bounded
-                              .where((F.col("x") < F.col("lo")) | (F.col("x") > F.col("hi")))
-                              .select(*key, "column_name", F.col("x").cast("string").alias("value")))
-            bad = out_of if bad is None else bad.unionByName(out_of)
-    return bad
+    cols = [f for f in df.schema.fields if f.name not in key]
+    texts = [f.name for f in cols if f.dataType.simpleString() == "string"]
+    spark = df.sparkSession
+    path = scratch_path(spark, "domains")
+    domains.where(F.col("column_name").isin(texts) & F.col("value").isNotNull()).distinct().write.parquet(path)
+    known = spark.read.schema(domains.schema).parquet(path)
+    # one row per column: a fact of the schema
+    sizes = known.groupBy("column_name").agg(F.sum(row_bytes(known)).alias("n")).collect()
+    x, found = df, []
+
+    def violation(name, bad, value):
+        found.append(F.when(bad, F.struct(F.lit(name).alias("column_name"), value.alias("value"))))
+
+    for i, (name, size) in enumerate(sorted(sizes)):
+        values = known.where(F.col("column_name") == name).select(F.col("value").alias(f"_v{i}"))
+        if size <= BROADCAST_BYTES:
+            x = x.join(F.broadcast(values.withColumn(f"_s{i}", F.lit(True))), F.col(name) == F.col(f"_v{i}"), "left")
+            bad = F.col(name).isNotNull() & F.col(f"_s{i}").isNull()
+        else:
+            unseen = df.select(F.col(name).alias(f"_u{i}")).distinct().join(
+                values, F.col(f"_u{i}") == F.col(f"_v{i}"), "left_anti")
+            x = join_small(x, unseen, F.col(name) == F.col(f"_u{i}"), "left")
+            bad = F.col(f"_u{i}").isNotNull()
+        violation(name, bad, F.col(name))
+    numbers = [f.name for f in cols if f.name not in texts]
+    for r in (ranges.where(F.col("column_name").isin(numbers)).collect() if ranges is not None else []):
+        v = F.col(r["column_name"]).cast("double")
+        violation(r["column_name"], (v < F.lit(r["lo"])) | (v > F.lit(r["hi"])), v.cast("string"))
+    none = F.lit(None).cast("struct<column_name: string, value: string>")
+    return (x.select(*key, F.explode(F.array_compact(F.array(*found, none))).alias("_r"))
+             .select(*key, "_r.column_name", "_r.value"))

@@ -1133,7 +1133,10 @@ def e4(spark, d):
     return encode.feature_names_frame(model.transform(prep), "features")
 
 
-@query("e10_pipeline_composition")
+@query("e10_pipeline_composition", """
+SELECT stage, kind, (SELECT count(*) FROM lineitem) AS rows_scored
+FROM (VALUES (0, 'StringIndexerModel'), (1, 'OneHotEncoderModel'), (2, 'VectorAssembler'),
+             (3, 'DecisionTreeClassificationModel')) AS v(stage, kind)""")
 def e10(spark, d):
     from callrank.operators import models
     model = _lin_fit(spark, d, "m1", models.decision_tree(max_depth=5, seed=42))
@@ -1156,6 +1159,17 @@ def _train_result(spark, d):
     return _cached(spark, d, "k4", make)
 
 
+def _artifact(spark, d):
+    """The training job's folder, written (S8, S9) and read back."""
+    from callrank.plans.train import load_artifact, persist
+
+    def make():
+        path = scratch_path(spark, "artifact")
+        persist(_train_result(spark, d), path)
+        return load_artifact(spark, path)
+    return _cached(spark, d, "artifact", make)
+
+
 @query("k4_train_job")
 def k4(spark, d):
     return _train_result(spark, d).metrics
@@ -1164,16 +1178,56 @@ def k4(spark, d):
 @query("k3_model_card")
 def k3(spark, d):
     from callrank.plans.train import model_card
-    return model_card(_train_result(spark, d))
+    return model_card(_artifact(spark, d))
+
+
+@query("k3_card_counts", "WITH " + LIN_SPLIT_SQL + """
+SELECT 'n_train' AS item, CAST(count(*) FILTER (split = 'train') AS DOUBLE) AS x FROM sp
+UNION ALL SELECT 'n_test', CAST(count(*) FILTER (split = 'test') AS DOUBLE) FROM sp
+UNION ALL SELECT 'positive_rate', round(avg(CAST(label AS DOUBLE)), 9) FROM sp
+UNION ALL SELECT 'threshold', 0.5::DOUBLE
+UNION ALL SELECT 'actual=' || CAST(label AS VARCHAR), CAST(count(*) AS DOUBLE) FROM sp WHERE split = 'test'
+GROUP BY label""")
+def k3_counts(spark, d):
+    """The parts of the stored card that no random stream decides."""
+    from callrank.plans.train import model_card
+    card = model_card(_artifact(spark, d))
+    known = card.where(F.col("item").isin("n_train", "n_test", "positive_rate", "threshold"))
+    cells = card.where(F.col("section") == "confusion").groupBy(
+        F.substring_index("item", ",", 1).alias("item")).agg(F.sum("x").alias("x"))
+    return known.select("item", F.round("x", 9).alias("x")).unionByName(cells)
+
+
+@query("k2_stored_domains", "WITH " + LIN_SPLIT_SQL + """,
+tr AS (SELECT *, CASE WHEN l_linenumber = 7 THEN -1 ELSE l_linenumber END AS ln FROM sp WHERE split = 'train')
+SELECT 'l_linestatus' AS column_name, v AS value, NULL::DOUBLE AS lo, NULL::DOUBLE AS hi
+FROM (SELECT DISTINCT l_linestatus AS v FROM tr WHERE l_linestatus IS NOT NULL)
+UNION ALL SELECT 'l_quantity', NULL, CAST(min(l_quantity) AS DOUBLE), CAST(max(l_quantity) AS DOUBLE) FROM tr
+UNION ALL SELECT 'l_discount', NULL, CAST(min(l_discount) AS DOUBLE), CAST(max(l_discount) AS DOUBLE) FROM tr
+UNION ALL SELECT 'l_tax', NULL, CAST(min(l_tax) AS DOUBLE), CAST(max(l_tax) AS DOUBLE) FROM tr
+UNION ALL SELECT 'l_linenumber', NULL, CAST(min(ln) AS DOUBLE), CAST(max(ln) AS DOUBLE) FROM tr""")
+def k2_stored(spark, d):
+    """Domains and ranges learned from the train rows, read from the folder."""
+    a = _artifact(spark, d)
+    return a.domains.unionByName(a.ranges, allowMissingColumns=True)
 
 
 @query("k1_batch_score")
 def k1(spark, d):
-    from callrank.operators import score
-    res = _train_result(spark, d)
-    prep = _lin_prepared(spark, d)
-    base = prep.where("split = 'train'").agg(F.avg(F.col("label").cast("double"))).scalar()
-    return score.batch_score(res.model, prep, base, threshold=0.30, keep=list(fx.LIN_KEY))
+    from callrank.plans.train import score_with_artifact
+    return score_with_artifact(_artifact(spark, d), _lin_prepared(spark, d), threshold=0.30, keep=list(fx.LIN_KEY))
+
+
+@query("k1_score_checks", "WITH " + LIN_SQL + """
+SELECT count(*) AS n, count(*) AS lift_right, count(*) AS decision_right, count(*) AS probabilities FROM lin""")
+def k1_checks(spark, d):
+    """Rows of K1 whose lift over the table's rate, decision and range hold."""
+    rate = _lin_prepared(spark, d).agg(F.avg(F.col("label").cast("double"))).scalar()
+    p = F.col("p_yes")
+    return k1(spark, d).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("lift") - p / rate) < 1e-9).alias("lift_right"),
+        F.count_if(F.col("decision") == F.when(p >= 0.3, "CALL").otherwise("SKIP")).alias("decision_right"),
+        F.count_if((p >= 0) & (p <= 1)).alias("probabilities"))
 
 
 @query("s8_s10_model_roundtrip")
@@ -1187,9 +1241,26 @@ def s8(spark, d):
     return models.predict(loaded, te, list(fx.LIN_KEY))
 
 
+@query("s8_roundtrip_difference", "WITH " + LIN_SPLIT_SQL + """
+SELECT count(*) AS n, 0.0::DOUBLE AS largest_difference FROM sp WHERE split = 'test'""")
+def s8_difference(spark, d):
+    """Scores of a saved and reloaded model against those of the fitted one."""
+    saved = s8(spark, d).select(*fx.LIN_KEY, F.col("p_yes").alias("q"))
+    both = _m1(spark, d).join(saved, list(fx.LIN_KEY))
+    return both.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("p_yes") - F.col("q"))).alias("largest_difference"))
+
+
+@query("m9_rows_per_split", "WITH " + LIN_SPLIT_SQL + """
+SELECT split, count(*) AS n, count(*) AS valid FROM sp GROUP BY split""")
+def m9_rows(spark, d):
+    """Predicted rows a split, and those with a probability and its class."""
+    p = F.col("p_yes")
+    ok = (p >= 0) & (p <= 1) & ((p == 0.5) | (F.col("prediction") == (p > 0.5).cast("int")))
+    return m9(spark, d).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("valid"))
+
+
 @query("s9_metrics_sink")
 def s9(spark, d):
-    res = _train_result(spark, d)
-    path = scratch_path(spark, "metrics")
-    sinks.write_metrics(res.metrics, path)
-    return sinks.load_metrics(spark, path)
+    """The stored metrics row: scalars, confusion cells, top features."""
+    a = _artifact(spark, d)
+    return a.metrics.withColumn("confusion", F.to_json("confusion")).withColumn("top_features", F.to_json("top_features"))

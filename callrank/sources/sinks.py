@@ -33,18 +33,24 @@ class ArtifactMissingError(FileNotFoundError):
     """The model directory does not exist or is incomplete."""
 
 
+def require(spark: SparkSession, path: str) -> None:
+    """Raises ``ArtifactMissingError`` if ``path`` does not exist."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        raise ArtifactMissingError(f"model artifact not found at {path!r}: train first")
+
+
 def load_model(spark: SparkSession, path: str) -> PipelineModel:
     """Load a fitted pipeline, with a clear error when it is missing.
     Other errors (unreadable files, wrong class) come through as they are."""
-    metadata = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/metadata")
-    if not metadata.getFileSystem(spark._jsc.hadoopConfiguration()).exists(metadata):
-        raise ArtifactMissingError(f"model artifact not found at {path!r}: train first")
+    require(spark, f"{path.rstrip('/')}/metadata")
     return PipelineModel.load(path)
 
 
-def load_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """Metrics written by ``write_metrics``."""
-    return spark.read.json(path)
+def load_metrics(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Metrics written by ``write_metrics``; without a schema its types
+    are read off the JSON."""
+    return (spark.read.schema(schema) if schema else spark.read).json(path)
 
 
 def metrics_json(row: dict) -> str:

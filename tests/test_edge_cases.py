@@ -168,3 +168,22 @@ def test_missing_feature_column_is_an_error(spark):
     spec = FeatureSpec(numeric=("n",), categorical=("c",), target="y", positive="yes", key=("id",))
     with pytest.raises(ValueError, match="n"):
         prepare(df, spec)
+
+
+def test_domain_violations_beyond_a_broadcast(spark, monkeypatch):
+    """Both ways give the same rows; no domain, no range and no column to
+    check give none."""
+    from callrank.operators import score
+    df = spark.createDataFrame([(1, "a", "q", 1.0), (2, "z", "q", 5.0), (3, None, "r", None), (4, "z", "s", -1.0)],
+                               "id long, c string, e string, n double")
+    doms = spark.createDataFrame([("c", "a"), ("c", "a"), ("c", None), ("e", "q"), ("e", "r"), ("gone", "x")],
+                                 "column_name string, value string")
+    ranges = spark.createDataFrame([("n", 0.0, 2.0), ("gone", 0.0, 1.0)], "column_name string, lo double, hi double")
+    want = {(2, "c", "z"), (4, "c", "z"), (4, "e", "s"), (2, "n", "5.0"), (4, "n", "-1.0")}
+    small = score.domain_violations(df, ["id"], doms, ranges)
+    assert sorted(map(tuple, small.collect())) == sorted(want)
+    assert "hashpartitioning" not in small._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(score, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, score.domain_violations(df, ["id"], doms, ranges).collect())) == sorted(want)
+    assert score.domain_violations(df, ["id"], doms.limit(0)).count() == 0
+    assert score.domain_violations(df.select("id"), ["id"], doms, ranges).count() == 0

@@ -104,6 +104,30 @@ def test_train_job_and_model_card(spark, signal):
     assert res.importances.count() <= 15
 
 
+def test_artifact_from_the_folder_alone(spark, signal, tmp_path):
+    """What is stored equals what was trained; a second reader needs no more."""
+    from callrank.plans.train import invalid_inputs, load_artifact, model_card, score_with_artifact, train
+    with pytest.raises(sinks.ArtifactMissingError):
+        load_artifact(spark, str(tmp_path / "none"))
+    path = str(tmp_path / "artifact")
+    res = train(spark, signal, SPEC, models.balanced_forest(trees=10, max_depth=5, min_leaf=5), out_dir=path)
+    back = load_artifact(spark, path)
+
+    def rows(df):
+        return sorted(map(tuple, df.collect()), key=str)
+    assert rows(model_card(back)) == rows(model_card(res))
+    assert back.metrics.drop("confusion", "top_features").columns == res.metrics.columns
+    assert sum(r.n for r in back.confusion.collect()) == back.metrics.first().n_test
+    test = res.prepared.where("split = 'test'")
+    scored = score_with_artifact(back, test, keep=["id"]).collect()
+    rate = signal.where("y = 'yes'").count() / 2000
+    assert len(scored) == test.count() and all(abs(r.lift - r.p_yes / rate) < 1e-9 for r in scored)
+    train_rows = res.prepared.where("split = 'train'")
+    assert invalid_inputs(back, train_rows.select("id", "cat", "f1"), ["id"]).count() == 0
+    odd = spark.createDataFrame([(1, "z", 0.5), (2, "x", 9.0), (3, None, None)], "id long, cat string, f1 double")
+    assert {(r.id, r.column_name) for r in invalid_inputs(back, odd, ["id"]).collect()} == {(1, "cat"), (2, "f1")}
+
+
 def test_stream_scoring(spark, prepared, tmp_path):
     from callrank.streaming.scoring import score_stream
     tr, te = prepared.where("split = 'train'"), prepared.where("split = 'test'")
