@@ -4,14 +4,18 @@ Neighbours.  SMOTE interpolates between a minority row and one of its k
 nearest minority neighbours.  Neighbours are searched among *distinct*
 minority vectors (a vector repeated by a third of the rows is one point;
 interpolating between two copies of one point would only copy it).  The
-search is exact and never forms all pairs: every vector gets its distance
-r to a fixed pivot, vectors are put in equal-count bands of r (edges at
-approximate quantiles), and a query is joined only with its own and the
-two adjacent (super-)bands.  By the triangle inequality a vector outside
-them is farther than the nearer outer edge, so a query whose k-th
-candidate is closer than that is final; the others are retried with
-super-bands twice as wide.  When one super-band holds every vector all
-queries are final, so the loop ends with an exact answer for every query.
+search is exact and never forms all pairs.  Space is cut into box cells by
+median splits of the widest feature, up to 256 cells a level, and cells that
+are still crowded are cut again.  Each vector first meets its own cell, which
+bounds the distance of its k-th neighbour; then it walks down the boxes,
+keeps those that its own ball touches, and meets only their vectors.  So
+every query stops alone, in any number of dimensions, and what it meets
+follows how the data lie, not a fixed number of bands.
+
+Categories.  With trailing label codes (``nominal``) the distance is that of
+SMOTE-NC: a differing code adds the squared median of the standard deviations
+of the class's continuous features.  A synthetic row takes its parent's
+neighbours' most frequent code, so no code between two categories appears.
 
 Draws.  Copies, neighbour choice and the interpolation weight u come from
 md5(seed:key[:copy]), never from partitioning, so the output repeats
@@ -21,7 +25,11 @@ under any repartition and can be re-derived in SQL.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import add
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Estimator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -30,98 +38,206 @@ from pyspark.sql import functions as F
 
 from callrank.functions.expressions import hash_hex_key
 from callrank.operators.split import hash_rank
-from callrank.session import cut_lineage
+from callrank.session import cut_lineage, join_small, scratch_path
+
+
+#: Beyond so many features a distance is a loop over arrays, as the compiled
+#: code of a sum of single terms would grow too large.
+UNROLLED = 32
+
+
+def _sum_squares(gap, arrays: list[Column], dims: int) -> Column:
+    """Sum of ``gap(entries of the arrays)`` squared over the first ``dims`` entries, in their order."""
+    if dims <= UNROLLED:
+        terms = [gap(*[a[i] for a in arrays]) for i in range(dims)]
+        return reduce(add, [t * t for t in terms], F.lit(0.0))
+    rows = F.slice(F.arrays_zip(*[a.alias(f"a{j}") for j, a in enumerate(arrays)]), 1, dims)
+    gaps = F.transform(rows, lambda r: gap(*[r[f"a{j}"] for j in range(len(arrays))]))
+    return F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g)
+
+
+def _penalties(differs, dims: int, nominal: int, penalty: float) -> list[Column]:
+    return [F.when(differs(i), F.lit(penalty)).otherwise(F.lit(0.0)) for i in range(dims - nominal, dims)]
+
 
+def sq_dist(a: str, b: str, dims: int, nominal: int = 0, penalty: float = 0.0) -> Column:
+    """Squared distance of two array<double> columns: Euclidean, and
+    ``penalty`` for each of the last ``nominal`` entries that differs."""
+    x, y = F.col(a), F.col(b)
+    near = _sum_squares(lambda p, q: p - q, [x, y], dims - nominal)
+    return reduce(add, _penalties(lambda i: x[i] != y[i], dims, nominal, penalty), near)
 
-def sq_dist(a, b) -> Column:
-    """Squared Euclidean distance of two array<double> columns."""
-    a = F.col(a) if isinstance(a, str) else a
-    b = F.col(b) if isinstance(b, str) else b
-    return F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
+
+def _box_dist(x: str, lo: str, hi: str, dims: int, nominal: int, penalty: float) -> Column:
+    """The least ``sq_dist`` that a vector inside the box can have: each term
+    is at most that of any vector there, in doubles too."""
+    v, p, q = F.col(x), F.col(lo), F.col(hi)
+    near = _sum_squares(lambda c, a, b: F.greatest(a - c, c - b, F.lit(0.0)), [v, p, q], dims - nominal)
+    return reduce(add, _penalties(lambda i: (v[i] < p[i]) | (v[i] > q[i]), dims, nominal, penalty), near)
 
 
 def _hex_unit(h: Column, start: int) -> Column:
     return F.conv(F.substring(h, start, 8), 16, 10).cast("bigint")
 
 
-def knn_distinct(points: DataFrame, vec: str, dims: int, k: int, per_band: int = 64,
-                 max_bands: int = 100_000) -> DataFrame:
+#: The splits of a cell are fitted on about this many of its vectors, whatever its size.
+FIT_ROWS = 4096
+
+#: Median splits between a cell and its children: at most 2 ** DEPTH of them.
+DEPTH = 8
+
+
+def median_splits(points: np.ndarray, least: int, spread: np.ndarray) -> tuple[list[int], list[float]]:
+    """(feature, cut) of the inner nodes of a tree of ``DEPTH`` levels, children
+    of i at 2 i + 1 (values up to the cut) and 2 i + 2.  A node that is not
+    split has the cut infinity.  Each side of a split has at least ``least`` of
+    the points; the feature is the widest one (``spread`` replaces the variance
+    where it is not NaN) that leaves an eighth on either side, else the one
+    that splits most evenly."""
+    size = 2 ** DEPTH - 1
+    feature, cut = [0] * size, [float("inf")] * size
+    todo = [(0, np.arange(len(points)))]
+    while todo:
+        node, rows = todo.pop()
+        if node >= size or len(rows) < 2 * least:
+            continue
+        own, m, best = points[rows], len(rows), None
+        width = np.where(np.isnan(spread), own.var(axis=0), spread)
+        for j in np.argsort(-width, kind="stable"):
+            x = np.sort(own[:, j])
+            steps = np.flatnonzero(x[1:] > x[:-1]) + 1  # how many values lie up to each possible cut
+            steps = steps[(steps >= least) & (m - steps >= least)]
+            if not len(steps):
+                continue
+            left = steps[np.abs(2 * steps - m).argmin()]
+            small = min(left, m - left)
+            if best is None or small > best[0]:
+                best = (small, int(j), float(x[left - 1]))
+            if 8 * small >= m:
+                best = (small, int(j), float(x[left - 1]))
+                break
+        if best is None:
+            continue
+        _, feature[node], cut[node] = best
+        right = own[:, best[1]] > best[2]
+        todo += [(2 * node + 1, rows[~right]), (2 * node + 2, rows[right])]
+    return feature, cut
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _cells(V: DataFrame, vec: str, dims: int, least: int, per_cell: int, nominal: int,
+           penalty: float) -> tuple[DataFrame, list[DataFrame]]:
+    """(``vec``, _c) with the cell of every vector, and for each level the
+    boxes (_p, _c, _lo, _hi) of the cells below each cell of the level above
+    (the first is cell 0).  A cell of more than two times ``per_cell`` vectors
+    is cut again, unless its last cut left it whole.  Every cell holds at
+    least ``least`` vectors if the table does."""
+    spread = np.array([np.nan] * (dims - nominal) + [penalty / 2] * nominal)
+
+    def fit(key, table):
+        n = table["_n"][0].as_py()
+        points = np.array(table["_v"].to_pylist(), float).reshape(table.num_rows, dims)
+        # stop where a side would stand for fewer than half of per_cell vectors
+        feature, cut = median_splits(points, max(least, per_cell * table.num_rows // (2 * n)), spread)
+        return pa.table({"_c": pa.array([key[0].as_py()], pa.int64()), "_dim": pa.array([feature], pa.list_(pa.int32())),
+                         "_cut": pa.array([cut], pa.list_(pa.float64()))})
+
+    V = V.select(vec, F.lit(0).cast("long").alias("_c"))
+    crowded = V.groupBy("_c").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 2 * per_cell)
+    levels = []
+    while True:
+        crowded = _written(crowded, "crowded-cells")
+        if crowded.isEmpty():
+            return V, levels
+        rows = join_small(V, crowded, ["_c"]).select("_c", "_n", F.col(vec).alias("_v"))
+        rows = rows.where(F.pmod(F.xxhash64("_v"), F.ceil(F.col("_n") / FIT_ROWS)) == 0)
+        trees = rows.groupBy("_c").applyInArrow(fit, "_c long, _dim array<int>, _cut array<double>")
+        at = join_small(V, trees, ["_c"], "left")
+        down = F.aggregate(F.array_repeat(F.lit(0), DEPTH), F.lit(0), lambda i, _: i * 2 + 1 + F.when(
+            F.get(F.col(vec), F.get(F.col("_dim"), i)) > F.get(F.col("_cut"), i), 1).otherwise(0))
+        leaf = F.coalesce(F.when(F.col("_dim").isNotNull(), down - (2 ** DEPTH - 1)), F.lit(0))
+        V = _written(at.select(vec, F.col("_c").alias("_p"), (F.col("_c") * 2 ** DEPTH + leaf).alias("_c")), "cells")
+        edge = V.select("_p", "_c", F.posexplode(vec).alias("_i", "_x")).groupBy("_p", "_c", "_i").agg(
+            F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+        edge = edge.groupBy("_p", "_c").agg(F.max("_n").alias("_n"), F.sort_array(F.collect_list(F.struct("_i", "_lo", "_hi"))).alias("_e"))
+        boxes = _written(edge.select("_p", "_c", "_n", F.col("_e._lo").alias("_lo"), F.col("_e._hi").alias("_hi")), "boxes")
+        levels.append(boxes.select("_p", "_c", "_lo", "_hi"))
+        crowded = boxes.withColumn("_all", F.sum("_n").over(Window.partitionBy("_p"))).where(
+            (F.col("_n") > 2 * per_cell) & (F.col("_n") < F.col("_all"))).select("_c", "_n")
+        V = V.select(vec, "_c")
+
+
+def _touched(own: DataFrame, levels: list[DataFrame], vec: str, dims: int, nominal: int = 0,
+             penalty: float = 0.0) -> DataFrame:
+    """(``vec``, _rad, _at): the cells other than its own that the ball of a
+    vector touches, found from the top by joins on the cell above."""
+    walk = own.groupBy(vec).agg(F.first("_c").alias("_own"), F.max("d2").alias("_rad"))
+    # a column, not a constant: the join with the first level stays an equi-join
+    walk = walk.withColumn("_at", F.shiftright("_own", DEPTH * len(levels)))
+    for boxes in levels:
+        walk = join_small(walk, boxes, F.col("_at") == F.col("_p"))
+        walk = walk.where(_box_dist(vec, "_lo", "_hi", dims, nominal, penalty) <= F.col("_rad"))
+        walk = walk.select(vec, "_own", "_rad", F.col("_c").alias("_at"))
+    return walk.where(F.col("_at") != F.col("_own")).drop("_own")
+
+
+def knn_distinct(points: DataFrame, vec: str, dims: int, k: int, per_cell: int = 64, nominal: int = 0,
+                 penalty: float = 0.0) -> DataFrame:
     """Exact k nearest *other* distinct vectors of every distinct vector.
 
     Returns (vec, nb_rank 0..k'-1, nb, d2), k' = min(k, distinct - 1); ties
-    in distance are broken by the neighbour vector (lexicographic).
-
-    Bands hold equal counts: their edges are approximate quantiles of the
-    pivot distance r (at most ``max_bands``, a bounded list), so a dense
-    region gets narrow bands instead of crowded ones.  At level L a query
-    in band b meets the vectors of super-bands (b >> L) - 1 .. (b >> L) + 1;
-    it is final when its k-th candidate is closer than the nearer outer edge
-    of those super-bands (anything beyond is farther, by the triangle
-    inequality).  Each level doubles the super-band, so after about
-    log2(bands) levels every query is final."""
-    from pyspark.ml.feature import Bucketizer
-
-    V = points.select(vec).where(F.col(vec).isNotNull()).distinct()
-    piv = V.agg(*[F.min(F.col(vec)[i]).alias(f"p{i}") for i in range(dims)]).first()
-    pv = F.array(*[F.lit(float(piv[i] or 0.0)) for i in range(dims)])
-    V = cut_lineage(V.withColumn("_r", F.sqrt(sq_dist(vec, pv))))
-    n = V.count()
-    kk = min(k, n - 1)
+    in distance are broken by the neighbour vector (lexicographic).  Vectors
+    with a null or NaN entry have no neighbours and are nobody's.
+
+    The k-th candidate of a vector's own cell bounds its search; of all other
+    cells only those whose box is not farther than that are joined (equal
+    distances included).  A cell that no split divides (nearly all its vectors
+    agree in every feature but a few) is compared whole."""
     spark = points.sparkSession
-    schema = f"{vec} array<double>, nb_rank int, nb array<double>, d2 double"
+    odd = F.exists(F.col(vec), lambda x: x.isNull() | F.isnan(x))
+    V = _written(points.select(vec).where(F.col(vec).isNotNull() & ~odd).distinct(), "distinct-vectors")
+    kk = min(k, V.count() - 1)
     if kk <= 0:
-        return spark.createDataFrame([], schema)
-    nb_target = max(1, min(n // per_band, max_bands))
-    cuts = (sorted(set(V.approxQuantile("_r", [i / nb_target for i in range(1, nb_target)], 1.0 / (4 * nb_target))))
-            if nb_target > 1 else [])
-    splits = [float("-inf")] + cuts + [float("inf")]
-    m = len(splits) - 1  # number of bands
-    if cuts:
-        V = Bucketizer(splits=splits, inputCol="_r", outputCol="_bd").transform(V)
-        V = cut_lineage(V.withColumn("_bd", F.col("_bd").cast("long")))
-    else:  # fewer vectors than two bands: one band
-        V = V.withColumn("_bd", F.lit(0).cast("long"))
-    # band edges: m + 1 rows, bounded by max_bands + 1
-    edges = F.broadcast(spark.createDataFrame([(i, x) for i, x in enumerate(splits)], "_e long, _x double"))
-    todo = V.select(vec, "_r", "_bd")
-    done, level = [], 0
-    while True:
-        width = 1 << level
-        full = width >= m
-        sb = F.shiftright(F.col("_bd"), level)
-        data = V.select(F.col(vec).alias("nb"), sb.alias("_j"))
-        qry = (todo.withColumn("_s", sb)
-                   .withColumn("_lo_e", F.greatest(F.lit(0), (F.col("_s") - 1) * width))
-                   .withColumn("_hi_e", F.least(F.lit(m), (F.col("_s") + 2) * width))
-                   .join(edges.select(F.col("_e").alias("_lo_e"), F.col("_x").alias("_lo")), "_lo_e")
-                   .join(edges.select(F.col("_e").alias("_hi_e"), F.col("_x").alias("_hi")), "_hi_e")
-                   .withColumn("_rad", F.least(F.col("_r") - F.col("_lo"), F.col("_hi") - F.col("_r")))
-                   .select(vec, "_rad", F.explode(F.array(F.col("_s") - 1, F.col("_s"), F.col("_s") + 1)).alias("_j")))
-        pairs = (qry.join(data, "_j").where(F.col(vec) != F.col("nb"))
-                    .withColumn("d2", sq_dist(vec, "nb")))
-        byq = Window.partitionBy(vec).orderBy("d2", "nb")
-        ranked = (pairs.withColumn("nb_rank", (F.row_number().over(byq) - 1).cast("int"))
-                       .withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(vec))))
-        top = ranked.where(F.col("nb_rank") < kk)
-        safe = (F.col("_rad") * F.lit(1 - 1e-9)) ** 2
-        final_q = (top.where((F.col("nb_rank") == kk - 1) & (F.col("_m") >= kk)
-                             & (F.lit(full) | (F.col("d2") < safe)))
-                      .select(vec))
-        got = cut_lineage(top.join(final_q, vec, "left_semi").select(vec, "nb_rank", "nb", "d2"))
-        done.append(got)
-        todo = cut_lineage(todo.join(got.select(vec).distinct(), vec, "left_anti"))
-        if full or todo.isEmpty():
-            break
-        level += 1
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+        return spark.createDataFrame([], f"{vec} array<double>, nb_rank int, nb array<double>, d2 double")
+    V, levels = _cells(V, vec, dims, kk + 1, per_cell, nominal, penalty)
+    dist = sq_dist(vec, "nb", dims, nominal, penalty)
+    near = Window.partitionBy(vec).orderBy("d2", "nb")
+
+    def nearest(pairs: DataFrame) -> DataFrame:
+        return pairs.withColumn("nb_rank", (F.row_number().over(near) - 1).cast("int")).where(F.col("nb_rank") < kk)
+
+    members = V.select(F.col("_c").alias("_n"), F.col(vec).alias("nb"))
+    own = V.join(members, F.col("_c") == F.col("_n")).where(F.col(vec) != F.col("nb")).withColumn("d2", dist)
+    own = _written(nearest(own.select(vec, "_c", "nb", "d2")), "own-cell")
+    got = own.select(vec, "nb", "d2")
+    if levels:
+        walk = _touched(own, levels, vec, dims, nominal, penalty)
+        other = walk.join(members, F.col("_at") == F.col("_n"))
+        other = other.withColumn("d2", dist).where(F.col("d2") <= F.col("_rad"))
+        got = got.unionByName(other.select(vec, "nb", "d2"))
+    return _written(nearest(got).select(vec, "nb_rank", "nb", "d2"), "neighbours")
+
+
+def nominal_penalty(rows: DataFrame, vec: str, dims: int, nominal: int) -> float:
+    """What a differing code adds to the squared distance: the square of the
+    median of the continuous features' standard deviations, to six decimals
+    (so that it does not hang on the order of summation); 1 without any."""
+    if not nominal or nominal == dims:
+        return 1.0
+    sd = rows.agg(*[F.stddev_pop(F.col(vec)[i]) for i in range(dims - nominal)]).first()
+    mid = round(float(np.median([x or 0.0 for x in sd])), 6)
+    return mid * mid
 
 
 def smote_samples(df: DataFrame, vec: str, dims: int, label: str, key: Iterable[str], k: int = 5,
-                  seed: int = 42, minority=None, per_band: int = 64) -> DataFrame:
+                  seed: int = 42, minority=None, per_cell: int = 64, nominal: int = 0) -> DataFrame:
     """Synthetic rows that grow every smaller class to the majority count.
+    The last ``nominal`` entries of the vector are label codes (SMOTE-NC).
 
     Returns (key..., copy, vec, label) of the synthetic rows only; ``key``
     is the parent row's key.  Row i of a class with n_c rows and need
@@ -138,7 +254,8 @@ def smote_samples(df: DataFrame, vec: str, dims: int, label: str, key: Iterable[
         cls, n_c = c[label], c["n"]
         need = n_max - n_c
         rows = df.where(F.col(label) == F.lit(cls)).select(*key, vec)
-        nbrs = knn_distinct(rows, vec, dims, k, per_band)
+        penalty = nominal_penalty(rows, vec, dims, nominal)
+        nbrs = knn_distinct(rows, vec, dims, k, per_cell, nominal, penalty)
         kk = nbrs.agg(F.max("nb_rank")).first()[0]
         kk = 0 if kk is None else kk + 1
         ranked = hash_rank(rows, None, key, seed, name="_rn")
@@ -153,6 +270,10 @@ def smote_samples(df: DataFrame, vec: str, dims: int, label: str, key: Iterable[
             # AQE splits a hot parent vector on the big side; the neighbour side is k rows per vector
             j = copies.join(nbrs.select(vec, "nb_rank", "nb"), [vec, "nb_rank"])
             syn = F.zip_with(F.col(vec), F.col("nb"), lambda a, b: a + u * (b - a))
+            if nominal:  # the neighbours' most frequent code, the smallest among equals
+                codes = [F.mode(F.col("nb")[i], True) for i in range(dims - nominal, dims)]
+                codes = nbrs.groupBy(vec).agg(F.array(*codes).alias("_codes"))
+                j, syn = j.join(codes, vec), F.concat(F.slice(syn, 1, dims - nominal), F.col("_codes"))
         else:  # one distinct vector: SMOTE degenerates to replication
             j, syn = copies, F.col(vec)
         part = j.select(*key, "copy", syn.alias(vec), F.lit(cls).alias(label))
@@ -164,15 +285,17 @@ def smote_samples(df: DataFrame, vec: str, dims: int, label: str, key: Iterable[
 
 
 def smote(df: DataFrame, features: list[str], label: str, key: Iterable[str], k: int = 5,
-          seed: int = 42, vec: str = "_x") -> DataFrame:
+          seed: int = 42, vec: str = "_x", nominal: Iterable[str] = ()) -> DataFrame:
     """E8 on feature columns: originals plus synthetic rows, with a
-    ``synthetic`` flag; synthetic rows keep their parent's key."""
-    key = list(key)
+    ``synthetic`` flag; synthetic rows keep their parent's key.  ``nominal``
+    names those of the features that are label codes (SMOTE-NC)."""
+    key, nominal = list(key), list(nominal)
+    features = [f for f in features if f not in nominal] + nominal
     arr = df.select(*key, F.array(*[F.col(f).cast("double") for f in features]).alias(vec), label)
     # the narrow (key, vector, label) table is read by every pass below; write it
     # once instead of re-deriving it from the wide source each time
     arr = cut_lineage(arr)
-    syn = smote_samples(arr, vec, len(features), label, key, k, seed)
+    syn = smote_samples(arr, vec, len(features), label, key, k, seed, nominal=len(nominal))
     orig = arr.withColumn("copy", F.lit(0)).withColumn("synthetic", F.lit(False))
     both = orig.unionByName(syn.withColumn("synthetic", F.lit(True)))
     return both.select(*key, "copy", *[F.col(vec)[i].alias(f) for i, f in enumerate(features)], label, "synthetic")

@@ -921,6 +921,85 @@ def e8b(spark, d):
     return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("e8_smote_many_features", """
+WITH v AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS x, CASE WHEN label = 0 THEN 1 ELSE 0 END AS label FROM embeddings),
+m AS (SELECT vec_id, x FROM v WHERE label = 1),
+cnt AS (SELECT (SELECT count(*) FROM v WHERE label = 0) - (SELECT count(*) FROM m) AS need, (SELECT count(*) FROM m) AS nc),
+u AS (SELECT DISTINCT x FROM m),
+kk AS (SELECT least(5, count(*) - 1) AS kk FROM u),
+nn AS (SELECT a.x, b.x AS y, row_number() OVER (PARTITION BY a.x ORDER BY list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(a.x, b.x)]), b.x) - 1 AS nb_rank
+       FROM u a JOIN u b ON a.x <> b.x),
+r AS (SELECT m.*, row_number() OVER (ORDER BY md5('42:' || CAST(vec_id AS VARCHAR)), vec_id) AS rn FROM m),
+c AS (SELECT r.*, need // nc + CASE WHEN rn <= need % nc THEN 1 ELSE 0 END AS ncopy FROM r, cnt),
+cp AS (SELECT c.*, unnest(generate_series(1, ncopy)) AS copy FROM c WHERE ncopy > 0),
+hh AS (SELECT cp.*, md5('42:' || CAST(vec_id AS VARCHAR) || ':' || CAST(copy AS VARCHAR)) AS h2 FROM cp),
+d AS (SELECT hh.*, CAST(('0x' || substr(h2, 1, 8))::BIGINT % kk AS INTEGER) AS j,
+             CAST(('0x' || substr(h2, 9, 8))::BIGINT AS DOUBLE) / 4294967296.0::DOUBLE AS u FROM hh, kk)
+SELECT d.vec_id, CAST(d.copy AS INTEGER) AS copy, CAST(i - 1 AS INTEGER) AS feature,
+       round(d.x[i] + d.u * (nn.y[i] - d.x[i]), 9) AS value
+FROM d JOIN nn ON d.x = nn.x AND d.j = nn.nb_rank, range(1, 65) AS g(i)""")
+def e8_many(spark, d):
+    """SMOTE of one label against all others on the 64 features of the
+    vectors; one row a synthetic row and feature."""
+    from callrank.operators import resample
+    v = fx.table(spark, d, "embeddings", "vec_id", "embedding", "label")
+    v = v.select("vec_id", F.col("embedding").cast("array<double>").alias("x"), (F.col("label") == 0).cast("int").alias("label"))
+    syn = resample.smote_samples(v, "x", 64, "label", ["vec_id"], k=5, seed=42)
+    return syn.select("vec_id", "copy", F.posexplode("x").alias("feature", "value")).withColumn("value", _round("value", 9))
+
+
+@query("e8_smote_categories", """
+WITH doc AS (SELECT l.doc_id, 1 - l.quality AS label, CAST(d.n_chars AS DOUBLE) AS x0, CAST(length(d.text) % 50 AS DOUBLE) AS x1,
+                    coalesce(d.source, '') AS source, coalesce(d.lang, '') AS lang
+             FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+cs AS (SELECT source, CAST(row_number() OVER (ORDER BY source) - 1 AS DOUBLE) AS c0 FROM (SELECT DISTINCT source FROM doc)),
+cl AS (SELECT lang, CAST(row_number() OVER (ORDER BY lang) - 1 AS DOUBLE) AS c1 FROM (SELECT DISTINCT lang FROM doc)),
+m AS (SELECT doc_id, x0, x1, c0, c1 FROM doc JOIN cs USING (source) JOIN cl USING (lang) WHERE label = 1),
+cnt AS (SELECT (SELECT count(*) FROM doc WHERE label = 0) - (SELECT count(*) FROM m) AS need, (SELECT count(*) FROM m) AS nc,
+               (SELECT power(round((stddev_pop(x0) + stddev_pop(x1)) / 2, 6), 2) FROM m) AS pen),
+v AS (SELECT DISTINCT x0, x1, c0, c1 FROM m),
+kk AS (SELECT least(5, count(*) - 1) AS kk FROM v),
+nn AS (SELECT * FROM (
+       SELECT a.x0, a.x1, a.c0, a.c1, b.x0 AS y0, b.x1 AS y1, b.c0 AS b0, b.c1 AS b1,
+              row_number() OVER (PARTITION BY a.x0, a.x1, a.c0, a.c1
+                                 ORDER BY (a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1)
+                                          + CASE WHEN a.c0 <> b.c0 THEN pen ELSE 0 END + CASE WHEN a.c1 <> b.c1 THEN pen ELSE 0 END,
+                                          b.x0, b.x1, b.c0, b.c1) - 1 AS nb_rank
+       FROM v a JOIN v b ON NOT (a.x0 = b.x0 AND a.x1 = b.x1 AND a.c0 = b.c0 AND a.c1 = b.c1), cnt), kk WHERE nb_rank < kk),
+t0 AS (SELECT x0, x1, c0, c1, b0, row_number() OVER (PARTITION BY x0, x1, c0, c1 ORDER BY count(*) DESC, b0) AS o
+       FROM nn GROUP BY x0, x1, c0, c1, b0),
+t1 AS (SELECT x0, x1, c0, c1, b1, row_number() OVER (PARTITION BY x0, x1, c0, c1 ORDER BY count(*) DESC, b1) AS o
+       FROM nn GROUP BY x0, x1, c0, c1, b1),
+r AS (SELECT m.*, row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS rn FROM m),
+c AS (SELECT r.*, need // nc + CASE WHEN rn <= need % nc THEN 1 ELSE 0 END AS ncopy FROM r, cnt),
+cp AS (SELECT c.*, unnest(generate_series(1, ncopy)) AS copy FROM c WHERE ncopy > 0),
+hh AS (SELECT cp.*, md5('42:' || CAST(doc_id AS VARCHAR) || ':' || CAST(copy AS VARCHAR)) AS h2 FROM cp),
+d AS (SELECT hh.*, CAST(('0x' || substr(h2, 1, 8))::BIGINT % kk AS INTEGER) AS j,
+             CAST(('0x' || substr(h2, 9, 8))::BIGINT AS DOUBLE) / 4294967296.0::DOUBLE AS u FROM hh, kk)
+SELECT d.doc_id, CAST(d.copy AS INTEGER) AS copy, d.x0 + d.u * (nn.y0 - d.x0) AS n_chars, d.x1 + d.u * (nn.y1 - d.x1) AS len_mod,
+       cs.source, cl.lang
+FROM d JOIN nn ON d.x0 = nn.x0 AND d.x1 = nn.x1 AND d.c0 = nn.c0 AND d.c1 = nn.c1 AND d.j = nn.nb_rank
+JOIN t0 ON d.x0 = t0.x0 AND d.x1 = t0.x1 AND d.c0 = t0.c0 AND d.c1 = t0.c1 AND t0.o = 1 JOIN cs ON cs.c0 = t0.b0
+JOIN t1 ON d.x0 = t1.x0 AND d.x1 = t1.x1 AND d.c0 = t1.c0 AND d.c1 = t1.c1 AND t1.o = 1 JOIN cl ON cl.c1 = t1.b1""")
+def e8_categories(spark, d):
+    """SMOTE-NC on DOC: source and language as sorted label codes (E1) beside
+    two numbers; the codes of the synthetic rows are decoded again."""
+    from pyspark.ml.feature import IndexToString
+
+    from callrank.operators import resample
+    texts = fx.table(spark, d, "documents", "doc_id", "source", "lang", "n_chars", "text")
+    doc = fx.table(spark, d, "labels", "doc_id", "quality").join(texts, "doc_id").select(
+        "doc_id", (F.lit(1) - F.col("quality")).alias("label"), "n_chars", (F.length("text") % 50).alias("len_mod"),
+        *[F.coalesce(c, F.lit("")).alias(c) for c in ("source", "lang")])
+    doc = cut_lineage(doc)
+    codes = encode.label_encoder(["source", "lang"]).fit(doc)
+    out = resample.smote(codes.transform(doc), ["n_chars", "len_mod", "source_idx", "lang_idx"], "label", ["doc_id"],
+                         k=5, seed=42, nominal=["source_idx", "lang_idx"]).where("synthetic")
+    for name, labels in zip(("source", "lang"), codes.labelsArray):
+        out = IndexToString(inputCol=f"{name}_idx", outputCol=name, labels=list(labels)).transform(out)
+    return out.select("doc_id", "copy", "n_chars", "len_mod", "source", "lang")
+
+
 #: M5: the reference's 2 x 3 x 3 x 2 = 36 settings of boosted trees.
 TUNING_GRID = {"maxIter": [100, 200], "maxDepth": [3, 5, 7], "stepSize": [0.05, 0.1, 0.2], "subsamplingRate": [0.8, 1.0]}
 

@@ -99,7 +99,7 @@ def test_knn_exact_against_all_pairs(spark):
     rnd = random.Random(7)
     pts = [([float(rnd.randint(0, 50)), float(rnd.randint(0, 5))],) for _ in range(300)]
     df = spark.createDataFrame(pts, "x array<double>")
-    got = {(tuple(r.x), r.nb_rank): tuple(r.nb) for r in resample.knn_distinct(df, "x", 2, 4, per_band=3).collect()}
+    got = {(tuple(r.x), r.nb_rank): tuple(r.nb) for r in resample.knn_distinct(df, "x", 2, 4, per_cell=3).collect()}
     uniq = sorted({tuple(p[0]) for p in pts})
     for q in uniq:
         others = sorted((sum((a - b) ** 2 for a, b in zip(q, o)), o) for o in uniq if o != q)
@@ -155,7 +155,7 @@ def test_knn_exact_on_skewed_data(spark):
            for _ in range(400)]
     df = spark.createDataFrame(pts, "x array<double>")
     got = {(tuple(r.x), r.nb_rank): (tuple(r.nb), r.d2)
-           for r in resample.knn_distinct(df, "x", 3, 5, per_band=4).collect()}
+           for r in resample.knn_distinct(df, "x", 3, 5, per_cell=4).collect()}
     uniq = sorted({tuple(p[0]) for p in pts})
     for q in uniq:
         others = sorted((sum((a - b) ** 2 for a, b in zip(q, o)), o) for o in uniq if o != q)
