@@ -214,8 +214,9 @@ def refit(spark: SparkSession, results: DataFrame, estimator, df: DataFrame):
 
 
 def smote_folded(df: DataFrame, fold: str, key: str, features: str = "features", label: str = "label", test: DataFrame | None = None,
-                 folds: int = 3, k: int = 5, seed: int = 42) -> DataFrame:
-    """The rows of every fit with SMOTE inside it.  The training rows of
+                 folds: int = 3, k: int = 5, seed: int = 42, nominal: int = 0) -> DataFrame:
+    """The rows of every fit with SMOTE inside it (the last ``nominal``
+    features are label codes).  The training rows of
     each fold are resampled once, whatever the number of settings; test rows
     are the original ones."""
     from callrank.operators.resample import smote_samples
@@ -227,7 +228,7 @@ def smote_folded(df: DataFrame, fold: str, key: str, features: str = "features",
     out = plain
     for f in range(folds + (test is not None)):
         own = plain.where((F.col("fit") == f) & F.col("train")).select("key", "x", "label")
-        new = smote_samples(own, "x", dims, "label", ["key"], k, seed)
+        new = smote_samples(own, "x", dims, "label", ["key"], k, seed, nominal=nominal)
         out = out.unionByName(new.select(F.lit(f).alias("fit"), F.lit(True).alias("train"), "x", "label",
                                          F.concat_ws(":", "key", F.col("copy").cast("string")).alias("key")))
     return out

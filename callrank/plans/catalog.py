@@ -1177,6 +1177,45 @@ def t2(spark, d):
     return ranking.leaderboard(evaluate.roc_auc(long, "label", "score", ["model"]), "auc", "model")
 
 
+def shape_spec():
+    from callrank.spec import FeatureSpec
+    return FeatureSpec(numeric=("n_chars", "words", "capitals", "marks"), categorical=("lang",), target="quality", positive="0",
+                       key=("doc_id",), seed=42)
+
+
+def _shape_prepared(spark, d):
+    """DOC by the shape of its texts, prepared (E11): what sets junk (quality
+    0) apart from prose, so the target holds a signal."""
+    from callrank.plans.prepare import prepare
+    text = F.coalesce("text", F.lit(""))
+    docs = fx.table(spark, d, "documents", "doc_id", "text", "lang").select(
+        "doc_id", "lang", F.length(text).alias("n_chars"), F.size(F.split(text, " ")).alias("words"),
+        F.regexp_count(text, F.lit("[A-Z]")).alias("capitals"), F.regexp_count(text, F.lit("[#$%&*|]")).alias("marks"))
+    labels = fx.table(spark, d, "labels", "doc_id", "quality").withColumn("quality", F.col("quality").cast("string"))
+    return cut_lineage(prepare(labels.join(docs, "doc_id"), shape_spec()))
+
+
+@query("t2_balanced_leaderboard")
+def t2_balanced(spark, d):
+    """Four models that learned from the balanced train split, best first."""
+    from callrank.plans.leaderboard import balanced_leaderboard
+    return balanced_leaderboard(_shape_prepared(spark, d), shape_spec(), TUNING_GRID).board
+
+
+@query("t2_balanced_rows", """
+WITH doc AS (SELECT l.doc_id, CASE WHEN l.quality = 0 THEN 1 ELSE 0 END AS label, md5('42:' || CAST(l.doc_id AS VARCHAR)) AS h
+             FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, doc_id) AS rk, count(*) OVER (PARTITION BY label) AS nc FROM doc),
+n AS (SELECT label, count(*) FILTER (rk > round(nc * 0.2::DOUBLE)) AS n_train FROM r GROUP BY label)
+SELECT label, n_train, max(n_train) OVER () - n_train AS n_synthetic FROM n""")
+def t2_rows(spark, d):
+    """What the models of ``t2_balanced_leaderboard`` learn from, by label."""
+    from callrank.plans.leaderboard import balance
+    from callrank.plans.prepare import encode_on_train
+    rows = balance(encode_on_train(_shape_prepared(spark, d), shape_spec()), shape_spec())
+    return rows.groupBy("label").agg(F.count_if(~F.col("synthetic")).alias("n_train"), F.count_if("synthetic").alias("n_synthetic"))
+
+
 @query("t3_top_features")
 def t3(spark, d):
     return ranking.top_k(m8(spark, d), "importance", 10, "feature")
