@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from callrank.functions.expressions import hash_hex_key, hash_unit
 from callrank.operators.ranking import exact_row_number
-from callrank.session import join_null_safe, scratch_path
+from callrank.session import join_null_safe, join_small, scratch_path
 
 
 def _h(key: list[str], seed: int):
@@ -92,29 +92,23 @@ def stratified_split(df: DataFrame, label: str, key: Iterable[str], test_fractio
 
 
 def hash_rank(df: DataFrame, label: str | None, key: Iterable[str], seed: int = 42,
-              name: str = "_rk", prefix_hex: int | None = None) -> DataFrame:
+              name: str = "_rk", prefix_hex: int = 4) -> DataFrame:
     """Exact 1-based rank of every row within its class by (md5(seed:key), key).
 
     md5 prefixes are uniform, so the rank is (rows of the class with a
     smaller prefix, from a small offsets table) + (rank inside the row's own
-    prefix, a window over an evenly sized group).  One hash shuffle, no range
-    sort, no checkpoint of the data.  The prefix length grows with the
-    largest class so that a prefix group stays near 10^5 rows (at most 5 hex
-    digits, i.e. at most 2^20 offsets per class)."""
-    import math
+    prefix, a window over an evenly sized group).  Rows are shuffled once, by
+    class and prefix; the offsets (at most 65,536 rows a class) are broadcast
+    once their bytes are summed.  No range sort, no checkpoint of the data."""
     key = list(key)
     part = [label] if label else []
-    x = df.withColumn("_h", _h(key, seed))
-    if prefix_hex is None:
-        biggest = x.groupBy(*part).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-        prefix_hex = min(5, max(1, math.ceil(math.log(max(biggest, 1) / 1e5, 16)) if biggest > 1e5 else 1))
-    x = x.withColumn("_hp", F.substring("_h", 1, prefix_hex))
-    cnt = x.groupBy(*part, "_hp").agg(F.count(F.lit(1)).alias("_n"))  # <= classes x 16^prefix rows
+    x = df.withColumn("_h", _h(key, seed)).withColumn("_hp", F.substring("_h", 1, prefix_hex))
+    cnt = x.groupBy(*part, "_hp").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*part).orderBy("_hp").rowsBetween(Window.unboundedPreceding, -1)
     off = cnt.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = Window.partitionBy(*part, "_hp").orderBy("_h", *key)
     ranked = x.withColumn("_in", F.row_number().over(inside))
-    out = join_null_safe(ranked, off, [*part, "_hp"])  # NULL class kept
+    out = join_small(ranked, off, [*part, "_hp"])  # NULL class kept
     return out.withColumn(name, F.col("_off") + F.col("_in")).drop("_h", "_hp", "_in", "_off")
 
 

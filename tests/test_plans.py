@@ -61,3 +61,12 @@ def test_split_compares_hashes_without_moving_rows(spark):
     p = _plan(split.stratified_split(o, "label", ["o_orderkey"]))
     assert "hashpartitioning" not in p and "Union" not in p and "Window" not in p
     assert p.count("Scan parquet") == 2 and "BroadcastHashJoin" in p
+
+
+def test_fold_ranks_shuffle_rows_once(spark):
+    """One exchange of rows, by class and prefix; the offsets are broadcast."""
+    from callrank.operators import split
+    from callrank.plans import fixtures as fx
+    o = fx.ord_frame(spark, SF_SMALL, "o_orderkey", "o_totalprice").select("o_orderkey", "o_totalprice", "label")
+    p = _plan(split.stratified_folds(o, "label", ["o_orderkey"]))
+    assert p.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in p and "rangepartitioning" not in p
