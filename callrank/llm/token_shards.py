@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from callrank.llm.common import materialise, small_batches
+from callrank.llm.common import join_checked, materialise, small_batches
 from callrank.llm.tokens import Encoder
 
 #: A shard is closed when it holds so many bytes.
@@ -163,11 +163,16 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int,
     kind = own.schema["doc_id"].dataType.simpleString()
     made = materialise(run.mapInArrow(
         write, f"doc_id {kind}, part long, copy long, turn long, file string, offset long, n long"), "token-entries")
-    # shards in order, with the position of their first id: one row a shard
-    size = made.groupBy("part", "turn", "file").agg(F.sum("n").alias("n_ids"), F.count("*").alias("n_docs"))
-    along = W.orderBy("part", "turn")
-    size = size.withColumn("shard", F.row_number().over(along) - 1).withColumn(
-        "first", F.coalesce(F.sum("n_ids").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    # shards in order, with the position of their first id: sums of each
+    # part (one row a writing task) are run up, then those inside each part
+    size = materialise(made.groupBy("part", "turn", "file").agg(F.sum("n").alias("n_ids"), F.count("*").alias("n_docs")), "shard-sizes")
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    parts = size.groupBy("part").agg(F.sum("n_ids").alias("_ids"), F.count("*").alias("_shards"))
+    parts = parts.select("part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_ids", "_shards")])
+    along = W.partitionBy("part").orderBy("turn")
+    size = size.withColumn("_turn", F.row_number().over(along) - 1).withColumn(
+        "_own", F.coalesce(F.sum("n_ids").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    size = size.join(parts, "part").withColumn("shard", F.col("_shards") + F.col("_turn")).withColumn("first", F.col("_ids") + F.col("_own"))
     width = Encoder.at(tokenizer).width
     shards = size.select("shard", "part", "turn", "file", "first", "n_ids", "n_docs", F.lit(width).alias("width"))
     shards.write.mode("overwrite").parquet(f"{uri}/shards")
@@ -179,7 +184,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int,
     carry = counts.withColumn("carry", F.coalesce(F.sum("c").over(
         W.partitionBy("doc_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     carry = carry.where("carry > 0").select(F.col("doc_id").alias("_doc"), F.col("part").alias("_part"), "carry")
-    entries = made.join(F.broadcast(shards.select("part", "turn", "shard")), ["part", "turn"])
+    entries = join_checked(made, shards.select("part", "turn", "shard"), ["part", "turn"], F.lit(48), ["offset"])
     entries = entries.join(carry, entries["doc_id"].eqNullSafe(F.col("_doc")) & (F.col("part") == F.col("_part")), "left")
     entries = entries.select("doc_id", (F.col("copy") + F.coalesce("carry", F.lit(0))).alias("copy"), "shard", "offset", "n")
     total = shards.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n")).first()["n"]
@@ -262,7 +267,7 @@ def _read(keys: DataFrame, path: str, with_ids: bool) -> DataFrame:
     spark, uri = keys.sparkSession, path.rstrip("/")
     small_batches(spark)
     shards = spark.read.parquet(f"{uri}/shards").select("shard", "file", "first", "width")
-    at = locate(keys, uri).join(F.broadcast(shards), "shard")
+    at = join_checked(locate(keys, uri), shards, ["shard"], F.lit(64) + F.octet_length("file"), ["offset"])
     kind = keys.schema["doc_id"].dataType.simpleString()
     # whole ranges of a shard go to one task, as one file is read from there
     at = at.select("doc_id", "copy", "file", "offset", "n", "first", "width", F.floor(F.col("offset") / (1 << 22)).alias("block"))
