@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callrank.llm.common import materialise, small_batches
+from callrank.session import default_parallelism
 
 K, WINDOW = 16, 64
 
-#: Most buckets of the document order; their first keys are held by the driver.
-MAX_BUCKETS = 100_000
+#: Buckets of the document order for each shuffle partition; their first keys
+#: are held by the driver, so their number never follows the documents.
+BUCKETS = 8
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so powers never vanish
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -129,8 +131,9 @@ def edited_fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW, doc_i
     * ``near_*`` is the Jaccard likeness of the sets of kept hashes.
     * Extra columns are not read; an empty table gives an empty result.
 
-    The order is cut into buckets of about ``bucket_rows`` documents at exact
-    quantile rows; a bucket is one Spark group of rows, sorted, read as a
+    The order is cut at sampled quantiles into ``BUCKETS`` buckets for each
+    shuffle partition (fewer, if they would hold less than ``bucket_rows``
+    documents); a bucket is one Spark group of rows, sorted, read as a
     stream, and gets a copy of the next bucket's first document.  So texts
     are shuffled once, and no task holds more than two of them.
     """
@@ -141,7 +144,7 @@ def edited_fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW, doc_i
     own = own.select("doc_id", "text", F.coalesce(F.bitwise_not("doc_id"), F.lit(2 ** 63 - 1).cast("long")).alias("d"),
                      F.xxhash64("text").alias("h"))
     keys = materialise(own.select(F.struct("d", "h").alias("o")), "order")
-    parts = max(1, min(MAX_BUCKETS, -(-keys.count() // bucket_rows)))
+    parts = max(1, min(BUCKETS * default_parallelism(spark), -(-keys.count() // bucket_rows)))
     firsts = keys.repartitionByRange(parts, "o").groupBy(F.spark_partition_id().alias("p")).agg(F.min("o").alias("o"))
     cuts = sorted((r["o"]["d"], r["o"]["h"]) for r in firsts.select("o").collect())
     buckets = {c: i for i, c in enumerate(cuts)}
