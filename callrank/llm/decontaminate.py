@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from callrank.llm.common import ascii_lower, boxed, join_checked, materialise, unboxed
+from callrank.llm.common import ascii_lower, boxed, fits_broadcast, join_checked, likely_members, materialise, unboxed
 
 #: What separates words: all ASCII characters but digits and lower-case letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -85,14 +85,31 @@ def _occurrences(docs, items, window, shingle, doc_id, text, item_id, item_text)
     rare = rare.where("absent = 0").select("wid", "win", "n", F.col("r.tok").alias("tok"), F.col("r.off").alias("off"))
     rare = materialise(rare, "prefix")
     width = F.aggregate("win", F.lit(0), lambda a, x: a + F.octet_length(x) + 16)
-    cand = join_checked(_corpus_shingles(own, sizes), rare, ["tok"], width + F.lit(100), ["text_hash", "_at"])
     start = F.col("_at") - F.col("off")
-    cand = cand.where((start >= 0) & (start + F.col("n") <= F.size("w")))
-    cand = cand.where(F.slice("w", start + 1, F.col("n")) == F.col("win"))
-    hits = cand.select("doc_id", "text_hash", start.alias("at"), "n", "wid").distinct()
+    if fits_broadcast(rare, width + F.lit(100)):  # a text meets all prefixes where it is read
+        cand = _corpus_shingles(own, sizes).join(F.broadcast(rare), "tok")
+        cand = cand.where((start >= 0) & (start + F.col("n") <= F.size("w"))).withColumn("at", start)
+    else:
+        cand = _shuffled_candidates(own, rare, sizes, start)
+    cand = cand.where(F.slice("w", F.col("at") + 1, F.col("n")) == F.col("win"))
+    hits = cand.select("doc_id", "text_hash", "at", "n", "wid").distinct()
     return hits, members
 
 
+def _shuffled_candidates(own: DataFrame, rare: DataFrame, sizes: list[int], start: Column) -> DataFrame:
+    """Candidates where the prefixes are too many for a broadcast: word
+    positions meet them by a salted shuffle without their text, and the words
+    of a document with candidates join them afterwards, once a document."""
+    at = _corpus_shingles(own, sizes).select("tok", "doc_id", "text_hash", "_at", F.size("w").alias("n_words"))
+    cand = join_checked(at, rare.drop("win"), ["tok"], F.lit(200), ["text_hash", "_at"])
+    cand = cand.where((start >= 0) & (start + F.col("n") <= F.col("n_words")))
+    cand = materialise(cand.select("doc_id", "text_hash", start.alias("at"), "n", "wid").distinct(), "candidates")
+    words = likely_members(own, cand.select("text_hash").distinct(), "text_hash").dropDuplicates(["doc_id", "text_hash"])
+    words = words.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "w")
+    cand = cand.join(words, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")))
+    return cand.join(rare.select("wid", "win"), "wid")
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3, doc_id: str = "doc_id",
                   text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document: doc_id, text_hash, n_words, n_hit (words

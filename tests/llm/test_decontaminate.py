@@ -73,6 +73,17 @@ def test_shuffled_way_gives_the_same(spark, monkeypatch):
     assert sorted((r["doc_id"], r["n_hit"], tuple(r["item_ids"])) for r in decontaminate(docs, items).collect()) == want
 
 
+def test_shuffled_way_with_repeats_and_null_ids(spark, monkeypatch):
+    from callrank import session
+    d = [(1, "x a b c d y a b c d"), (1, "x a b c d y a b c d"), (None, "a b c d"), (None, "a b c d"), (2, None), (2, "a b c")]
+    docs = spark.createDataFrame(d * 3, "doc_id long, text string")
+    items = spark.createDataFrame([(7, "a b c d"), (8, "c d e")], "item_id long, text string")
+    monkeypatch.setattr(session, "BROADCAST_BYTES", -1)
+    got = decontaminate(docs, items, window=4).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"]) for r in got) == sorted(
+        [(1, 10, 8)] * 6 + [(0, 4, 4)] * 6 + [(2, 0, 0)] * 3 + [(2, 3, 0)] * 3)
+
+
 def test_stage_drops_only_contaminated(spark, odd_docs):
     items = spark.createDataFrame([(1, "quick brown fox"), (2, "no such words anywhere here")], "item_id long, text string")
     before, after = odd_docs.collect(), drop_contaminated(odd_docs, items)
