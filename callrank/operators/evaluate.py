@@ -156,6 +156,16 @@ def binary_metrics(df: DataFrame, label: str = "label", prediction: str = "predi
     return c.select("tp", "fp", "fn", "tn", *_rates(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")))
 
 
+def model_evaluation(df: DataFrame, name: str, label: str = "label", prediction: str = "prediction",
+                     score: str | None = None) -> DataFrame:
+    """H3: the evaluation of one model as a row: model, accuracy, precision,
+    recall, f1 (of class 1) and roc_auc, NULL for a model without scores or
+    rows of one class only.  Rows of several models can be put in one table."""
+    auc = roc_auc(df, label, score).select("auc").scalar() if score else F.lit(None).cast("double")
+    one = binary_metrics(df, label, prediction).select("accuracy", "precision", "recall", "f1")
+    return one.select(F.lit(name).alias("model"), "*", auc.alias("roc_auc"))
+
+
 def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction",
                      classes: tuple = (0, 1)) -> DataFrame:
     """H5: (actual, predicted, n) for every cell of the class grid, zero cells

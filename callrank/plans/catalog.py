@@ -97,6 +97,14 @@ def s5(spark, d):
                                    lambda: fx.table(spark, d, "region")])
 
 
+@query("s5_source_report", """
+SELECT 'customer' AS source, count(*) AS n_rows, 5 AS n_columns FROM customer""")
+def s5_report(spark, d):
+    chosen = readers.first_readable([lambda: spark.read.parquet(f"{d}/no_such_table.parquet"),
+                                     lambda: fx.table(spark, d, "customer")])
+    return readers.source_report(chosen, "customer")
+
+
 @query("s6_delimited_sink", "SELECT * FROM supplier")
 def s6(spark, d):
     path = scratch_path(spark, "supplier_csv")
@@ -626,6 +634,26 @@ def h3(spark, d):
     return evaluate.binary_metrics(fx.sco_frame(spark, d))
 
 
+@query("h3_model_evaluation", "WITH " + SCO_SQL + """,
+m AS (SELECT count_if(label = 1 AND prediction = 1) AS tp, count_if(label <> 1 AND prediction = 1) AS fp,
+             count_if(label = 1 AND prediction <> 1) AS fn, count_if(label <> 1 AND prediction <> 1) AS tn FROM sco),
+s AS (SELECT score_a, count_if(label = 1) AS p, count_if(label <> 1) AS n FROM sco GROUP BY score_a),
+b AS (SELECT p, n, sum(n) OVER (ORDER BY score_a) - n AS below FROM s),
+a AS (SELECT CASE WHEN sum(p) > 0 AND sum(n) > 0 THEN CAST(sum(p * (2 * below + n)) AS DOUBLE)
+             / (2.0::DOUBLE * CAST(sum(p) AS DOUBLE) * CAST(sum(n) AS DOUBLE)) END AS auc FROM b)
+SELECT model, CAST(tp + tn AS DOUBLE) / CAST(tp + fp + fn + tn AS DOUBLE) AS accuracy,
+       coalesce(CAST(tp AS DOUBLE) / NULLIF(CAST(tp + fp AS DOUBLE), 0), 0.0) AS precision,
+       coalesce(CAST(tp AS DOUBLE) / NULLIF(CAST(tp + fn AS DOUBLE), 0), 0.0) AS recall,
+       coalesce(CAST(2 * tp AS DOUBLE) / NULLIF(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0.0) AS f1,
+       round(CASE WHEN model = 'with scores' THEN auc END, 12) AS roc_auc
+FROM m, a, (VALUES ('with scores'), ('decisions only')) AS t(model)""")
+def h3_model(spark, d):
+    s = fx.sco_frame(spark, d)
+    both = evaluate.model_evaluation(s, "with scores", score="score_a").unionByName(
+        evaluate.model_evaluation(s, "decisions only"))
+    return both.withColumn("roc_auc", _round("roc_auc", 12))
+
+
 @query("h4_classification_report", "WITH " + SCO_SQL + """,
 m AS (SELECT CAST(count_if(label = 1 AND prediction = 1) AS DOUBLE) AS tp,
              CAST(count_if(label <> 1 AND prediction = 1) AS DOUBLE) AS fp,

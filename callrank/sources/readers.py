@@ -78,6 +78,12 @@ def first_readable(candidates: Iterable[Callable[[], DataFrame]]) -> DataFrame:
     raise NoSourceError("no source could be read: " + " | ".join(errors))
 
 
+def source_report(df: DataFrame, source: str) -> DataFrame:
+    """What the chosen source holds, as one row: source, n_rows, n_columns."""
+    return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        F.lit(source).alias("source"), "n_rows", F.lit(len(df.columns)).alias("n_columns"))
+
+
 def literal_frame(spark: SparkSession, rows: list, schema: T.StructType | str) -> DataFrame:
     """A frame from given values (lookup tables, one-row requests)."""
     return spark.createDataFrame(rows, schema)

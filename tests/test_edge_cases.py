@@ -187,3 +187,21 @@ def test_domain_violations_beyond_a_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, score.domain_violations(df, ["id"], doms, ranges).collect())) == sorted(want)
     assert score.domain_violations(df, ["id"], doms.limit(0)).count() == 0
     assert score.domain_violations(df.select("id"), ["id"], doms, ranges).count() == 0
+
+
+def test_model_evaluation_row(spark):
+    """No scores, one class or no rows: the AUC is NULL, the rest is defined."""
+    from callrank.operators import evaluate
+    df = spark.createDataFrame([(1, 1, 0.9), (0, 1, 0.4), (1, 0, 0.6), (0, 0, 0.1)], "label int, prediction int, s double")
+    r = evaluate.model_evaluation(df, "m", score="s").first()
+    assert (r["model"], r["accuracy"], r["precision"], r["recall"], r["f1"], r["roc_auc"]) == ("m", 0.5, 0.5, 0.5, 0.5, 1.0)
+    assert evaluate.model_evaluation(df, "m").first()["roc_auc"] is None
+    assert evaluate.model_evaluation(df.where("label = 1"), "m", score="s").first()["roc_auc"] is None
+    empty = evaluate.model_evaluation(df.where("false"), "m", score="s").collect()
+    assert len(empty) == 1 and empty[0]["accuracy"] is None and empty[0]["f1"] == 0.0
+
+
+def test_source_report(spark):
+    from callrank.sources import readers
+    r = readers.source_report(spark.createDataFrame([], "a int, b int"), "none").collect()
+    assert [tuple(x) for x in r] == [("none", 0, 2)]
