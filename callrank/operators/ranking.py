@@ -139,15 +139,9 @@ def equal_count_bins(df: DataFrame, score: str, key: Iterable[str], bins: int =
             mixed[b] = start
         start = hi
     direct = x.where(~F.col("_b").isin(list(mixed))) if mixed else x
-    if len(pure) <= 256:  # a small literal map stays inside codegen
-        pairs = []
-        for b, v in pure.items():
-            pairs += [F.lit(b), F.lit(v)]
-        out = direct.withColumn(name, F.create_map(*pairs)[F.col("_b")].cast("int") if pairs
-                                else F.lit(None).cast("int"))
-    else:  # one row per bucket: bounded by B, broadcast
-        table = df.sparkSession.createDataFrame([(int(b), int(v)) for b, v in pure.items()], f"_b int, {name} int")
-        out = direct.join(F.broadcast(table), "_b")
+    # bucket ids are dense: a constant array, looked up by position
+    bins_of = F.array(*[F.lit(pure.get(b)).cast("int") for b in range(len(cuts) + 3)])
+    out = direct.withColumn(name, F.get(bins_of, F.col("_b")))
     if mixed:
         offs = []
         for b, v in mixed.items():
