@@ -10,13 +10,17 @@ import json
 import os
 from collections.abc import Mapping
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callrank.operators.forest import CellForest, CountedBoosting
+from callrank.session import default_parallelism, written_small
+
 
 def _mb(text: str) -> int:
     t = text.strip().lower()
@@ -55,16 +59,18 @@ def decision_tree(features: str = "features", label: str = "label", max_depth: i
 def random_forest(features: str = "features", label: str = "label", trees: int = 100, max_depth: int = 10,
                   seed: int = 42, min_leaf: int = 1, weight: str | None = None,
                   max_bins: int = 64, memory_mb: int | None = None) -> RandomForestClassifier:
-    """M2: forest of 100 trees of depth 10, sqrt(features) per split.
+    """M2: forest of 100 trees of depth 10, sqrt(features) per split, grown on
+    counted cells (``forest.CellForest``).
 
-    ``memory_mb`` bounds the split statistics one task aggregates per pass
+    Data that do not collapse are fitted by MLlib on rows: ``memory_mb``
+    bounds the split statistics one task aggregates per pass
     (several tasks share an executor heap).  Deep forests cache node ids
     on the executors (instead of shipping the growing trees every pass),
     with the cache checkpointed every 10 passes to the shared folder."""
-    m = RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=trees, maxDepth=max_depth,
-                               featureSubsetStrategy="sqrt", seed=seed, minInstancesPerNode=min_leaf,
-                               maxBins=max_bins, maxMemoryInMB=memory_mb or tree_memory_mb(),
-                               cacheNodeIds=max_depth > 8, checkpointInterval=10)
+    m = CellForest(featuresCol=features, labelCol=label, numTrees=trees, maxDepth=max_depth,
+                   featureSubsetStrategy="sqrt", seed=seed, minInstancesPerNode=min_leaf,
+                   maxBins=max_bins, maxMemoryInMB=memory_mb or tree_memory_mb(),
+                   cacheNodeIds=max_depth > 8, checkpointInterval=10)
     return m.setWeightCol(weight) if weight else m
 
 
@@ -77,9 +83,10 @@ def balanced_forest(features: str = "features", label: str = "label", weight: st
 
 def boosted_trees(features: str = "features", label: str = "label", rounds: int = 100, max_depth: int = 5,
                   step: float = 0.1, seed: int = 42, subsample: float = 1.0) -> GBTClassifier:
-    """M4: gradient-boosted trees (first-order boosting, logistic loss)."""
-    return GBTClassifier(featuresCol=features, labelCol=label, maxIter=rounds, maxDepth=max_depth,
-                         stepSize=step, seed=seed, subsamplingRate=subsample, checkpointInterval=10)
+    """M4: gradient-boosted trees (first-order boosting, logistic loss), fitted
+    on distinct rows weighted by their counts where no row is drawn."""
+    return CountedBoosting(featuresCol=features, labelCol=label, maxIter=rounds, maxDepth=max_depth,
+                           stepSize=step, seed=seed, subsamplingRate=subsample, checkpointInterval=10)
 
 
 def auc_evaluator(label: str = "label", raw: str = "rawPrediction") -> BinaryClassificationEvaluator:
@@ -129,9 +136,26 @@ def feature_importances(spark: SparkSession, model, names: list[str]) -> DataFra
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
+def with_scores(model, df: DataFrame, probability: str = "probability") -> DataFrame:
+    """``df`` and ``_p``, P(class 1), and ``_class``, the prediction, of every
+    row.  Walking an ensemble's trees costs far more than a join, so it scores
+    each distinct feature vector once, if these fit a broadcast; else, and
+    for single trees and streams, every row."""
+    stages = model.stages if isinstance(model, PipelineModel) else [model]
+    *first, last = stages
+    own = [vector_to_array(F.col(probability))[1].alias("_p"), F.col("prediction").alias("_class")]
+    if not df.isStreaming and hasattr(last, "getNumTrees"):
+        features = last.getFeaturesCol()
+        rows = PipelineModel(first).transform(df).select(*[f"`{c}`" for c in df.columns], vector_to_array(F.col(features)).alias("_x"))
+        seen, fits = written_small(rows.select("_x").distinct())
+        if fits:
+            spread = seen.repartition(default_parallelism(df.sparkSession)).select("_x", array_to_vector("_x").alias(features))
+            scores, _ = written_small(last.transform(spread).select("_x", *own))
+            return rows.join(F.broadcast(scores), "_x", "left").drop("_x")
+    return model.transform(df).select(*[f"`{c}`" for c in df.columns], *own)
+
+
 def predict(model, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """M9: P(class 1) and the 0/1 prediction for every row."""
-    out = model.transform(df)
     cols = keep if keep is not None else [c for c in df.columns]
-    return out.select(*cols, vector_to_array(F.col("probability"))[1].alias("p_yes"),
-                      F.col("prediction").cast("int").alias("prediction"))
+    return with_scores(model, df).select(*cols, F.col("_p").alias("p_yes"), F.col("_class").cast("int").alias("prediction"))

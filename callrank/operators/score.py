@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callrank.functions.expressions import decision, lift
+from callrank.operators.models import with_scores
 from callrank.session import BROADCAST_BYTES, join_small, row_bytes, scratch_path
 
 
@@ -20,9 +20,8 @@ def batch_score(model: PipelineModel, df: DataFrame, base_rate, threshold: float
     ``base_rate`` is a float or a Column (e.g. a scalar subquery); a one-row
     request is the same call on a one-row frame."""
     base = F.lit(float(base_rate)) if isinstance(base_rate, (int, float)) else base_rate
-    out = model.transform(df)
-    p = vector_to_array(F.col(probability))[1]
-    return out.select(*keep, p.alias("p_yes"), lift(p, base).alias("lift"),
+    p = F.col("_p")
+    return with_scores(model, df, probability).select(*keep, p.alias("p_yes"), lift(p, base).alias("lift"),
                       decision(p, threshold).alias("decision"))
 
 

@@ -18,7 +18,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,8 +82,7 @@ def train(spark: SparkSession, df: DataFrame, spec: FeatureSpec, classifier=None
     clf = classifier or models.balanced_forest(label=spec.label)
     model = fitted or encode.build_pipeline(spec.numeric, spec.categorical, clf).fit(train_df)
     keep = [c for c in spec.key if c in test_df.columns] + [spec.label]
-    scored = (model.transform(test_df)
-                   .select(*keep, vector_to_array(F.col("probability"))[1].alias("p_yes"))
+    scored = (models.with_scores(model, test_df).select(*keep, F.col("_p").alias("p_yes"))
                    .withColumn("prediction", (F.col("p_yes") >= threshold).cast("int")))
     scored = _once(scored, "scored")  # the forest is applied once
     st = _once(evaluate.score_table(scored, spec.label, "p_yes"), "scores")
