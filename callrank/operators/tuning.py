@@ -6,9 +6,10 @@ fits that differ only in their number of rounds are one fit, read at several
 stages.  The table is binned once with Spark (approximate quantiles, at most
 ``BINS`` a feature, as many as MLlib's trees take) and collapsed to distinct
 (bins, label) cells with counts, which loses nothing that the trees could
-see.  The rows of a fit are bounded by ``rows``: beyond that a fixed hash
-sample of the labelled rows is taken, so what a task holds never grows with
-the data.  The winner is refitted on all rows by MLlib (``refit``).
+see.  Rows that come counted (``counted_folds``) are all used as long as their
+cells fit ``ROWS``; beyond that, and for other rows beyond ``ROWS``, a fixed
+hash sample is taken, so what a task holds never grows with the data.  The
+winner is refitted on all rows by MLlib (``refit``).
 
 Boosting is first-order with logistic loss, the same as MLlib's: the first
 tree fits the labels -1 and 1, every further one the residuals, least squares
@@ -35,7 +36,7 @@ from callrank.session import scratch_path
 #: Bins of a feature.
 BINS = 32
 
-#: Rows of one fit; more labelled rows are sampled by hash.
+#: Cells of one fit, or rows if they are not counted; more are sampled by hash.
 ROWS = 60_000
 
 
@@ -127,27 +128,67 @@ def _bins(x: Column, cuts: list[float]) -> Column:
     return reduce(add, [(x > F.lit(c)).cast("int") for c in cuts], F.lit(0)).cast("tinyint")
 
 
-def fit_cells(rows: DataFrame, features: str = "x", rows_per_fit: int = ROWS) -> DataFrame:
-    """(fit, train, codes, positive, negative), written: the ``rows`` (fit,
-    train, ``features`` array, label 0/1, key) binned and counted."""
-    path = scratch_path(rows.sparkSession, "fit-rows")
-    rows.select("fit", "train", features, "label", "key").write.parquet(path)
-    rows = rows.sparkSession.read.parquet(path)
-    most = rows.groupBy("fit", "train").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if most > rows_per_fit:
-        rows = rows.where(hash_unit(17, "key") < rows_per_fit / most)
+def _cells(rows: DataFrame, features: str, times: Column, learned_times: Column | None) -> DataFrame:
+    """(fit, train, codes, positive, negative), written: ``rows`` binned and
+    counted, a row ``times`` times (``learned_times``: how often it is repeated
+    where bins are learned)."""
     dims = rows.agg(F.max(F.size(features))).first()[0] or 0
-    flat = rows.select("fit", "train", "label", *[F.col(features)[i].alias(f"x{i}") for i in range(dims)])
+    flat = rows.select("fit", "train", "label", times.alias("n"), *[F.col(features)[i].alias(f"x{i}") for i in range(dims)])
     learned = flat.where("train")
+    if learned_times is not None:
+        learned = learned.select("*", F.explode(F.sequence(F.lit(1).cast("long"), learned_times)))
     cuts = learned.approxQuantile([f"x{i}" for i in range(dims)], [i / BINS for i in range(BINS)], 1e-3) if dims else []
     code = F.array(*[_bins(F.col(f"x{i}"), sorted(set(c))[:BINS - 1]) for i, c in enumerate(cuts)])
-    cells = flat.select("fit", "train", code.alias("codes"), "label").groupBy("fit", "train", "codes").agg(
-        F.count_if(F.col("label") == 1).alias("positive"), F.count_if(F.col("label") != 1).alias("negative"))
+    cells = flat.select("fit", "train", code.alias("codes"), "label", "n").groupBy("fit", "train", "codes").agg(
+        F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("positive"),
+        F.sum(F.when(F.col("label") == 1, 0).otherwise(F.col("n"))).alias("negative"))
     path = scratch_path(rows.sparkSession, "fit-cells")
     cells.write.parquet(path)
     return rows.sparkSession.read.parquet(path)
 
 
+def _most(rows: DataFrame, n: Column) -> int:
+    return rows.groupBy("fit", "train").agg(n.alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def fit_cells(rows: DataFrame, features: str = "x", rows_per_fit: int = ROWS) -> DataFrame:
+    """(fit, train, codes, positive, negative), written: the ``rows`` (fit,
+    train, ``features`` array, label 0/1, and key or n) binned and counted."""
+    if "n" in rows.columns:
+        cells = _cells(rows, features, F.col("n"), F.col("n"))
+        if _most(cells, F.count("*")) <= rows_per_fit:
+            return cells
+        # each of a row's n copies stays with one probability; only the fraction is drawn
+        share = rows_per_fit / _most(rows, F.sum("n"))
+        drawn = F.floor(F.col("n") * share + hash_unit(17, F.to_json(features), "label")).cast("long")
+        rows = rows.withColumn("n", drawn).where("n > 0")
+        return _cells(rows, features, F.col("n"), F.col("n"))
+    path = scratch_path(rows.sparkSession, "fit-rows")
+    rows.select("fit", "train", features, "label", "key").write.parquet(path)
+    rows = rows.sparkSession.read.parquet(path)
+    most = _most(rows, F.count("*"))
+    if most > rows_per_fit:
+        rows = rows.where(hash_unit(17, "key") < rows_per_fit / most)
+    return _cells(rows, features, F.lit(1).cast("long"), None)
+
+
+def counted_folds(df: DataFrame, fold: str, features: str = "features", label: str = "label", test: DataFrame | None = None,
+                  folds: int = 3) -> DataFrame:
+    """The fits of ``folded`` with equal rows counted (n) before they are dealt
+    to the fits: one pass over ``df``, whatever the number of folds."""
+    def slim(d, fold):
+        x = d.select(fold.alias("fold"), vector_to_array(F.col(features)).alias("x"), F.col(label).cast("int").alias("label"))
+        return x.groupBy("fold", "x", "label").agg(F.count("*").alias("n"))
+    own = slim(df, F.col(fold)) if test is None else slim(df, F.col(fold)).unionByName(slim(test, F.lit(None).cast("int")))
+    path = scratch_path(df.sparkSession, "counted-folds")
+    own.write.parquet(path)
+    own = df.sparkSession.read.schema(own.schema).parquet(path)
+    # null folds are the test rows, of the last fit alone
+    fits = F.when(F.col("fold").isNull(), F.array(F.lit(folds))).otherwise(F.sequence(F.lit(0), F.lit(folds if test is not None else folds - 1)))
+    return own.withColumn("fit", F.explode(fits)).select(
+        "fit", F.coalesce(F.col("fit") != F.col("fold"), F.lit(False)).alias("train"), "x", "label", "n")
+
+
 def folded(df: DataFrame, fold: str, key: Iterable[str], features: str = "features", label: str = "label",
            test: DataFrame | None = None, folds: int = 3) -> DataFrame:
     """The rows of every fit of a cross validation: fit f trains on the folds

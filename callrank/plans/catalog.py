@@ -1157,10 +1157,10 @@ def _m5_cv(spark, d):
     def make():
         spec = lin_spec()
         prep = _lin_prepared(spark, d)
-        tr = split.stratified_folds(prep.where("split = 'train'"), "label", list(fx.LIN_KEY), 3, 42)
+        tr = prep.where("split = 'train'")
         model = Pipeline(stages=encode.preprocessor(spec.numeric, spec.categorical)).fit(tr)
-        test = model.transform(prep.where("split = 'test'"))
-        return cut_lineage(tuning.search(tuning.folded(model.transform(tr), "fold", fx.LIN_KEY, test=test), TUNING_GRID))
+        tr, test = split.stratified_folds(tr, "label", list(fx.LIN_KEY), 3, 42), model.transform(prep.where("split = 'test'"))
+        return cut_lineage(tuning.search(tuning.counted_folds(model.transform(tr), "fold", test=test), TUNING_GRID))
     return _cached(spark, d, "m5", make)
 
 

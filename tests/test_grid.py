@@ -116,3 +116,23 @@ def test_smote_resamples_once_for_all_settings(spark, monkeypatch):
     fitted = dict(est.fitMultiple(d, maps))
     assert len(calls) == 1 and sorted(fitted) == [0, 1, 2]
     assert [max(t.depth for t in fitted[i].trees) <= i + 1 for i in range(3)] == [True] * 3
+
+
+def test_counted_rows_are_all_used(spark):
+    """Beyond ``rows_per_fit`` rows, equal rows are counted, not sampled; both ways give the same cells below it."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    from callrank.operators import tuning
+    df = spark.range(0, 3000).select("id", (F.col("id") % 3).cast("int").alias("fold"), (F.col("id") % 7 % 2).cast("int").alias("label"),
+                                     array_to_vector(F.array((F.col("id") % 10).cast("double"), (F.col("id") % 4).cast("double"))).alias("features"))
+    test = df.where("id < 500")
+    counted = tuning.counted_folds(df, "fold", test=test)
+
+    def rows(cells):
+        return sorted((r.fit, r.train, *r.codes, r.positive, r.negative) for r in cells.collect())
+    got = rows(tuning.fit_cells(counted, rows_per_fit=100))
+    assert got == rows(tuning.fit_cells(tuning.folded(df, "fold", ["id"], test=test)))
+    assert sum(r[-1] + r[-2] for r in got) == 3 * 3000 + 3000 + 500
+    few = rows(tuning.fit_cells(counted, rows_per_fit=15))
+    assert 0 < sum(r[-1] + r[-2] for r in few if r[0] == 3 and r[1]) < 60
