@@ -232,9 +232,13 @@ class CellForest(RandomForestClassifier):
         if get(self.impurity) != "gini" or self.isSet("thresholds"):
             return super()._fit(dataset)
         counted = counted_rows(dataset, get(self.featuresCol), get(self.labelCol), weight)
-        facts = counted.agg(F.max(F.size("x")), F.max("label"), F.count_if((F.col("label") < 0) | (F.col("label") != F.floor("label")) |
-                                                                          F.col("label").isNull() | F.col("weight").isNull()), F.sum("n")).first()
-        dims, top, bad, n = facts
+        def finite(v: Column) -> Column:
+            return v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+
+        label_ok = finite(F.col("label")) & (F.col("label") >= 0) & (F.col("label") == F.floor("label"))
+        ok = F.forall("x", finite) & label_ok & finite(F.col("weight")) & (F.col("weight") >= 0)
+        facts = counted.agg(F.max(F.size("x")), F.max("label"), F.count_if(~F.coalesce(ok, F.lit(False))), F.sum("n"))
+        dims, top, bad, n = facts.first()
         if not n or bad or not dims or top >= 100:  # MLlib raises its own errors
             return super()._fit(dataset)
         bins = int(min(get(self.maxBins), n))

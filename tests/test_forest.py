@@ -69,11 +69,16 @@ def test_first_split_by_hand():
     assert t["stats"].tolist() == [[10, 10], [10, 0], [0, 10]] and t["raw"].tolist() == [20, 10, 10]
 
 
-def test_missing_values_and_many_values(spark):
-    df = _rows(spark).withColumn("z", F.when(F.col("id") % 5 > 0, F.col("id") / 7.0))
-    df = VectorAssembler(inputCols=["a", "z"], outputCol="features", handleInvalid="keep").transform(df.drop("features"))
-    p = _p(models.random_forest(trees=5, max_depth=6).fit(df), df)
+def test_many_values_and_missing_ones(spark):
+    """More values than bins are cut at quantiles; a missing one is refused, as by MLlib."""
+    df = _rows(spark).withColumn("z", F.col("id") / 7.0)
+    at = VectorAssembler(inputCols=["a", "z"], outputCol="features", handleInvalid="keep")
+    ours = models.random_forest(trees=5, max_depth=6)
+    p = _p(ours.fit(at.transform(df.drop("features"))), at.transform(df.drop("features")))
     assert len(p) == 6000 and ((p >= 0) & (p <= 1)).all()
+    odd = at.transform(df.drop("features").withColumn("z", F.when(F.col("id") != 5, F.col("z"))))
+    with pytest.raises(Exception, match="NaN"):
+        ours.fit(odd)
 
 
 def test_too_many_cells_are_fitted_by_mllib_on_all_rows(spark, monkeypatch):
