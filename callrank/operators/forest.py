@@ -12,6 +12,9 @@ grows its tree alone; nodes are written by the tasks in the layout of a saved
 MLlib forest and read back as one.  Data that do not collapse to so many codes
 are fitted by MLlib on all rows.
 
+A forest scores by flat arrays of its written nodes, walked level by level for
+a batch of vectors at once (``FlatForest``): the votes are MLlib's, in its order.
+
 Boosted trees without subsampling use no draws and bound no leaf: MLlib fits
 them on the collapsed rows, weighted by their counts.
 """
@@ -24,6 +27,7 @@ from functools import reduce
 from operator import add
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -31,7 +35,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callrank.session import scratch_path
+from callrank.session import default_parallelism, scratch_path
 
 #: Codes (cells x features) of a forest that go to each task.
 CELLS = 1 << 23
@@ -269,7 +273,9 @@ class CellForest(RandomForestClassifier):
                     yield node_rows(t, pruned(tree), own_cuts)
 
         path = scratch_path(spark, "forest")
-        spark.range(0, trees, 1, numPartitions=trees).mapInArrow(run, NODE_SCHEMA).write.parquet(f"{path}/data")
+        # a task takes its trees one by one; several, so that the cells are not unpacked for each
+        tasks = min(trees, 4 * default_parallelism(spark))
+        spark.range(0, trees, 1, numPartitions=tasks).mapInArrow(run, NODE_SCHEMA).write.parquet(f"{path}/data")
         shared.destroy()
         return self._read_back(spark, path, dims, classes)
 
@@ -288,7 +294,84 @@ class CellForest(RandomForestClassifier):
         spark.createDataFrame([(json.dumps(head),)], "value string").coalesce(1).write.text(f"{path}/metadata")
         one = spark.read.parquet(f"{path}-layout/treesMetadata").where("_1 = 0")
         one.crossJoin(spark.range(0, trees, 1, 1)).select(F.col("id").cast("int").alias("_1"), "_2", "_3").write.parquet(f"{path}/treesMetadata")
-        return RandomForestClassificationModel.load(path)
+        model = RandomForestClassificationModel.load(path)
+        model.flat = flat_nodes(spark, path)
+        return model
+
+
+def flat_nodes(spark: SparkSession, path: str) -> tuple[np.ndarray, ...] | None:
+    """(feature, threshold, left, right, shares, roots) of the nodes of the
+    forest saved at ``path``; a leaf leads to itself, ``shares`` are its votes
+    by class.  None if a split is by categories.  No larger than the model."""
+    nodes = spark.read.schema(NODE_SCHEMA).parquet(f"{path}/data")
+    split, n = F.col("nodeData.split"), F.col("nodeData")
+    rows = nodes.select("treeID", n["id"].alias("id"), n["leftChild"].alias("left"), n["rightChild"].alias("right"), n["impurityStats"].alias("stats"),
+                        split["featureIndex"].alias("feature"), split["numCategories"].alias("categories"),
+                        F.get(split["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"))
+    got = rows.orderBy("treeID", "id").toArrow()
+    if not got.num_rows or (got["categories"].to_numpy() != -1).any():
+        return None
+    roots = np.flatnonzero(got["id"].to_numpy() == 0)
+    first = np.repeat(roots, np.diff(np.append(roots, got.num_rows)))
+    left, here = got["left"].to_numpy(), np.arange(got.num_rows)
+    leaf = left < 0
+    stats = got["stats"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(got.num_rows, -1)
+    total = np.zeros(len(stats))
+    for c in stats.T:  # one after the other, as MLlib adds them
+        total = total + c
+    shares = np.divide(stats, total[:, None], out=np.zeros_like(stats), where=total[:, None] != 0)
+    return (np.where(leaf, 0, got["feature"].to_numpy()).astype(np.int32), np.where(leaf, 0.0, got["threshold"].to_numpy(zero_copy_only=False)),
+            np.where(leaf, here, first + left).astype(np.int32), np.where(leaf, here, first + got["right"].to_numpy()).astype(np.int32), shares, roots)
+
+
+def votes(x: np.ndarray, feature: np.ndarray, threshold: np.ndarray, left: np.ndarray, right: np.ndarray, shares: np.ndarray,
+          roots: np.ndarray) -> np.ndarray:
+    """(rows x classes) sums of the shares of the leaves to which the trees
+    lead, tree after tree; a missing value goes right."""
+    out = np.zeros((len(x), shares.shape[1]))
+    flat, dims = np.ascontiguousarray(x).ravel(), x.shape[1]
+    for root in roots:
+        at, rows = np.full(len(x), root, np.int32), np.arange(len(x))
+        while len(rows):
+            own = at[rows]
+            after = np.where(flat[rows * dims + feature[own]] <= threshold[own], left[own], right[own])
+            at[rows] = after
+            rows = rows[left[after] != after]
+        out += shares[at]
+    return out
+
+
+class FlatForest(RandomForestClassificationModel):
+    """A fitted forest that scores by ``votes``; what it cannot walk so
+    (splits by categories, thresholds, leaf ids) is left to MLlib."""
+
+    def __init__(self, model: RandomForestClassificationModel):
+        super().__init__(model._java_obj.copy(self._empty_java_param_map()))  # its own: a wrapper that goes frees its object
+        self._resetUid(model.uid)
+        self._transfer_params_from_java()
+        self.flat = getattr(model, "flat", None)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        get, spark = self.getOrDefault, dataset.sparkSession
+        plain = get(self.leafCol) or self.isSet("thresholds")
+        if not plain and self.flat is None:
+            path = scratch_path(spark, "forest-nodes")
+            self.save(path)
+            self.flat = flat_nodes(spark, path)
+        if plain or self.flat is None:
+            return super()._transform(dataset)
+        shared = spark.sparkContext.broadcast(self.flat)
+
+        @F.pandas_udf("array<double>")
+        def walked(vectors: pd.Series) -> pd.Series:
+            return pd.Series(list(votes(np.stack(vectors.to_numpy()), *shared.value))) if len(vectors) else vectors
+
+        raw, names = F.col("_votes"), [get(c) for c in (self.rawPredictionCol, self.probabilityCol, self.predictionCol)]
+        total = F.aggregate(raw, F.lit(0.0), lambda a, b: a + b)
+        new = [array_to_vector(raw), array_to_vector(F.transform(raw, lambda v: F.when(total != 0, v / total).otherwise(v))),
+               (F.array_position(raw, F.array_max(raw)) - 1).cast("double")]
+        out = dataset.withColumn("_votes", walked(vector_to_array(F.col(get(self.featuresCol)))))
+        return out.withColumns({name: c for name, c in zip(names, new) if name}).drop("_votes")
 
 
 class CountedBoosting(GBTClassifier):

@@ -11,14 +11,14 @@ import os
 from collections.abc import Mapping
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callrank.operators.forest import CellForest, CountedBoosting
+from callrank.operators.forest import CellForest, CountedBoosting, FlatForest
 from callrank.session import default_parallelism, written_small
 
 
@@ -150,6 +150,8 @@ def with_scores(model, df: DataFrame, probability: str = "probability") -> DataF
         seen, fits = written_small(rows.select("_x").distinct())
         if fits:
             spread = seen.repartition(default_parallelism(df.sparkSession)).select("_x", array_to_vector("_x").alias(features))
+            if type(last) is RandomForestClassificationModel:
+                last = FlatForest(last)
             scores, _ = written_small(last.transform(spread).select("_x", *own))
             return rows.join(F.broadcast(scores), "_x", "left").drop("_x")
     return model.transform(df).select(*[f"`{c}`" for c in df.columns], *own)

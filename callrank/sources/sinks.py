@@ -5,8 +5,12 @@ from __future__ import annotations
 import json
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import RandomForestClassificationModel
+from pyspark.ml.pipeline import PipelineSharedReadWrite
 from pyspark.sql import DataFrame, SparkSession
 
+from callrank.operators.forest import flat_nodes
+
 
 def write_delimited(df: DataFrame, path: str, sep: str = ";", mode: str = "overwrite") -> None:
     """Delimited text with a header, one file per task (no coalesce to 1)."""
@@ -44,7 +48,12 @@ def load_model(spark: SparkSession, path: str) -> PipelineModel:
     """Load a fitted pipeline, with a clear error when it is missing.
     Other errors (unreadable files, wrong class) come through as they are."""
     require(spark, f"{path.rstrip('/')}/metadata")
-    return PipelineModel.load(path)
+    model = PipelineModel.load(path)
+    if isinstance(model, PipelineModel):
+        for i, stage in enumerate(model.stages):
+            if isinstance(stage, RandomForestClassificationModel):  # read now: the folder may be written anew
+                stage.flat = flat_nodes(spark, PipelineSharedReadWrite.getStagePath(stage.uid, i, len(model.stages), f"{path.rstrip('/')}/stages"))
+    return model
 
 
 def load_metrics(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
