@@ -156,32 +156,47 @@ def _bucket(tok: Column) -> Column:
 
 def _prefix_pairs(members: DataFrame, lines: DataFrame, q: int, similarity: float) -> DataFrame:
     """Candidate pairs (u, v) of lines in the same band and different
-    components, one of them odd.  Shingles have one fixed order, rare ones
-    first, and two lines that are similar enough share one of their first
-    n - ceil(similarity * n) + 1.  Where they first do, what follows in either
-    must still hold the overlap that is needed.
-
-    Each line's prefix is cut out where its text is read, once for all its
-    bands.  Those of odd lines are written; of the others only those that
-    meet one of them (a map of their hashes tells) reach the shuffle."""
-    bands = members.groupBy("lid").agg(F.first("root").alias("root"), F.collect_list(F.struct("band", "odd")).alias("bands"))
+    components, one of them odd.  The shingles of a band have one fixed
+    order: those of its centre last, and rare ones first in either part; two
+    lines that are similar enough share one of their first
+    n - ceil(similarity * n) + 1.  What the lines of a band have in common is
+    mostly what they share with the centre, so it meets nothing.  Where two
+    prefixes first meet, what follows in either part must still hold the
+    overlap that is needed.
+
+    Each line's shingles are ordered once, and its prefix is cut once for all
+    its bands with one centre.  Those of odd lines are written; of the others
+    only those that meet one of them (a map of their hashes tells) reach the
+    shuffle."""
+    bands = members.groupBy("lid", "centre").agg(F.first("root").alias("root"), F.first("odd").alias("odd"), F.collect_list("band").alias("bands"))
+    bands = materialise(bands, "prefix-bands")
+    shingles = F.array_distinct(shingle_hashes(F.col("line"), q))
     # dealt by line, so that its shingles come together again without a shuffle of their own
-    own = materialise(lines.join(bands, "lid"), "prefix-lines").repartition("lid")
-    tokens = own.select("lid", "root", "bands", F.explode(F.array_distinct(shingle_hashes(F.col("line"), q))).alias("tok"))
+    own = materialise(lines.join(bands.select("lid").distinct(), "lid"), "prefix-lines").repartition("lid")
+    tokens = own.select("lid", F.explode(shingles).alias("tok"))
     count = _order(tokens)
-    placed = tokens.select("lid", "root", "bands", F.struct(F.get(count, _bucket(F.col("tok"))).alias("c"), F.col("tok").alias("t")).alias("s"))
-    ranked = placed.groupBy("lid").agg(F.first("root").alias("root"), F.first("bands").alias("bands"), F.sort_array(F.collect_list("s")).alias("s"))
-    n = F.size("s")
+    placed = tokens.select("lid", F.struct(F.get(count, _bucket(F.col("tok"))).alias("c"), F.col("tok").alias("t")).alias("s"))
+    ranked = placed.groupBy("lid").agg(F.sort_array(F.collect_list("s"))["t"].alias("s"))
+    centres = lines.join(bands.select(F.col("centre").alias("lid")).distinct(), "lid")
+    centres = materialise(centres.select(F.col("lid").alias("centre"), shingles.alias("own")), "centre-shingles")
+    met = join_checked(ranked.join(bands, "lid"), centres, ["centre"], 8 * F.size("own") + 32, ["lid"])
+    n, own_part = F.size("s"), F.array_except("s", "own")
     keep = n - F.ceil(n * similarity - 1e-9).cast("int") + 1
-    cut = materialise(ranked.select("lid", "root", "bands", n.alias("n"), F.slice("s", F.lit(1), keep)["t"].alias("s")), "line-prefixes")
-    rows = cut.select("lid", "root", "n", "bands", F.posexplode("s").alias("i", "tok")).select(
-        "lid", "root", "n", (F.col("i") + 1).alias("i"), "tok", F.explode("bands").alias("b"))
-    rows = rows.select(F.xxhash64("b.band", "tok").alias("at"), "lid", "root", "n", "i", F.col("b.odd").alias("odd"))
+    met = met.select("lid", "root", "odd", "bands", n.alias("n"), keep.alias("keep"), "s", "own", own_part.alias("apart"))
+    # the centre's part is looked for only where the prefix reaches it
+    cut = F.when(F.size("apart") >= F.col("keep"), F.col("apart")).otherwise(F.concat("apart", F.array_intersect("s", "own")))
+    cut = materialise(met.select("lid", "root", "odd", "bands", "n", F.size("apart").alias("a"), F.slice(cut, F.lit(1), F.col("keep")).alias("s")), "line-prefixes")
+    rows = cut.select("lid", "root", "odd", "n", "a", "bands", F.posexplode("s").alias("i", "tok")).select(
+        "lid", "root", "odd", "n", "a", (F.col("i") + 1).alias("i"), "tok", F.explode("bands").alias("band"))
+    rows = rows.select(F.xxhash64("band", "tok").alias("at"), "lid", "root", "odd", "n", "a", "i")
     odd = materialise(rows.where("odd").drop("odd"), "odd-prefixes")
     near = likely_members(rows, odd, "at")
-    x = odd.select("at", F.col("lid").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("i").alias("ix"))
+    x = odd.select("at", F.col("lid").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("a").alias("ax"), F.col("i").alias("ix"))
     overlap = F.ceil((F.col("nx") + F.col("n")) * (similarity / (1 + similarity)) - 1e-9)
-    rest = F.least(F.col("nx") - F.col("ix"), F.col("n") - F.col("i")) + 1
+    # a shingle of the centre is one in both lines, and then nothing before it is shared
+    rest = F.when((F.col("i") <= F.col("a")) & (F.col("ix") <= F.col("ax")),
+                  F.least(F.col("ax") - F.col("ix"), F.col("a") - F.col("i")) + F.least(F.col("nx") - F.col("ax"), F.col("n") - F.col("a"))
+                  ).otherwise(F.least(F.col("nx") - F.col("ix"), F.col("n") - F.col("i"))) + 1
     met = x.join(near, "at").where("rx != root and (x < lid or not odd)").where(rest >= overlap)
     return met.select(F.least("x", "lid").alias("u"), F.greatest("x", "lid").alias("v")).distinct()
 
@@ -226,7 +241,7 @@ def similar_lines(signed: DataFrame, lines: DataFrame, q: int, similarity: float
     few = few.where("root != rx and lid != centre").select(F.least("x", "lid").alias("u"), F.greatest("x", "lid").alias("v"))
     large = odd.where(F.col("n") > SMALL_BAND).select("band").distinct()
     large = _by_band(_by_band(apart, materialise(large, "large-bands")), centre)
-    many = _prefix_pairs(large.select("band", "lid", "root", (F.col("root") != F.col("centre_root")).alias("odd")), lines, q, similarity)
+    many = _prefix_pairs(large.select("band", "lid", "root", "centre", (F.col("root") != F.col("centre_root")).alias("odd")), lines, q, similarity)
     more = materialise(_verified(few.unionByName(many).distinct(), lines, q, similarity), "more-links")
     return connected_components(links.unionByName(more))
 
