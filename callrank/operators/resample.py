@@ -4,13 +4,14 @@ Neighbours.  SMOTE interpolates between a minority row and one of its k
 nearest minority neighbours.  Neighbours are searched among *distinct*
 minority vectors (a vector repeated by a third of the rows is one point;
 interpolating between two copies of one point would only copy it).  The
-search is exact and never forms all pairs.  Space is cut into box cells by
-median splits of the widest feature, up to 256 cells a level, and cells that
-are still crowded are cut again.  Each vector first meets its own cell, which
+search is exact and, up to ``UNROLLED`` features, never forms all pairs.
+Space is cut into box cells by median splits of the widest feature, up to 256
+cells a level, and cells that are still crowded are cut again.  Each vector first meets its own cell, which
 bounds the distance of its k-th neighbour; then it walks down the boxes,
 keeps those that its own ball touches, and meets only their vectors.  So
-every query stops alone, in any number of dimensions, and what it meets
-follows how the data lie, not a fixed number of bands.
+every query stops alone, and what it meets follows how the data lie, not a
+fixed number of bands.  With more features a ball touches nearly every cell:
+there blocks of vectors, bounded in size, are compared with each other.
 
 Categories.  With trailing label codes (``nominal``) the distance is that of
 SMOTE-NC: a differing code adds the squared median of the standard deviations
@@ -186,6 +187,71 @@ def _touched(own: DataFrame, levels: list[DataFrame], vec: str, dims: int, nomin
     return walk.where(F.col("_at") != F.col("_own")).drop("_own")
 
 
+#: Bytes of the vectors of a block, and pairs that are held at once where two blocks meet.
+BLOCK_BYTES, TILE = 1 << 21, 1 << 17
+
+
+def block_nearest(x: np.ndarray, ids: np.ndarray, y: np.ndarray, others: np.ndarray, k: int, nominal: int = 0,
+                  penalty: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, other, squared distance) of the ``k`` rows of ``y`` nearest to each
+    row of ``x``, ties by their ids, the row itself left out.  Terms are added
+    in the order of ``sq_dist``, so the doubles are the same."""
+    dims, cols, found = x.shape[1], np.ascontiguousarray(y.T), []
+    step, last = max(1, TILE // max(len(y), 1)), min(k, len(y) - 1)  # one more than k: the row itself may be among them
+    for a in range(0, len(x) if len(y) else 0, step):
+        own, mine = x[a:a + step], ids[a:a + step]
+        d, term = np.zeros((len(own), len(y))), np.empty((len(own), len(y)))
+        with np.errstate(over="ignore", invalid="ignore"):
+            for j in range(dims):
+                if j < dims - nominal:
+                    np.subtract(own[:, j, None], cols[j], out=term)
+                    np.multiply(term, term, out=term)
+                else:
+                    term = np.where(own[:, j, None] != cols[j], penalty, 0.0)
+                np.add(d, term, out=d)
+            bound = np.partition(d, last, axis=1)[:, last, None]
+            r, c = np.nonzero(~(d > bound))  # not greater: NaN comes last
+        apart = mine[r] != others[c]
+        r, c = r[apart], c[apart]
+        order = np.lexsort((others[c], d[r, c], r))
+        r, c = r[order], c[order]
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+        r, c = r[keep], c[keep]
+        found.append((mine[r], others[c], d[r, c]))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    return tuple(np.concatenate(part) for part in zip(*found))
+
+
+def _block_neighbours(V: DataFrame, vec: str, dims: int, k: int, n: int, nominal: int, penalty: float) -> DataFrame:
+    """The ``k`` nearest of each of the ``n`` distinct vectors, from all pairs
+    of blocks: one task holds two blocks at a time, and only ids leave it."""
+    # ids in the order of the vectors, so that they break ties as the vectors do
+    V = _written(V.select(F.col(vec).alias("_v")).orderBy("_v").withColumn("_id", F.monotonically_increasing_id()), "numbered-vectors")
+    blocks = -(-n // max(1, BLOCK_BYTES // (8 * dims)))
+    own = F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = V.select("_id", "_v", own.alias("_i"), every.alias("_j")).groupBy("_i", "_j")
+    right = V.select("_id", "_v", every.alias("_i"), own.alias("_j")).groupBy("_i", "_j")
+
+    def vectors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        x = table["_v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return x.reshape(-1, dims), table["_id"].to_numpy()
+
+    def nearest(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            got = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        else:
+            got = block_nearest(*vectors(a), *vectors(b), k, nominal, penalty)
+        return pa.table(dict(zip(("_id", "_nb", "d2"), map(pa.array, got))))
+
+    pairs = left.cogroup(right).applyInArrow(nearest, "_id long, _nb long, d2 double")
+    near = Window.partitionBy("_id").orderBy("d2", "_nb")
+    best = pairs.withColumn("nb_rank", (F.row_number().over(near) - 1).cast("int")).where(F.col("nb_rank") < k)
+    best = best.join(V.select("_id", F.col("_v").alias(vec)), "_id")
+    return best.join(V.select(F.col("_id").alias("_nb"), F.col("_v").alias("nb")), "_nb").select(vec, "nb_rank", "nb", "d2")
+
+
 def knn_distinct(points: DataFrame, vec: str, dims: int, k: int, per_cell: int = 64, nominal: int = 0,
                  penalty: float = 0.0) -> DataFrame:
     """Exact k nearest *other* distinct vectors of every distinct vector.
@@ -197,13 +263,18 @@ def knn_distinct(points: DataFrame, vec: str, dims: int, k: int, per_cell: int =
     The k-th candidate of a vector's own cell bounds its search; of all other
     cells only those whose box is not farther than that are joined (equal
     distances included).  A cell that no split divides (nearly all its vectors
-    agree in every feature but a few) is compared whole."""
+    agree in every feature but a few) is compared whole.
+
+    Beyond ``UNROLLED`` features all pairs are compared, block by block."""
     spark = points.sparkSession
     odd = F.exists(F.col(vec), lambda x: x.isNull() | F.isnan(x))
     V = _written(points.select(vec).where(F.col(vec).isNotNull() & ~odd).distinct(), "distinct-vectors")
-    kk = min(k, V.count() - 1)
+    n = V.count()
+    kk = min(k, n - 1)
     if kk <= 0:
         return spark.createDataFrame([], f"{vec} array<double>, nb_rank int, nb array<double>, d2 double")
+    if dims > UNROLLED:
+        return _written(_block_neighbours(V, vec, dims, kk, n, nominal, penalty), "neighbours")
     V, levels = _cells(V, vec, dims, kk + 1, per_cell, nominal, penalty)
     dist = sq_dist(vec, "nb", dims, nominal, penalty)
     near = Window.partitionBy(vec).orderBy("d2", "nb")

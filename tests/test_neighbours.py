@@ -117,3 +117,14 @@ def test_many_features_use_array_loops(spark):
     df = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>")
     want, got = _brute(x, 3), _found(df, 50, 3, per_cell=8)
     assert {q: [v for _, v in rows] for q, rows in want.items()} == {q: [v for _, v in rows] for q, rows in got.items()}
+
+
+def test_many_features_meet_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(resample, "BLOCK_BYTES", 8 * 40 * 64)  # 64 vectors a block
+    monkeypatch.setattr(resample, "TILE", 500)
+    x = np.unique(np.vstack([_clustered(300, 40, 4), np.eye(40)]), axis=0)
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>")
+    assert _found(df, 40, 5) == _brute(x, 5)
+    x[:, -2:] = np.arange(2 * len(x)).reshape(-1, 2) % 3
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>")
+    assert _found(df, 40, 3, nominal=2, penalty=7.5) == _brute(x, 3, 7.5, 2)
