@@ -1101,8 +1101,8 @@ def _cached(spark, d, name, make):
 
 def _lin_prepared(spark, d):
     from callrank.plans.prepare import prepare
-    return _cached(spark, d, "lin_prepared",
-                   lambda: prepare(fx.table(spark, d, "lineitem"), lin_spec()).persist())
+    # not kept: the hash of a row costs less than its columns on disk
+    return _cached(spark, d, "lin_prepared", lambda: prepare(fx.table(spark, d, "lineitem"), lin_spec()))
 
 
 def _lin_fit(spark, d, name, classifier, weighted=False):
