@@ -49,8 +49,8 @@ def balanced_leaderboard(prepared: DataFrame, spec: FeatureSpec, grid: Mapping[s
 
     Models learn from the balanced train split; the tuned one is chosen by the
     AUC of folds whose training part alone is resampled, and its ``auc`` is
-    that of the fit on all folds (``tuning.search``, whose bound on the rows of
-    a fit holds here too).  Test rows are original in every case.
+    that of the fit on all folds (``tuning.search``).  Test rows are original in
+    every case.
     ``tuning.refit`` makes the winner an MLlib model of any size.  Numeric
     features must not be null; the spec needs a key."""
     names = [*spec.numeric, *[f"{c}_idx" for c in spec.categorical]]

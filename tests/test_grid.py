@@ -136,3 +136,70 @@ def test_counted_rows_are_all_used(spark):
     assert sum(r[-1] + r[-2] for r in got) == 3 * 3000 + 3000 + 500
     few = rows(tuning.fit_cells(counted, rows_per_fit=15))
     assert 0 < sum(r[-1] + r[-2] for r in few if r[0] == 3 and r[1]) < 60
+
+
+def test_no_row_is_left_out(spark, monkeypatch):
+    """However many rows or cells, all are learned from and scored: nothing is drawn."""
+    d = spark.range(140_000).select("id", (F.col("id") % 3).cast("int").alias("fold"), (F.xxhash64("id") % 2 == 0).cast("int").alias("label"),
+                                    *[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(997)).cast("double").alias(f"a{i}") for i in range(4)])
+    d = d.select("id", "fold", "label", array_to_vector(F.array("a0", "a1", "a2", "a3")).alias("features"))
+    test, calls, real = d.where("id < 7000"), [], tuning.grid_fits
+
+    def kept(cells, *a):
+        calls.append({(r.fit, r.train): (r.n, r.cells) for r in cells.groupBy("fit", "train").agg(
+            F.sum(F.col("positive") + F.col("negative")).alias("n"), F.count("*").alias("cells")).collect()})
+        return real(cells, *a)
+    monkeypatch.setattr(tuning, "grid_fits", kept)
+    grid = {"maxIter": [1], "maxDepth": [1], "stepSize": [0.1], "subsamplingRate": [1.0]}
+    for rows in (tuning.counted_folds(d, "fold", test=test), tuning.folded(d, "fold", ["id"], test=test)):
+        assert tuning.search(rows, grid).count() == 1
+    for got in calls:
+        per_fold = [sum(i % 3 == f for i in range(140_000)) for f in range(3)]
+        assert {k: n for k, (n, _) in got.items()} == {(3, True): 140_000, (3, False): 7000} | {
+            (f, t): 140_000 - per_fold[f] if t else per_fold[f] for f in range(3) for t in (True, False)}
+        assert got[3, True][1] > 60_000
+    assert len(calls) == 2
+
+
+def test_cells_dealt_to_the_tasks_give_the_same_fits(spark, monkeypatch):
+    """What does not go to each task is fitted by the same rounds, block by block."""
+    d = frame(spark, 4000)
+    tr = split.stratified_folds(d.where("id % 5 > 0"), "label", ["id"], 3, 42)
+    cells = tuning.fit_cells(tuning.counted_folds(tr, "fold", test=d.where("id % 5 = 0")))
+    grid = GRID | {"subsamplingRate": [0.8, 1.0]}
+
+    def rows():
+        got = {(r.params, r.fit): r.auc for r in tuning.grid_fits(cells, grid).collect()}
+        assert len(got) == 16 * 4
+        return got
+    want = rows()
+    monkeypatch.setattr(tuning, "CODES", 0)
+    monkeypatch.setattr(tuning, "_shared_fits", None)
+    assert rows() == want
+    # few shuffle partitions: a task fits several settings
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert rows() == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_blocks_of_cells_in_files_give_the_same_fit(monkeypatch):
+    rnd = np.random.default_rng(4)
+    x, y = rnd.integers(0, 32, (4, 700)), rnd.integers(0, 32, (4, 500))
+    p, n = rnd.integers(0, 4, 700), rnd.integers(0, 4, 700) * (x[0] > 11)
+    yp, yn = rnd.integers(0, 4, 500), rnd.integers(0, 4, 500)
+    for subsample in (0.8, 1.0):
+        want = tuning.boost(x, p, n, y, [3, 8], 4, 0.2, subsample, 5)
+        with monkeypatch.context() as m:
+            m.setattr(tuning, "BLOCK", 37)
+            got = tuning.boost(x, p, n, y, [3, 8], 4, 0.2, subsample, 5)
+            assert isinstance(got[8], np.memmap)
+            for r in (3, 8):
+                assert np.allclose(got[r], want[r], rtol=1e-9, atol=1e-9)
+            areas = [tuning.cell_auc(want[r], yp, yn) for r in (3, 8)]
+            tied = tuning.cell_auc(np.round(want[8], 1), yp, yn)
+            one, none = tuning.cell_auc(np.zeros(500), yp, yn), tuning.cell_auc(want[8], yp, np.zeros(500))
+        assert areas == pytest.approx([tuning.cell_auc(want[r], yp, yn) for r in (3, 8)], abs=1e-12)
+        assert tied == pytest.approx(tuning.cell_auc(np.round(want[8], 1), yp, yn), abs=1e-12)
+        assert one == 0.5 and none is None
